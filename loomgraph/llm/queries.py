@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,15 +26,59 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    groups = exact_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False).drop("ids")
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    groups = near_groups(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ALL = (op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)
+
+OP6_SQL = """
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
+  SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size, text_sha256
+  FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+        FROM documents))
+"""
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, w[i:i + 12] AS s FROM starts),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM windows) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hits),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM words),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_byte_bpe, op7_best_fit_packing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
