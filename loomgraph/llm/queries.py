@@ -26,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -71,7 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-ALL = (op2_quality_rules, op4_url_filter, op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op8_secret_scan, op9_simhash_near_dedup, op10_substring_dedup)
+ALL = (op2_quality_rules, op3_language_id, op4_url_filter, op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op8_secret_scan, op9_simhash_near_dedup, op10_substring_dedup)
 
 OP6_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
