@@ -20,6 +20,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -77,7 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-ALL = (op2_quality_rules, op3_language_id, op4_url_filter, op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op8_secret_scan, op9_simhash_near_dedup, op10_substring_dedup)
+ALL = (op1_maxent_lm, op2_quality_rules, op3_language_id, op4_url_filter, op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op8_secret_scan, op9_simhash_near_dedup, op10_substring_dedup)
 
 OP6_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
