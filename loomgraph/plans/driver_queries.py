@@ -378,7 +378,7 @@ def a8_components(s, d):
 
 @query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS signup FROM events")
 def w4_carry_forward(s, d):
-    e = table(s, d, "events").withColumn("mark", F.when(F.col("event_type") == "login", F.col("event_id")))
+    e = table(s, d, "events").withColumn("mark", F.when(F.col("event_type") == "signup", F.col("event_id")))
     return U.carry_forward(e, ["user_id"], "event_id", "mark", "signup").select("user_id", "event_id", "signup")
 
 
