@@ -61,6 +61,18 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with one lookup row a key, without a task for all rows of a hot key.
+
+    Rows are dealt by key and a salt of their own; the salts that a key has (found by a partial aggregation) get a copy of its
+    lookup row each, so that no more copies are made than there are rows.
+    """
+    salt = F.pmod(F.xxhash64("doc_id", "row", F.lit(11)), F.lit(max(16, shuffle_width(rows.sparkSession)))).cast("int")
+    salted = rows.withColumn("_salt", salt)
+    pairs = salted.select(key, "_salt").distinct().join(lookup, key)
+    return salted.join(pairs, [key, "_salt"]).drop("_salt")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The values as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -87,3 +99,14 @@ def crc(data: bytes) -> int:
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, utf8
+from .common import materialise, row_key, salted_join, utf8
 
 #: The letters that are lower-cased, and no others.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,7 +159,7 @@ def check_bytes(docs: DataFrame, digests: DataFrame, groups: DataFrame, id_col:
     """Holds every member of a group of two or more against the text that stays, byte by byte; raises if one differs."""
     shared = groups.filter("size > 1")
     salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
-    members = digests.join(shared, "sha").select(
+    members = salted_join(digests, shared, "sha").select(
         "doc_id", "row", "sha", (F.col("doc_id") == F.col("keep_id")).alias("stays"), F.pmod(F.xxhash64("doc_id", "row", F.lit(7)), salts).cast("int").alias("salt"), salts.alias("salts")
     ).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row"), ascii_lower(F.col(text_col)).alias("norm"))
@@ -188,7 +188,7 @@ def exact_groups(
     groups = materialise(merge_groups(snapshot, _grouped(table.filter("incoming")), index, shards), "groups")
     if verify:
         check_bytes(docs, table, groups, id_col, text_col)
-    return table.join(groups, "sha").select(
+    return salted_join(table, groups, "sha").select(
         "doc_id", "row", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha"
     )
 

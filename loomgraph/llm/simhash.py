@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, popcount, row_key, shuffle_width, utf8
+from .common import blocks, materialise, popcount, row_key, salted_join, shuffle_width, utf8
 
 SEED = 42
 #: Relative costs of a bucket row and of a candidate pair, measured.
@@ -336,7 +336,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str
     named = materialise(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialise(named.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "row", "fp", "component_id")
+    return salted_join(rows, classes, "fp").select("doc_id", "row", "fp", "component_id")
 
 
 @dataclass(frozen=True)
@@ -353,13 +353,13 @@ def wide_plan(n: int, similarity: float, recall: float = 0.99, words: int = 4) -
     """A Jaccard similarity s of shingle sets is a cosine of 2s/(1+s); bits differ with chance arccos(cosine)/pi.
 
     The width grows with log2 of the number of fingerprints, so that buckets stay small; the number of partitions follows
-    from the recall. radius: of ``words`` * 64 bits, one standard deviation above what the similarity makes likely.
+    from the recall. radius: of ``words`` * 64 bits, two standard deviations above what the similarity makes likely.
     """
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = max(16, int(np.ceil(np.log2(max(n, 2)))) - 2)
     parts = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** width)))
     bits = 64 * words
-    return Wide(width, parts, int(bits * differ + np.sqrt(bits * differ * (1 - differ))), words)
+    return Wide(width, parts, int(bits * differ + 2 * np.sqrt(bits * differ * (1 - differ))), words)
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,7 +379,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
         for part in blocks(batches, "text", 4 << 20):
             hashes = [shingle_hashes(t, shingle) for t in utf8(part.column("text"))]
             has = np.array([len(h) > 0 for h in hashes])
-            prints = np.array([fingerprint(h, max(words, decide)) for h in hashes if len(h)], np.uint64).reshape(-1, max(words, decide))
+            if not has.any():
+                continue
+            prints = np.array([fingerprint(h, max(words, decide)) for h in hashes if len(h)], np.uint64)
             bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
             cells = bits[:, : plan.parts * plan.width].reshape(len(prints), plan.parts, plan.width).astype(np.uint64) @ weights
             keys = (cells | (np.arange(plan.parts, dtype=np.uint64) << np.uint64(plan.width))[None, :]).view(np.int64)
