@@ -1,8 +1,9 @@
 """Hashed maximum-entropy language model over words.
 
-P(word | history) = P(class | history) * P(word | class). Classes hold about equal shares of the corpus, from frequent words
-to rare ones. The first factor is a softmax over the classes of summed weights of hashed features: the word before, the two
-before, and the ones two and three back alone. The second follows from counts, add one. With all weights zero the model is
+P(word | history) = P(group | history) * P(class | group, history) * P(word | class). Classes hold about equal shares of the
+corpus, from frequent words to rare ones, and neighbouring classes make a group. The first two factors are softmaxes of summed
+weights of hashed features: the word before, the two before, and the ones two and three back alone. The third follows from
+counts, add one. With all weights zero the model is
 the smoothed unigram model; distributed gradient steps, each over the next share of the corpus, move it from there.
 
 Documents are turned into batches once: each has its own word list, whose counts in the whole corpus come back by batch,
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +24,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Numbered
-from .common import blocks, doc_remainder, materialise, shuffle_width, utf8
+from .common import blocks, doc_remainder, materialise, shuffle_width, trim, utf8
 from .substring import Words, _mix
 
-CLASSES = 64
+GROUPS = 8
+CLASSES = 8 * GROUPS
+SIDE = CLASSES // GROUPS  # classes of a group
+WIDTH = GROUPS + CLASSES  # weights of a cell: of the groups, then of each group's classes
 #: Cells of the features: one back, two back, three back, both before.
 CELLS = (1024, 512, 512, 2048)
 ROUNDS = 4  # gradient steps; each sees every ROUNDS-th batch, so that all together see the corpus once
 SPREAD = 32  # words that aren't frequent are dealt over classes by so many hash values of their last two bytes
 FREQUENT = 2e-5  # share of the corpus from which a word is a context of its own; others stand for their ending
-BATCH = 4 << 20
-BLOCK = 8192
+BATCH = 2 << 20
+BLOCK = 4096
 END_WORD = b"\n"  # can't be a word
 
 
-def _press(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+@lru_cache(1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _press(x: np.ndarray | bytes) -> bytes:
+    return _codec()[0].compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 def _open(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    return np.frombuffer(_codec()[1].decompress(blob), kind)
 
 
 def count_bin(counts: np.ndarray) -> np.ndarray:
@@ -55,7 +65,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     plain = [w for w in words if w != END_WORD]
     out = np.zeros(len(words), np.uint32)
     if plain:
-        found = Words(plain)
+        found = Words([b" ".join(plain)])
         ending = found.raw[found.ends - 1].astype(np.uint64) * np.uint64(256) + found.raw[np.maximum(found.ends - 2, found.starts)]
         both = (found.hashes() >> np.uint64(32)) // np.uint64(SPREAD) * np.uint64(SPREAD) + _mix(ending) % np.uint64(SPREAD)
         out[np.fromiter((w != END_WORD for w in words), bool, len(words))] = both.astype(np.uint32)
@@ -92,7 +102,7 @@ def batches(docs: DataFrame, buckets: int) -> DataFrame:
             counts = np.bincount(tokens[learn], minlength=len(listed))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             lists = [
-                {"bucket": b, "words": zstandard.ZstdCompressor(level=1).compress(b"\0".join(listed[k] for k in order[cuts[b] : cuts[b + 1]].tolist())), "counts": _press(counts[cuts[b] : cuts[b + 1]].astype("<i4"))}
+                {"bucket": b, "words": _press(b"\0".join([listed[k] for k in order[cuts[b] : cuts[b + 1]].tolist()])), "counts": _press(counts[cuts[b] : cuts[b + 1]].astype("<i4"))}
                 for b in np.flatnonzero(np.diff(cuts)).tolist()
             ]
             ids = pa.array(part.column("doc_id")).fill_null(np.iinfo(np.int64).min)
@@ -108,6 +118,7 @@ def batches(docs: DataFrame, buckets: int) -> DataFrame:
                 ["batch", "doc_id", "sizes", "held", "tokens", "hashes", "words"],
             )
             number += 1
+        trim()
 
     return docs.mapInArrow(run, BATCHES)
 
@@ -122,7 +133,7 @@ def word_counts(table: DataFrame) -> DataFrame:
         def out():
             index, at, sums = Numbered(), [], []
             for batch, words, counts in held:
-                own = zstandard.ZstdDecompressor().decompress(words).split(b"\0")
+                own = _codec()[1].decompress(words).split(b"\0")
                 at.append(np.fromiter(map(index.__getitem__, own), np.int64, len(own)))
                 sums.append(_open(counts, "<i4"))
             total = np.bincount(np.concatenate(at), np.concatenate(sums), minlength=len(index)).astype(np.int64)
@@ -155,6 +166,7 @@ def word_counts(table: DataFrame) -> DataFrame:
                 held.append((batch, words, counts))
         if held:
             yield out()
+        trim()
 
     rows = table.select("batch", F.explode("words").alias("w")).select("w.bucket", "batch", "w.words", "w.counts")
     sent = rows.repartition(shuffle_width(table.sparkSession), "bucket").sortWithinPartitions("bucket", "batch")
@@ -168,11 +180,13 @@ class Model:
     bins: np.ndarray  # bin * SPREAD + spread, sorted, of words learned
     classes: np.ndarray  # their classes
     mass: np.ndarray  # sum of count + 1 in each class
-    weights: np.ndarray  # cells x classes, float32
+    weights: np.ndarray  # cells x WIDTH, float32
 
     @property
     def prior(self) -> np.ndarray:
-        return np.log(self.mass / self.mass.sum())
+        """Natural logarithms of the shares of each group, then of each class in its group."""
+        group = self.mass.reshape(GROUPS, SIDE).sum(1)
+        return np.log(np.r_[group / group.sum(), (self.mass.reshape(GROUPS, SIDE) / group[:, None]).ravel()])
 
     def classify(self, counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Class of each word; unseen words are one word more, in the last class."""
@@ -200,7 +214,7 @@ def make_classes(rows: list[tuple[int, int, int, int]]) -> Model:
     sums[CLASSES - 1] += 1  # the unseen word
     keys = np.array([r[0] * SPREAD + r[1] for r in rows], np.int64)
     order = np.argsort(keys)
-    return Model(total, kinds, keys[order], classes[order], np.maximum(sums, 1e-9), np.zeros((sum(CELLS), CLASSES), np.float32))
+    return Model(total, kinds, keys[order], classes[order], np.maximum(sums, 1e-9), np.zeros((sum(CELLS), WIDTH), np.float32))
 
 
 def feature_cells(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -218,13 +232,24 @@ def feature_cells(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([(_mix(k) % np.uint64(size)).astype(np.int64) + b for k, size, b in zip(keys, CELLS, base.tolist())])
 
 
-def log_chances(model: Model, cells: np.ndarray) -> np.ndarray:
-    """Weights summed up for each token (columns of ``cells``) and class, unnormalised logarithms."""
-    out = model.weights[cells[0]]
-    for row in cells[1:]:
-        out += model.weights[row]
-    out += model.prior.astype(np.float32)
-    return out
+class Scorer:
+    """A model's weights, laid out so that a token gathers two short rows a feature: its groups', and the classes' of its own group."""
+
+    def __init__(self, model: Model):
+        self.groups = np.ascontiguousarray(model.weights[:, :GROUPS])
+        self.classes = np.ascontiguousarray(model.weights[:, GROUPS:]).reshape(-1, SIDE)
+        prior = model.prior.astype(np.float32)
+        self.prior_groups, self.prior_classes = prior[:GROUPS], prior[GROUPS:].reshape(GROUPS, SIDE)
+
+    def logits(self, cells: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the groups, and of the classes of ``group``, for each token (columns of ``cells``); not normalised."""
+        x, y = self.groups[cells[0]], self.classes[cells[0] * GROUPS + group]
+        for row in cells[1:]:
+            x += self.groups[row]
+            y += self.classes[row * GROUPS + group]
+        x += self.prior_groups
+        y += self.prior_classes[group]
+        return x, y
 
 
 @dataclass
@@ -250,22 +275,26 @@ class Batch:
         return classes, cells, classes[self.tokens]
 
 
-def gradient(model: Model, batch: Batch, seen: np.ndarray, expected: np.ndarray) -> None:
-    """Adds what features and classes share in the documents to learn from: as seen, and as the model expects."""
+def gradient(model: Model, batch: Batch, seen: np.ndarray, expected: list[np.ndarray]) -> None:
+    """Adds what features share with classes in the documents to learn from: as seen (cells * GROUPS x SIDE), and as the model
+    expects (of groups: cells x GROUPS; of classes)."""
     _, cells, target = batch.prepared(model)
-    learn = np.flatnonzero(np.repeat(~batch.held, batch.sizes))
-    for a in range(0, len(learn), 2 * BLOCK):
-        own = learn[a : a + 2 * BLOCK]
-        x = cells[:, own]
-        chance = log_chances(model, x)
-        np.exp(chance, chance)
-        chance /= chance.sum(1, keepdims=True)
+    scorer = Scorer(model)
+    learn = np.repeat(~batch.held, batch.sizes)
+    cells, target = cells[:, learn], target[learn]
+    for row in cells:
+        seen += np.bincount(row * CLASSES + target, minlength=seen.size).reshape(seen.shape)
+    for a in range(0, len(target), 4 * BLOCK):
+        x, group = cells[:, a : a + 4 * BLOCK], target[a : a + 4 * BLOCK] // SIDE
+        for chance in (chances := scorer.logits(x, group)):
+            np.exp(chance, chance)
+            chance /= chance.sum(1, keepdims=True)
         for row in x:
-            order = np.argsort(row.astype(np.uint16), kind="stable")
-            ordered = row[order]
-            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            expected[ordered[first]] += np.add.reduceat(chance[order], first, axis=0)
-            np.add.at(seen.reshape(-1), row * CLASSES + target[own], 1)
+            inner = row * GROUPS + group
+            order = np.argsort(inner.astype(np.uint16), kind="stable")  # by cell, and by group in a cell
+            for total, place, chance in zip(expected, (row[order], inner[order]), chances):
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                total[place[first]] += np.add.reduceat(chance[order], first, axis=0)
 
 
 def score_batch(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,10 +302,13 @@ def score_batch(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.
     classes, cells, target = batch.prepared(model)
     inside = np.log((batch.counts + 1) / model.mass[classes])[batch.tokens]
     logs = np.empty(len(batch.tokens))
+    scorer = Scorer(model)
     for a in range(0, len(logs), BLOCK):
-        x = log_chances(model, cells[:, a : a + BLOCK])
-        own = x[np.arange(len(x)), target[a : a + BLOCK]].astype(float)
-        logs[a : a + BLOCK] = own - np.log(np.exp(x).sum(1))
+        group, side = target[a : a + BLOCK] // SIDE, target[a : a + BLOCK] % SIDE
+        x, y = scorer.logits(cells[:, a : a + BLOCK], group)
+        each = np.arange(len(x))
+        own = x[each, group].astype(float) + y[each, side]
+        logs[a : a + BLOCK] = own - np.log(np.exp(x).sum(1)) - np.log(np.exp(y).sum(1))
     base = np.log10((batch.counts + 1) / (model.total + model.kinds + 1))[batch.tokens]
     first = np.cumsum(batch.sizes) - batch.sizes
     known = (batch.counts > 0)[batch.tokens].astype(np.int64)
@@ -294,12 +326,15 @@ def gradients(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     width = sum(CELLS)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, expected = np.zeros((width, CLASSES)), np.zeros((width, CLASSES))
+        seen, expected = np.zeros((width * GROUPS, SIDE)), [np.zeros((width, GROUPS)), np.zeros((width * GROUPS, SIDE))]
         for part in parts:
             for batch in _rows(part):
                 gradient(model, batch, seen, expected)
-        some = np.flatnonzero(expected.any(1) | seen.any(1))
-        packed = [zstandard.ZstdCompressor(level=1).compress(np.r_[seen[k], expected[k]].astype("<f4").tobytes()) for k in some.tolist()]
+        seen = np.concatenate([seen.sum(1).reshape(width, GROUPS), seen.reshape(width, CLASSES)], 1)
+        expected = np.concatenate([expected[0], expected[1].reshape(width, CLASSES)], 1)
+        some = np.flatnonzero(expected.any(1))
+        packed = [_press(np.r_[seen[k], expected[k]].astype("<f4")) for k in some.tolist()]
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed, pa.binary())], ["cell", "packed"])
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +346,10 @@ def gradients(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
     kind = "cell long, packed binary"
     found = table.mapInArrow(run, kind).repartition(shuffle_width(table.sparkSession), "cell").mapInArrow(add, kind).collect()
-    out = np.zeros((width, 2 * CLASSES))
+    out = np.zeros((width, 2 * WIDTH))
     for r in found:
         out[r["cell"]] = np.frombuffer(r["packed"], "<f8")
-    return out[:, :CLASSES], out[:, CLASSES:]
+    return out[:, :WIDTH], out[:, WIDTH:]
 
 
 def step(model: Model, seen: np.ndarray, expected: np.ndarray, smooth: float = 20.0) -> None:
@@ -365,5 +400,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+        trim()
 
     return table.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
