@@ -128,3 +128,58 @@ def orm_uses(nodes: DataFrame, models: DataFrame, key: str = "id", text: str = "
     pairs = F.zip_with(F.regexp_extract_all(F.col(text), F.lit(SUPABASE), F.lit(1)), F.regexp_extract_all(F.col(text), F.lit(SUPABASE), F.lit(2)), lambda t, m: F.struct(F.when(m.isin("insert", "update", "upsert", "delete"), "write").otherwise("read").alias("op"), t.alias("table")))
     by_client = nodes.select(F.col(key), F.explode(pairs).alias("u")).select(key, "u.op", "u.table")
     return by_model.unionByName(by_client).distinct()
+
+
+def router_includes(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
+    """(key, router, prefix) of routers that a file mounts, by keyword or as a path and a router."""
+    mounts = F.regexp_extract_all(F.col(text), F.lit(r"(?s)\.include_router\s*\(([^)]+)\)"), F.lit(1))
+    named = F.transform(mounts, lambda m: F.struct(F.regexp_extract(m, r"^\s*(?:\w+\.)*(\w+)", 1).alias("router"), F.regexp_extract(m, r"prefix\s*=\s*[\"']([^\"']+)[\"']", 1).alias("prefix")))
+    used = F.regexp_extract_all(F.col(text), F.lit(r"(?s)\.use\s*\(\s*([\"'`][^\"'`]+[\"'`]\s*,\s*\w+)"), F.lit(1))
+    paired = F.transform(used, lambda m: F.struct(F.regexp_extract(m, r"(\w+)$", 1).alias("router"), F.regexp_extract(m, r"^[\"'`]([^\"'`]+)", 1).alias("prefix")))
+    return files.select(F.col(key), F.explode(F.concat(named, paired)).alias("m")).select(key, "m.router", "m.prefix")
+
+
+def variable_models(df: DataFrame, key: str = "id", text: str = "source_code") -> DataFrame:
+    """(key, variable, model): variables that a source binds to a new object or to the result of a query."""
+    built = F.regexp_extract_all(F.col(text), F.lit(r"\b(\w+\s*(?::\s*[\w.]+\s*)?=\s*[A-Z]\w*)\s*\("), F.lit(1))
+    loaded = F.regexp_extract_all(F.col(text), F.lit(r"\b(\w+\s*=\s*\(?\s*(?:await\s+)?\w+\.(?:query|get)\s*\(\s*\w+)"), F.lit(1))
+    rows = df.select(F.col(key), F.explode(F.array_distinct(F.concat(built, loaded))).alias("b"))
+    return rows.select(key, F.regexp_extract("b", r"^(\w+)", 1).alias("variable"), F.regexp_extract("b", r"(\w+)$", 1).alias("model")).distinct()
+
+
+def session_writes(df: DataFrame, models: DataFrame, key: str = "id", text: str = "source_code") -> DataFrame:
+    """(key, op, table) of ``session.add(x)`` and the like, where x was bound to a known model."""
+    calls = F.regexp_extract_all(F.col(text), F.lit(r"\b(?:db|session|sess|async_session|tx|conn|connection|s|db_session)\.(?:add|delete|merge)\s*\(\s*(\w+)"), F.lit(1))
+    used = df.select(F.col(key), F.explode(F.array_distinct(calls)).alias("variable"))
+    known = used.join(variable_models(df, key, text), [key, "variable"]).join(models.select("model", "table").dropDuplicates(["model"]), "model")
+    return known.select(key, F.lit("write").alias("op"), "table").distinct()
+
+
+def aliases(configs: DataFrame, text: str = "text") -> DataFrame:
+    """(prefix, target) of the path aliases in TypeScript settings (``"@/*": ["src/*"]``)."""
+    paths = F.from_json(F.get_json_object(text, "$.compilerOptions.paths"), "map<string,array<string>>")
+    base = F.coalesce(F.get_json_object(text, "$.compilerOptions.baseUrl"), F.lit("."))
+    rows = configs.select(base.alias("base"), F.explode(paths).alias("alias", "targets")).select("base", "alias", F.get("targets", F.lit(0)).alias("target"))
+    folder = F.regexp_replace(F.concat("base", F.lit("/"), "target"), r"^(\./)+|/?\*$", "")
+    return rows.select(F.regexp_replace("alias", r"\*$", "").alias("prefix"), folder.alias("target"))
+
+
+def resolve_alias(imports: DataFrame, known: DataFrame, spec: str = "spec") -> DataFrame:
+    """Imports with ``path``: the file path that the longest alias of theirs means; the spec itself without one.
+
+    An alias is a spec's prefix up to a slash, so that prefixes of a spec are keys and the join is one of equality.
+    """
+    rows = imports.withColumn("_spec", F.col(spec))
+    parts = F.split("_spec", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    hits = rows.select("_spec").distinct().select("_spec", F.explode(heads).alias("prefix"))
+    best = hits.join(known, "prefix").groupBy("_spec").agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("b"))
+    path = F.when(F.col("b").isNotNull(), F.concat(F.col("b.target"), F.lit("/"), F.expr("substring(_spec, length(b.prefix) + 1)"))).otherwise(F.col("_spec"))
+    return rows.join(best, "_spec", "left").withColumn("path", path).drop("_spec", "b")
+
+
+def env_definitions(services: DataFrame, builds: DataFrame, variables: DataFrame) -> DataFrame:
+    """(name, origin) of variables that compose services, container builds and environment files define."""
+    a = services.select(F.explode("env").alias("name"), F.concat(F.lit("service:"), "service").alias("origin"))
+    b = builds.select(F.explode("env").alias("name"), F.concat(F.lit("build:"), "path").alias("origin"))
+    return a.unionByName(b).unionByName(variables.select(F.col("key").alias("name"), F.concat(F.lit("file:"), "path").alias("origin"))).distinct()

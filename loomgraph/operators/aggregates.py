@@ -180,3 +180,56 @@ def components(nodes: DataFrame, path: str = "file_path", root: str = "root") ->
 
 def owners(members: DataFrame, id_col: str = "id") -> DataFrame:
     return members.withColumn("owner", parent_of(F.col(id_col)))
+
+
+def file_hotspots(commits: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(id, file_path, changes): nodes by the commits of their file, where there is no log of node changes; the first k."""
+    counts = commits.groupBy("file_path").agg(F.countDistinct("commit").alias("changes"))
+    return nodes.join(counts, "file_path").select("id", "file_path", "changes").orderBy(F.desc("changes"), "id").limit(k)
+
+
+def table_usage(edges: DataFrame) -> DataFrame:
+    """(table, readers, writers, n_readers, n_writers) of tables that edges read, write or migrate."""
+    reads, writes = F.col("type") == "reads_table", F.col("type").isin("writes_table", "migrates")
+    own = edges.filter(reads | writes).groupBy(F.col("to_node").alias("table")).agg(
+        F.array_sort(F.collect_set(F.when(reads, F.col("from_node")))).alias("r"), F.array_sort(F.collect_set(F.when(writes, F.col("from_node")))).alias("w")
+    )
+    return own.select("table", F.array_join("r", ",").alias("readers"), F.array_join("w", ",").alias("writers"), F.size("r").alias("n_readers"), F.size("w").alias("n_writers"))
+
+
+def severity_counts(findings: DataFrame, severity: str = "severity") -> DataFrame:
+    """One row: findings of high, medium and low severity, and all."""
+    one = lambda s: F.coalesce(F.sum((F.upper(severity) == s).cast("long")), F.lit(0)).alias(s.lower())
+    return findings.agg(one("HIGH"), one("MEDIUM"), one("LOW"), F.count("*").alias("total"))
+
+
+def parse_stats(files: DataFrame, nodes: DataFrame, edges: DataFrame, language: str = "language") -> DataFrame:
+    """(language, files, nodes, internal, resolved, pct) of files (file_path, language), by the nodes and edges they gave."""
+    n = nodes.groupBy("file_path").agg(F.count("*").alias("_n"))
+    e = edges.groupBy("file_path").agg(F.sum((F.col("confidence") != "external").cast("long")).alias("_i"), F.sum((F.col("confidence") == "resolved").cast("long")).alias("_r"))
+    own = files.join(n, "file_path", "left").join(e, "file_path", "left").na.fill(0, ["_n", "_i", "_r"])
+    out = own.groupBy(language).agg(F.count("*").alias("files"), F.sum("_n").alias("nodes"), F.sum("_i").alias("internal"), F.sum("_r").alias("resolved"))
+    return out.withColumn("pct", percent(F.col("resolved"), F.col("internal")))
+
+
+#: What kinds of edges make each line of a summary.
+EDGE_CATEGORIES = (
+    ("calls", ("calls", "calls_api", "calls_native", "mocks")), ("structure", ("contains", "inherits", "decorates", "uses")), ("imports", ("imports",)),
+    ("infrastructure", ("reads_table", "writes_table", "migrates", "depends_on", "uses_env")),
+)
+
+
+def edge_categories(edges: DataFrame) -> DataFrame:
+    """(category, n, pct) of edges by what they are about."""
+    kind = F.lit("other")
+    for name, types in EDGE_CATEGORIES:
+        kind = F.when(F.col("type").isin(*types), name).otherwise(kind)
+    counts = edges.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_t")).withColumn("_k", F.lit(1))
+    return counts.withColumn("_k", F.lit(1)).join(total, "_k").select("category", "n", percent(F.col("n"), F.col("_t")).alias("pct"))
+
+
+def unparsed_extensions(paths: DataFrame, known: list[str], k: int = 6) -> DataFrame:
+    """(extension, n) of files that no parser takes, the commonest k."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return paths.withColumn("extension", ext).filter((F.col("extension") != "") & ~F.col("extension").isin(known)).groupBy("extension").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension").limit(k)

@@ -101,3 +101,15 @@ def per_group_limit(df: DataFrame, group: list[str], order: list, k: int) -> Dat
 
 def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
     return df.offset(offset).limit(limit)
+
+
+def resolve_status(nodes: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """(status, candidates): hit with one identifier, ambiguous with several, or not_found."""
+    found = resolve_id(nodes, query, k).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    status = F.when(F.size("ids") == 0, "not_found").when(F.size("ids") == 1, "hit").otherwise("ambiguous")
+    return found.select(status.alias("status"), F.array_join("ids", ",").alias("candidates"))
+
+
+def is_external(name: Column, builtins: list[str], modules: list[str]) -> Column:
+    """True for names of the language: a builtin, or anything below a module of its library."""
+    return name.isin(builtins) | F.split(name, r"\.")[0].isin(modules)

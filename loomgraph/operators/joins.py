@@ -162,3 +162,14 @@ def diff(old: DataFrame, new: DataFrame, key: str, state: str) -> DataFrame:
         F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "deleted").when(~F.col("_old").eqNullSafe(F.col("_new")), "modified").otherwise("unchanged")
     )
     return a.join(b, key, "full").select(key, status.alias("status"))
+
+
+def prefixed_routes(routes: DataFrame, includes: DataFrame, imports: DataFrame) -> DataFrame:
+    """Routes (file, path) under the prefixes of the routers that include them.
+
+    includes (file, router, prefix): a file mounts a router's name; imports (file, name, module_file): where the name comes
+    from. A mount's own file counts where the name isn't imported. One level, as routers of routers are rare.
+    """
+    mounts = includes.join(imports.select("file", F.col("name").alias("router"), "module_file"), ["file", "router"], "left")
+    mounts = mounts.select(F.coalesce("module_file", "file").alias("file"), "prefix").distinct()
+    return routes.join(mounts, "file", "left").withColumn("path", F.concat(F.coalesce("prefix", F.lit("")), F.col("path"))).drop("prefix")

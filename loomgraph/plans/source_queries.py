@@ -10,6 +10,7 @@ from ..functions import extract
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import explain as E
+from ..operators import filters as P
 from ..operators import graph as G
 from ..operators import incremental as U
 from ..operators import joins as J
@@ -262,6 +263,77 @@ def j15_findings(s, d):
     return J.containing(findings, spans, ["file_path"], "line", "lo", "hi", ["doc_id"], ["n"]).select("doc_id", "n")
 
 
+@query("SELECT CASE count(*) WHEN 0 THEN 'not_found' WHEN 1 THEN 'hit' ELSE 'ambiguous' END AS status, coalesce(string_agg(id, ',' ORDER BY id), '') AS candidates FROM (SELECT id FROM g_nodes WHERE id ILIKE '%.N1' LIMIT 5)")
+def f7_resolve_status(s, d):
+    return P.resolve_status(binding.nodes(s, d), "N1")
+
+
+@query("SELECT event_type, event_type IN ('view', 'click') AS external, count(*) AS n FROM events GROUP BY ALL")
+def f16_is_external(s, d):
+    e = table(s, d, "events").withColumn("external", P.is_external(F.col("event_type"), ["view"], ["click"]))
+    return e.groupBy("event_type", "external").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_nationkey::VARCHAR AS file, '/v' || n_nationkey % 5 || '/x' AS path FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT n_nationkey::VARCHAR, '/x' FROM nation WHERE n_nationkey < 5""")
+def j18_router_prefixes(s, d):
+    n = nations(s, d)
+    routes = n.select(F.col("k").alias("file"), F.lit("/x").alias("path"))
+    own = n.filter("n_nationkey >= 5")
+    text = own.groupBy((F.col("n_nationkey") % 5).alias("m")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("app.include_router(pkg.r"), "k", F.lit(", prefix='/v"), F.col("n_nationkey") % 5, F.lit("')")))), "\n").alias("text"))
+    includes = extract.router_includes(text.select(F.concat(F.lit("main"), "m").alias("file"), "text"))
+    imports = own.select(F.concat(F.lit("main"), F.col("n_nationkey") % 5).alias("file"), F.concat(F.lit("r"), "k").alias("name"), F.col("k").alias("module_file"))
+    return J.prefixed_routes(routes, includes, imports)
+
+
+@query("""WITH c AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS changes FROM lineitem GROUP BY 1) SELECT 'n' || p_partkey AS id, p_partkey::VARCHAR AS file_path, changes FROM part JOIN c ON l_partkey = p_partkey ORDER BY changes DESC, id LIMIT 15""")
+def a12_file_hotspots(s, d):
+    commits = table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("file_path"), F.col("l_orderkey").alias("commit"))
+    n = table(s, d, "part").select(F.concat(F.lit("n"), "p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("file_path"))
+    return A.file_hotspots(commits, n, 15)
+
+
+@query("""WITH u AS (SELECT DISTINCT 't' || l_partkey % 30 AS t, 's' || l_suppkey % 9 AS f, l_returnflag AS k FROM lineitem)
+SELECT t AS "table", coalesce(string_agg(DISTINCT f, ',' ORDER BY f) FILTER (k = 'R'), '') AS readers, coalesce(string_agg(DISTINCT f, ',' ORDER BY f) FILTER (k <> 'R'), '') AS writers,
+count(DISTINCT f) FILTER (k = 'R')::INTEGER AS n_readers, count(DISTINCT f) FILTER (k <> 'R')::INTEGER AS n_writers FROM u GROUP BY t""")
+def a16_table_usage(s, d):
+    kind = F.when(F.col("l_returnflag") == "R", "reads_table").when(F.col("l_returnflag") == "A", "writes_table").otherwise("migrates")
+    e = table(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey") % 9).alias("from_node"), F.concat(F.lit("t"), F.col("l_partkey") % 30).alias("to_node"), kind.alias("type"))
+    return A.table_usage(e)
+
+
+@query("SELECT c_nationkey::VARCHAR AS lang, count(*) AS files, sum(n)::BIGINT AS nodes, sum(i)::BIGINT AS internal, sum(r)::BIGINT AS resolved, CASE WHEN sum(i) > 0 THEN round(100.0 * sum(r) / sum(i), 1) ELSE 100.0 END::DOUBLE AS pct FROM (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus <> 'P') AS i, count(*) FILTER (o_orderstatus = 'F') AS r FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) GROUP BY ALL")
+def a20_parse_stats(s, d):
+    f = table(s, d, "customer").select(F.col("c_custkey").alias("file_path"), F.col("c_nationkey").cast("string").alias("lang"))
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("file_path"), F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "external").otherwise("inferred").alias("confidence"))
+    return A.parse_stats(f, o, o, "lang").withColumn("pct", F.col("pct").cast("double"))
+
+
+@query("SELECT count(*) FILTER (o_orderpriority LIKE '1%') AS high, count(*) FILTER (o_orderpriority LIKE '3%') AS medium, count(*) FILTER (o_orderpriority LIKE '5%') AS low, count(*) AS total FROM orders")
+def a21_severity_counts(s, d):
+    p = F.substring("o_orderpriority", 1, 1)
+    return A.severity_counts(table(s, d, "orders").select(F.when(p == "1", "high").when(p == "3", "MEDIUM").when(p == "5", "Low").otherwise("none").alias("severity")))
+
+
+@query("SELECT CASE type WHEN 'calls' THEN 'calls' WHEN 'imports' THEN 'imports' ELSE 'structure' END AS category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM g_edges), 1)::DOUBLE AS pct FROM g_edges GROUP BY 1")
+def a27_edge_categories(s, d):
+    return A.edge_categories(binding.edges(s, d)).withColumn("pct", F.col("pct").cast("double"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, 'write' AS op, lower(n_name) AS \"table\" FROM nation WHERE n_nationkey % 2 = 0")
+def x12_session_writes(s, d):
+    n = nations(s, d)
+    models = n.select(F.concat(F.lit("Model"), "k").alias("model"), F.col("n").alias("table"))
+    bound = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("x = Model"), "k", F.lit("(a=1)\nsession.add(x)"))).when(F.col("n_nationkey") % 4 == 2, F.concat(F.lit("x = await db.get(Model"), "k", F.lit(", 1)\ndb.delete(x)")))
+    return extract.session_writes(n.select(F.col("k").alias("id"), F.coalesce(bound, F.lit("xs = set()\nxs.add(x)")).alias("source_code")), models)
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'src/a' || doc_id WHEN 1 THEN 'lib/ui/b' || doc_id ELSE './c' || doc_id END AS path FROM documents")
+def x6_aliases(s, d):
+    config = s.createDataFrame([('{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "@/ui/*": ["lib/ui/*"]}}}',)], "text string")
+    spec = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("@/a"), "doc_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("@/ui/b"), "doc_id")).otherwise(F.concat(F.lit("./c"), "doc_id"))
+    return extract.resolve_alias(table(s, d, "documents").select("doc_id", spec.alias("spec")), extract.aliases(config)).select("doc_id", "path")
+
+
 # ---- streams, over all input there is
 
 

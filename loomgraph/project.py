@@ -78,6 +78,29 @@ def build(spark: SparkSession, root: str) -> Project:
     return Project(materialise(nodes, "nodes"), materialise(out, "edges"), spark.createDataFrame([], CHANGES), spark.createDataFrame([], NOTES), every)
 
 
+def sync(old: Project, root: str) -> tuple[Project, DataFrame]:
+    """The project as the tree is now, and (id, status) of its nodes.
+
+    Files that haven't changed since (by time and size) keep the old project if none has; else the tree is read anew, the
+    annotations of nodes that stay are carried over, edges seen at run time outlive the sync, and every change is logged.
+    """
+    spark = old.nodes.sparkSession
+    if U.pending(files.scan(spark, root, None, text=False), old.sources).isEmpty():
+        return old, old.nodes.select("id", F.lit("unchanged").alias("status"))
+    new = build(spark, root)
+    kept = [c for c in ("summary", "role", "side_effects", "annotation_hash") if c in old.nodes.columns]
+    nodes = new.nodes
+    for c in kept:
+        nodes = nodes.withColumn(c, F.lit(None).cast(old.nodes.schema[c].dataType))
+    merged = materialise(U.sync_nodes(old.nodes, nodes, kept), "synced")
+    edges = materialise(U.replace_static(old.edges, new.edges), "edges")
+    done = merged.filter("status != 'unchanged'").join(old.nodes.select("id", F.col("hash").alias("old_hash")), "id", "left")
+    action = F.when(F.col("status") == "added", "created").otherwise(F.col("status"))
+    log = done.select(F.xxhash64("id", "hash", "old_hash").alias("id"), F.current_timestamp().alias("timestamp"), F.col("id").alias("node_id"), action.alias("action"), "old_hash", F.col("hash").alias("new_hash"), "file_path")
+    changes = materialise(old.changes.unionByName(log, allowMissingColumns=True), "changes")
+    return Project(merged.filter("status != 'deleted'").drop("status"), edges, changes, old.notes, new.sources, old.rules), merged.select("id", "status")
+
+
 def _one(p: Project, node_id: str) -> DataFrame:
     return P.get_node(p.nodes, node_id).select("id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Folders that hold no sources of the project, suffixes of virtual environments, and extensions that are read.
 SKIPPED = (
     ".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", ".env", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache",
-    ".ruff_cache", ".eggs", "site-packages", ".next", ".nuxt", "coverage", ".idea", ".vscode", "target", "vendor", ".lens",
+    ".ruff_cache", ".eggs", "site-packages", ".next", ".nuxt", "coverage", ".idea", ".vscode", "target", "vendor",
 )
 ENVIRONMENT_SUFFIXES = ("-env", "_env", "-venv", "_venv")
 EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx")

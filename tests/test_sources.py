@@ -147,3 +147,28 @@ def test_scan_and_project(spark, tmp_path):
     assert project.call(p, "vibecheck").first().grade in "ABCDF"
     dead = {r.id for r in project.call(p, "dead_code").collect()}
     assert "pkg.models.load" not in dead and "pkg.models.User" not in dead
+
+
+def test_sync_carries_annotations_over(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f():\n    return g()\n\ndef g():\n    return 1\n")
+    root = f"file://{tmp_path}"
+    p = project.build(spark, root)
+    same, status = project.sync(p, root)
+    assert same is p and {r.status for r in status.collect()} == {"unchanged"}
+    p.nodes = project.call(p, "save_annotation", updates=spark.createDataFrame([("a.f", "does f", "io")], "id string, summary string, role string")) if "summary" in p.nodes.columns else p.nodes.selectExpr("*", "case when id = 'a.f' then 'does f' end as summary")
+    (tmp_path / "a.py").write_text("def f():\n    return g()\n\ndef h():\n    return 1 + 1\n")
+    now, status = project.sync(p, root)
+    found = {r.id: r.status for r in status.collect()}
+    assert (found["a.f"], found["a.g"], found["a.h"]) == ("unchanged", "deleted", "added")
+    assert {r.id: r.summary for r in now.nodes.collect()}["a.f"] == "does f"
+    assert {(r.node_id, r.action) for r in project.call(now, "history").collect()} >= {("a.g", "deleted"), ("a.h", "created")}
+
+
+def test_packages_and_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("package.json", '{"name": "top"}'), ("web/app/package.json", '{"name": "app"}'), ("web/app/node_modules/x/index.js", "x")], "path string, text string")
+    assert [(r.path, r.depth, r.name, r.has_modules) for r in files.packages(rows).collect()] == [("package.json", 0, "top", False), ("web/app/package.json", 2, "app", True)]
+    calls = spark.createDataFrame([("a", "b", 3), ("a", "c", 1)], "from_node string, to_node string, n long")
+    files.write_trace(calls, str(tmp_path / "trace"))
+    assert sorted(map(tuple, feeds.traces(spark, str(tmp_path / "trace")).collect())) == [("a", "b", 3), ("a", "c", 1)]
+    first = files.publish(calls, str(tmp_path / "versions"), "1")
+    assert spark.read.parquet(first).count() == 2 and files.empty(spark, "a int").count() == 0
