@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parent_of
+from ..plans.tables import materialise
 
 
 def percent(part: Column, whole: Column, empty: float = 100.0) -> Column:
@@ -76,18 +77,34 @@ def name_prefixes(members: DataFrame, owner: str, name: str, k: int = 10) -> Dat
     return counts.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def running_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, _n, _up, _total): how often each distinct value occurs, rows up to it, and all rows.
+
+    The distinct values are dealt out by range; each range sums up on its own, and the ranges' totals (one row each) meet.
+    """
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    ranges = materialise(counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranges")
+    every = Window.partitionBy(F.lit(0)).orderBy("_range")
+    sums = ranges.groupBy("_range").agg(F.sum("_n").alias("_s")).select(
+        "_range", (F.sum("_s").over(every) - F.col("_s")).alias("_before"), F.sum("_s").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total")
+    )
+    own = F.sum("_n").over(Window.partitionBy("_range").orderBy(value))
+    return ranges.withColumn("_own", own).join(F.broadcast(sums), "_range").select(value, "_n", (F.col("_before") + F.col("_own")).alias("_up"), "_total")
+
+
 def index_percentile(df: DataFrame, value: str, share: float, group: list[str] | None = None) -> DataFrame:
     """The value at place floor(n * share) of the sorted values (from 0), without interpolation; the last one at most.
 
-    Values are first counted, so that the window runs over distinct values, however many rows there are.
+    Values are first counted, so that windows run over distinct values, however many rows there are.
     """
-    keys = group or []
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up = F.sum("_n").over(part.orderBy(value))
-    total = F.sum("_n").over(part)
-    place = F.least(F.floor(total * F.lit(share)), total - 1)
-    return counts.withColumn("_up", up).withColumn("_place", place).filter((F.col("_up") > F.col("_place")) & (F.col("_up") - F.col("_n") <= F.col("_place"))).select(*keys, value)
+    if group:
+        part = Window.partitionBy(*group)
+        counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
+        counts = counts.withColumn("_up", F.sum("_n").over(part.orderBy(value))).withColumn("_total", F.sum("_n").over(part))
+    else:
+        counts = running_counts(df, value)
+    place = F.least(F.floor(F.col("_total") * F.lit(share)), F.col("_total") - 1)
+    return counts.withColumn("_place", place).filter((F.col("_up") > F.col("_place")) & (F.col("_up") - F.col("_n") <= F.col("_place"))).select(*(group or []), value)
 
 
 def project_metrics(df: DataFrame, value: str) -> DataFrame:
@@ -101,10 +118,8 @@ def project_metrics(df: DataFrame, value: str) -> DataFrame:
 
 def percentile_rank(df: DataFrame, value: str) -> DataFrame:
     """Share of values below each one, in percent, one place. Values are counted first."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(F.col(value).alias("_v"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
-    ranks = ranks.select("_v", F.round(F.col("_below") * 100.0 / F.col("_total"), 1).alias("percentile_rank"))
+    below = (F.col("_up") - F.col("_n")) * 100.0 / F.col("_total")
+    ranks = running_counts(df, value).select(F.col(value).alias("_v"), F.round(below, 1).alias("percentile_rank"))
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 

@@ -256,10 +256,10 @@ def f17_languages(s, d):
     return A.count_by(table(s, d, "documents").select(X.language_of(path).alias("lang")), "lang")
 
 
-@query("SELECT doc_id, n FROM (SELECT doc_id, (doc_id % 25)::BIGINT AS line, row_number() OVER (PARTITION BY doc_id ORDER BY hi - lo, i) AS r, i AS n FROM documents, (SELECT n_nationkey AS i, n_nationkey::BIGINT AS lo, (n_nationkey + n_nationkey % 5)::BIGINT AS hi FROM nation) WHERE doc_id % 25 BETWEEN lo AND hi) WHERE r = 1")
+@query("SELECT doc_id, n FROM (SELECT doc_id, (doc_id % 25)::BIGINT AS line, row_number() OVER (PARTITION BY doc_id ORDER BY hi - lo, i) AS r, i AS n FROM documents, (SELECT n_nationkey AS i, n_nationkey::BIGINT AS lo, (n_nationkey + n_nationkey % 5)::BIGINT AS hi FROM nation) WHERE doc_id % 25 BETWEEN lo AND hi AND doc_id % 4 = i % 4) WHERE r = 1")
 def j15_findings(s, d):
-    findings = table(s, d, "documents").select("doc_id", F.lit("f").alias("file_path"), (F.col("doc_id") % 25).alias("line"))
-    spans = table(s, d, "nation").select(F.lit("f").alias("file_path"), F.col("n_nationkey").alias("n"), F.col("n_nationkey").cast("long").alias("lo"), (F.col("n_nationkey") + F.col("n_nationkey") % 5).cast("long").alias("hi"))
+    findings = table(s, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("file_path"), (F.col("doc_id") % 25).alias("line"))
+    spans = table(s, d, "nation").select((F.col("n_nationkey") % 4).cast("long").alias("file_path"), F.col("n_nationkey").alias("n"), F.col("n_nationkey").cast("long").alias("lo"), (F.col("n_nationkey") + F.col("n_nationkey") % 5).cast("long").alias("hi"))
     return J.containing(findings, spans, ["file_path"], "line", "lo", "hi", ["doc_id"], ["n"]).select("doc_id", "n")
 
 
