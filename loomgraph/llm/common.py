@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,39 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that separates words.
-WORD_SPACE = r"[\x20\x09-\x0D]+"
+from ..plans.tables import materialise, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; a local temporary folder is made only where that is unset and the
-    master is local.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The table goes when the session's file system is closed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = [
+    "blocks", "crc", "doc_remainder", "fresh_name", "materialise", "popcount", "row_key", "salted_join", "shared_dir", "shuffle_width", "trim", "utf8",
+]
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -57,6 +27,14 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or longer, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, salted_join, utf8
+from .common import fresh_name, materialise, row_key, salted_join, utf8
 
 #: The letters that are lower-cased, and no others.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -160,10 +160,11 @@ def check_bytes(docs: DataFrame, digests: DataFrame, groups: DataFrame, id_col:
     shared = groups.filter("size > 1")
     salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
     members = salted_join(digests, shared, "sha").select(
-        "doc_id", "row", "sha", (F.col("doc_id") == F.col("keep_id")).alias("stays"), F.pmod(F.xxhash64("doc_id", "row", F.lit(7)), salts).cast("int").alias("salt"), salts.alias("salts")
+        F.col("doc_id").alias("own_id"), F.col("row").alias("own_row"), "sha", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), F.pmod(F.xxhash64("doc_id", "row", F.lit(7)), salts).cast("int").alias("salt"), salts.alias("salts")
     ).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row"), ascii_lower(F.col(text_col)).alias("norm"))
-    named = materialise(members.join(texts, ["doc_id", "row"]).select("sha", "salt", "salts", "stays", "norm", "doc_id", "row"), "texts")
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row"))
+    named = materialise(members.join(texts, same).select("sha", "salt", "salts", "stays", "norm"), "texts")
     one = named.filter("stays").dropDuplicates(["sha"]).select("sha", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept"))
     differ = named.filter("not stays").join(one, ["sha", "salt"]).filter("norm != kept").count()
     if differ:
@@ -195,7 +196,9 @@ def exact_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with the columns they came with."""
-    stays = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_row", row_key(F.col(text_col)))
-    joined = rows.join(stays, rows[id_col].cast("long").eqNullSafe(stays["_id"]) & (rows["_row"] == stays["_row"]), "left_semi")
-    return joined.dropDuplicates([id_col, "_row"]).drop("_row")
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select("doc_id", "row").distinct()
+    mine, row = fresh_name(docs, "_id"), fresh_name(docs, "_row")
+    rows = docs.withColumn(mine, F.col(id_col).cast("long")).withColumn(row, row_key(F.col(text_col)))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row"))
+    joined = rows.join(kept, rows[mine].eqNullSafe(kept["_kept_id"]) & (rows[row] == kept["_kept_row"]), "left_semi")
+    return joined.dropDuplicates([mine, row]).drop(mine, row)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, popcount, row_key, salted_join, shuffle_width, utf8
+from .common import blocks, fresh_name, materialise, popcount, row_key, salted_join, shuffle_width, utf8
 
 SEED = 42
 #: Relative costs of a bucket row and of a candidate pair, measured.
@@ -401,6 +401,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     """The rows of ``docs`` that stay: of each group of near-duplicates the smallest doc_id, with the columns they came with."""
     groups = materialise(similar_groups(docs, similarity, shingle, id_col, text_col).filter("doc_id is not null"), "similar")
     first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    gone = groups.join(first, "root").filter("node != first.node").select("node")
-    rows = docs.withColumn("_node", F.xxhash64(F.col(id_col).cast("long"), row_key(F.col(text_col))))
-    return rows.join(gone.withColumnRenamed("node", "_node"), "_node", "left_anti").drop("_node")
+    node = fresh_name(docs, "_node")
+    gone = salted_join(groups, first, "root").filter("node != first.node").select(F.col("node").alias(node)).distinct()
+    rows = docs.withColumn(node, F.xxhash64(F.col(id_col).cast("long"), row_key(F.col(text_col))))
+    return rows.join(gone, node, "left_anti").drop(node)

@@ -193,3 +193,10 @@ def test_windows_with_one_hash_are_told_apart(monkeypatch):
     runs = np.concatenate([substring.covered(v, 3) for v in packed.values()])
     gone = {int(r[0]) * 100 + int(r[2]) + k for r in runs for k in range(int(r[3]))}
     assert gone == {301, 302}
+
+
+def test_clashing_columns_stay(spark):
+    names = ["doc_id", "text", "_id", "_row", "_node", "_salt", "row", "node", "root", "sha", "keep_id"]
+    docs = spark.createDataFrame([(1, "a b c", *names[2:]), (2, "A B C", *names[2:]), (3, "other", *names[2:])], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    for kept, ids in ((exact_dedup.keep_one(docs), {2, 3}), (simhash.keep_one(docs), {1, 3})):
+        assert kept.columns == names and {r.doc_id for r in kept.collect()} == ids and {r["_row"] for r in kept.collect()} == {"_row"}
