@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc, utf8
+from .common import blocks
 
 # Classes of code points, and the symbols made of them.
 L, N, O, J, W, X, Q1, Q2, END = range(9)

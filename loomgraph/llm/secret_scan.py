@@ -6,7 +6,6 @@ the document's path and the neighbouring words. It is trained in numpy from labe
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass

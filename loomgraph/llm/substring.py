@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Numbered
-from .common import blocks, materialise, row_key, shuffle_width, utf8
+from .common import blocks, row_key, shuffle_width, utf8
 
 CELLS = 4096
 BLOCK = 8 << 20
