@@ -80,7 +80,7 @@ def impact_report(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFr
 
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, distance): all nodes that some start (column id) reaches, the starts with distance 0."""
-    steps = edges.select("from_node", "to_node").distinct()
+    steps = materialise(edges.select("from_node", "to_node").distinct(), "steps")
     frontier = materialise(starts.select("id").distinct(), "frontier")
     out, d = frontier.withColumn("distance", F.lit(0)), 0
     while not frontier.isEmpty() and (max_rounds is None or d < max_rounds):
@@ -100,7 +100,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFra
 def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 1000) -> list[str]:
     """Nodes of one shortest path, ties by the smaller predecessor; empty if there is none. Only the path reaches the driver."""
     spark = edges.sparkSession
-    steps = edges.select("from_node", "to_node").distinct()
+    steps = materialise(edges.select("from_node", "to_node").distinct(), "steps")
     frontier = spark.createDataFrame([(start, None)], "id string, via string")
     levels = [materialise(frontier, "level")]
     seen = levels[0].select("id")
@@ -120,7 +120,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 100
 
 def distances(edges: DataFrame, starts: DataFrame, max_rounds: int) -> DataFrame:
     """(start, id, distance) for every start, at most ``max_rounds`` hops; the frontier keeps the start."""
-    steps = edges.select("from_node", "to_node").distinct()
+    steps = materialise(edges.select("from_node", "to_node").distinct(), "steps")
     frontier = materialise(starts.select(F.col("id").alias("start"), "id").distinct(), "frontier")
     out = frontier.withColumn("distance", F.lit(0))
     for d in range(1, max_rounds + 1):
@@ -170,7 +170,7 @@ def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
 
 def dependency_tree(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
     """(parent, child, depth, type, truncated): the forward walk's first visits; a child at ``max_depth`` with edges of its own is truncated."""
-    steps = edges.select(F.col("from_node").alias("parent"), F.col("to_node").alias("child"), "type")
+    steps = materialise(edges.select(F.col("from_node").alias("parent"), F.col("to_node").alias("child"), "type"), "steps")
     seen = start.select("id").distinct()
     frontier, levels = seen, []
     for d in range(1, max_depth + 1):
