@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from test_text_models import documents, empty, odd, texts
+from test_text_models import ODD, documents, empty, odd, texts
 
 from loomgraph.llm import exact_dedup, simhash, substring
 
@@ -55,7 +55,7 @@ def test_exact_hot_group_and_other_batches(spark):
 def test_keep_one_text(spark):
     kept = exact_dedup.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 3, 4, 5, 6]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 3, 4, 5, 6, 7, 8]
     assert exact_dedup.keep_one(empty(spark)).count() == 0
 
 
@@ -82,7 +82,7 @@ def test_near_groups(spark):
     want = classes(prints, 4)
     assert all(r.component_id == want[r.doc_id] and r.fp & ((1 << 64) - 1) == prints[r.doc_id] for r in found) and len(found) == len(want)
     strange = simhash.near_groups(odd(spark)).collect()
-    assert len(strange) == 8 and {r.component_id for r in strange if r.doc_id in (1, 2, 5)} == {1} and simhash.near_groups(empty(spark)).count() == 0
+    assert len(strange) == ODD and {r.component_id for r in strange if r.doc_id in (1, 2, 5)} == {1} and simhash.near_groups(empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])

@@ -12,14 +12,16 @@ from loomgraph.llm import bpe, language_id, lm_score, packing, quality, secret_s
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
+ODD = 10  # rows of odd()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, `_id` int"
 
 
 def odd(spark):
-    """Nulls, empty and long texts, repeated rows, columns with clashing names."""
+    """Nulls, empty and long texts, control characters, repeated rows, columns with clashing names."""
     rows = [
         (1, None, None, None, None, "x", 1), (2, "", "en", "s", 0, None, 2), (3, "the the the " * 20000, "en", "a/test", 1, "y", 3), (None, "no id here", "en", "s", 1, "z", 4),
         (4, "same text twice.", "fr", "s", 1, "r", 5), (4, "same text twice.", "fr", "s", 1, "r", 5), (5, "\x0b \t\n", None, "s", 0, "", 6), (6, "x" * 100_000, "de", "s", 0, "q", 7),
+        (7, "a\0b c d\x1c\x1d e\x85f \x01\x02\x7f \u2028 g\0", "en", "s", 0, "p", 8), (8, "hello a b \0 c", "en", "s", 0, "o", 9),
     ]
     return spark.createDataFrame(rows, DOCS)
 
@@ -63,7 +65,7 @@ def test_bpe_query(spark, encoding):
         ids = encoding.encode_ordinary(text)
         assert found[i].n_tokens == len(ids) and found[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert found[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    assert bpe.digests(odd(spark), P.path("byte_bpe_50k.tiktoken")).count() == 8 and bpe.digests(empty(spark), P.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert bpe.digests(odd(spark), P.path("byte_bpe_50k.tiktoken")).count() == ODD and bpe.digests(empty(spark), P.path("byte_bpe_50k.tiktoken")).count() == 0
     row = bpe.encode(odd(spark), P.path("byte_bpe_50k.tiktoken")).filter("doc_id = 1").first()
     assert row.n_tokens == 0 and row.piece_starts == []
 
@@ -202,11 +204,56 @@ def test_language_model(spark):
     held = [r for r in found.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     strange = [r for r in lm_score.score(odd(spark)).collect()]
-    assert len(strange) == 8 and {r.n_tokens for r in strange if r.doc_id in (1, 2, 5)} == {1} and lm_score.score(empty(spark)).count() == 0
+    assert len(strange) == ODD and {r.n_tokens for r in strange if r.doc_id in (1, 2, 5)} == {1} and lm_score.score(empty(spark)).count() == 0
+
+
+def brute_score(model, words, counts, hashes, classes):
+    """The model's log10 probability of one document, from its weights, token by token in plain Python."""
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & full
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & full
+        return h ^ (h >> 31)
+
+    mass = model.mass.tolist()
+    shares = [sum(mass[g * 8 : g * 8 + 8]) for g in range(8)]
+    total = 0.0
+    for i, w in enumerate(words):
+        word = lambda k: hashes[words[i - k]] + 0x1000 if i >= k else 0xB05  # noqa: B023, E731
+        kind = lambda k: classes[words[i - k]] + 0x1000 if i >= k else 0xB05  # noqa: B023, E731
+        keys = [word(1), word(2), word(3), word(1) * 0x9E3779B97F4A7C15 + word(2), kind(1) * 0x10000 + kind(2)]
+        marks = [mix((key * 8 + k) & full) for k, key in enumerate(keys)]
+        group, side = divmod(classes[w], 8)
+        x = [math.log(shares[g] / sum(shares)) + sum(float(model.weights[m % lm_score.CELLS][g]) for m in marks) for g in range(8)]
+        y = [math.log(mass[group * 8 + c] / shares[group]) + sum(float(model.weights[((m >> 32) + group * 0x2545F) % lm_score.CELLS][c]) for m in marks) for c in range(8)]
+        total += x[group] - math.log(sum(map(math.exp, x))) + y[side] - math.log(sum(map(math.exp, y))) + math.log((counts[w] + 1) / mass[classes[w]])
+    return total / math.log(10)
+
+
+def test_language_model_scores_by_brute_force(spark):
+    docs = documents(spark).union(odd(spark).select(documents(spark).columns)).filter("doc_id is not null")
+    table, model = lm_score.prepare(docs.select("doc_id", (lm_score.doc_remainder(docs.doc_id, 7) == 2).alias("held"), "text"))
+    model = lm_score.train(table, model)
+    assert np.abs(model.weights).max() > 0.1
+    batches = [lm_score.Batch.of(r.asDict(recursive=True)) for r in table.collect()]
+    found = {(int(i), int(n)): s for b in batches for i, n, s in zip(b.doc_id, b.sizes, lm_score.score_batch(model, b)[2])}
+    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), lm_score.END_WORD] for r in docs.collect()}
+    counts = Counter(w for i, t in {(r.doc_id, k): r for k, r in enumerate(docs.collect())}.items() if zlib.crc32(str(i[0]).encode()) % 7 != 2 for w in [*(t.text or "").encode().lower().split(), lm_score.END_WORD])
+    listed = list({w for t in tokens.values() for w in t})
+    hashes = lm_score.word_hashes(listed)
+    classes = dict(zip(listed, model.classify(np.array([counts[w] for w in listed]), hashes).tolist()))
+    hashes = dict(zip(listed, hashes.tolist()))
+    for i, t in [x for x in tokens.items() if len(x[1]) < 2000][-60:]:
+        assert math.isclose(found[i, len(t)], brute_score(model, t, counts, hashes, classes), rel_tol=1e-4)
+
+
+def small_model():
+    return lm_score.make_classes([(b, s, 3, 3 * b) for b in range(1, 40) for s in range(lm_score.SPREAD)])
 
 
 def test_language_model_is_a_distribution():
-    model = lm_score.make_classes([(b, s, 3, 3 * b) for b in range(1, 40) for s in range(lm_score.SPREAD)])
+    model = small_model()
     rng = np.random.default_rng(4)
     model.weights[:] = rng.normal(size=model.weights.shape) * 0.3
     counts, hashes = np.repeat(np.arange(1, 40), 3 * lm_score.SPREAD), np.tile(np.arange(lm_score.SPREAD, dtype=np.uint32), 39 * 3)
@@ -219,6 +266,34 @@ def test_language_model_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_language_model_gradient_is_the_derivative():
+    model = small_model()
+    rng = np.random.default_rng(6)
+    model.weights[:] = rng.normal(size=model.weights.shape) * 0.3
+    n = 50
+    counts, hashes = rng.integers(1, 40, n), rng.integers(0, 1 << 31, n).astype(np.uint32)
+    batch = lm_score.Batch(np.array([1]), np.array([n]), np.array([False]), np.arange(n), counts, hashes)
+    _, marks, target = batch.prepared(model)
+    cell, many, slope = lm_score.gradient(lm_score.Scorer(model), marks, target)
+    assert many.sum() == 2 * lm_score.FEATURES * n
+
+    def likelihood():
+        group, side = target // lm_score.SIDE, target % lm_score.SIDE
+        x, y = (z.astype(float) for z in lm_score.Scorer(model).logits(*lm_score.cells(marks, group), group))
+        each = np.arange(n)
+        return (x[each, group] - np.log(np.exp(x).sum(1)) + y[each, side] - np.log(np.exp(y).sum(1))).sum()
+
+    for k in rng.choice(len(cell), 12, replace=False):
+        for w in range(lm_score.GROUPS):
+            old = model.weights[cell[k], w]
+            model.weights[cell[k], w] = old + 0.05
+            up = likelihood()
+            model.weights[cell[k], w] = old - 0.05
+            down = likelihood()
+            model.weights[cell[k], w] = old
+            assert abs((up - down) / 0.1 - slope[k, w]) < 2e-2
+
+
 def test_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
     extra = spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "HTTP://WWW.Example.COM/en/x?y"), (-4, "http://a.example.com/en/1"), (-5, "x://net"), (-6, "x://q.net/es/?"), (-7, "ftp://é.org#f")], "page_id long, url string")
@@ -262,7 +337,7 @@ def test_secrets(spark):
     assert clean.count() == len(rows) and clean.columns == docs.columns and clean.filter(clean.text.rlike('token = "[0-9a-f]{40}"')).count() == 0
     same = {r.doc_id: r.text for r in clean.collect()}
     assert all(same[r.doc_id] == r.text for r in rows if r.doc_id not in {i for i, _ in found})
-    assert secret_scan.redact(odd(spark), scanner).count() == 8 and secret_scan.findings(empty(spark), scanner).count() == 0
+    assert secret_scan.redact(odd(spark), scanner).count() == ODD and secret_scan.findings(empty(spark), scanner).count() == 0
     assert secret_scan.train(empty(spark)) is not None
 
 
