@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -134,12 +135,16 @@ class Numbered(dict):
         return at
 
 
+LONG = 256  # bytes from which a word is merged by a heap: passes over it would grow with its square
+
+
 class Merger:
-    """Merges pairs of tokens by rank, many words at once, and keeps what it has merged."""
+    """Merges pairs of tokens by rank, many words at once, long ones each by a heap, and keeps what it has merged."""
 
-    def __init__(self, single: np.ndarray, pairs: dict[tuple[int, int], tuple[int, int]], vocabulary: dict[bytes, int], whole: bool, kept: int = 400_000):
+    def __init__(self, single: np.ndarray, pairs: dict[tuple[int, int], tuple[int, int]], vocabulary: dict[bytes, int], whole: bool, kept: int = 400_000, kept_letters: int = 32 << 20):
         """single: id of each byte; pairs: (a, b) to (rank, id); whole: a word that is a token is that token."""
-        self.single, self.vocabulary, self.whole, self.kept = single, vocabulary, whole, kept
+        self.single, self.vocabulary, self.whole, self.kept, self.kept_letters = single, vocabulary, whole, kept, kept_letters
+        self.table: dict[int, int] = {}  # of pairs, filled when a long word comes
         keys = np.array([(a << 32) | b for a, b in pairs], np.uint64)
         vals = np.array([(r << 32) | t for r, t in pairs.values()], np.uint64)
         self.bits = max(8, int(len(keys) * 4).bit_length())
@@ -159,6 +164,7 @@ class Merger:
 
     def clear(self) -> None:
         self.index = Numbered()
+        self.letters = 0
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -187,9 +193,17 @@ class Merger:
         done: dict[int, int] = {}
         if self.whole:
             done = {i: t for i, w in enumerate(words) if (t := self.vocabulary.get(w)) is not None}
-        todo = [i for i in range(len(words)) if i not in done]
         owner_out = [np.fromiter(done, np.int64, len(done))]
         ids_out = [np.fromiter(done.values(), np.uint32, len(done))]
+        todo = []
+        for i, w in enumerate(words):
+            if i in done:
+                continue
+            if len(w) < LONG:
+                todo.append(i)
+            else:
+                ids_out.append(self.merge_long(w))
+                owner_out.append(np.full(len(ids_out[-1]), i, np.int64))
         flat = self.single[np.frombuffer(b"".join([words[i] for i in todo]), np.uint8)]
         owner = np.repeat(np.array(todo, np.int64), [len(words[i]) for i in todo])
         ranks = self._pairs(flat, owner)
@@ -224,6 +238,47 @@ class Merger:
         order = np.argsort(owners, kind="stable")
         return np.bincount(owners, minlength=len(words)), ids[order]
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, in about n log n steps: a heap of (rank, place) over a linked list of tokens; entries that no longer
+        hold are passed over."""
+        if not self.table:
+            there = self.keys != np.uint64(0xFFFFFFFFFFFFFFFF)
+            self.table = dict(zip(self.keys[there].tolist(), self.vals[there].tolist()))
+        flat = self.single[np.frombuffer(word, np.uint8)]
+        n, none, low = len(flat), -1, 0xFFFFFFFF
+        first = self._pairs(flat, np.zeros(n, np.int64))
+        merges = first != np.uint64(0xFFFFFFFFFFFFFFFF)
+        found = np.where(merges, first, 0).astype(np.int64)
+        found[~merges] = none
+        at = np.flatnonzero(merges)
+        heap = np.sort((found[at] >> 32 << 32) | at).tolist()  # sorted is a heap
+        value, ids = found.tolist(), flat.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        get, pop, push = self.table.get, heapq.heappop, heapq.heappush
+        while heap:
+            entry = pop(heap)
+            i = entry & low
+            v = value[i]
+            if v < 0 or v >> 32 != entry >> 32:
+                continue
+            j = after[i]
+            ids[i] = own = v & low
+            value[j] = ids[j] = none
+            after[i] = k = after[j]
+            v = none
+            if k < n:
+                before[k] = i
+                v = get(own << 32 | ids[k], none)
+                if v >= 0:
+                    push(heap, v >> 32 << 32 | i)
+            value[i] = v
+            k = before[i]
+            if k >= 0:
+                value[k] = v = get(ids[k] << 32 | own, none)
+                if v >= 0:
+                    push(heap, v >> 32 << 32 | k)
+        return np.array([x for x in ids if x >= 0], np.uint32)
+
     def _pairs(self, flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
         out = np.full(len(flat), np.uint64(0xFFFFFFFFFFFFFFFF))
         if len(flat) > 1:
@@ -244,13 +299,14 @@ class Merger:
         real = ~is_end[marks]
         marks, stops = marks[real], stops[real]
         pieces = [joined[a:b] for a, b in zip(marks.tolist(), stops.tolist())]
-        if len(self.index) > self.kept:
+        if len(self.index) > self.kept or self.letters > self.kept_letters:
             self.clear()
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if fresh := self.index.fresh:
             lengths, ids = self.merge([p.encode("utf-8", "replace") for p in fresh])
             self.lengths, self.ids = np.r_[self.lengths, lengths], np.r_[self.ids, ids]
             self.before = np.r_[0, np.cumsum(self.lengths)]
+            self.letters += sum(map(len, fresh))
             self.index.fresh = []
         counts = self.lengths[at] if len(at) else np.zeros(0, np.int64)
         total = np.r_[0, np.cumsum(counts)]
@@ -356,7 +412,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then decoded from the ids.
 
-    Null and empty texts have no tokens and the digests of nothing; repeated rows each give a row.
+    Null and empty texts have no tokens and the digests of nothing; repeated rows each give a row, and an empty table none.
+    Equal ranks can't be: of pairs of one rank in a word the leftmost merges first. Long runs without a boundary (a line of
+    base64, unspaced script) take n log n steps.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
