@@ -2,8 +2,8 @@
 
 P(word | history) = P(group | history) * P(class | group, history) * P(word | class). Classes hold about equal shares of the
 corpus, from frequent words to rare ones, and neighbouring classes make a group. The first two factors are softmaxes of summed
-weights of n-gram and skip features: the word before, the ones two and three back alone, the two before together, and the
-classes of these two. Every feature, of every word, is hashed with its group into one table of weights. The third factor
+weights of n-gram and skip features: the word before, the one two back alone, the two before together, and the classes of
+these two. Every feature, of every word, is hashed with its group into one table of weights. The third factor
 follows from counts, add one. With all weights zero the model is the smoothed unigram model; gradient updates move it from
 there: each task climbs the log-likelihood of its share of the corpus in mini-batches (seen minus expected, step sizes by the
 squared gradients so far, weights drawn to zero), the tasks' weights are averaged by how often each touched a cell, and the
@@ -34,12 +34,12 @@ GROUPS = 8
 CLASSES = 8 * GROUPS
 SIDE = CLASSES // GROUPS  # classes of a group
 CELLS = 1 << 18  # rows of GROUPS (or SIDE, as many) weights
-FEATURES = 5
+FEATURES = 4
 ROUNDS = 3  # each sees every ROUNDS-th batch, so that all together see the corpus once
-RATE = 0.5  # of a step
+RATE = 0.7  # of a step
 CALM = 30.0  # squared gradient that each cell is taken to have seen: rare features move little
 DECAY = 1e-2  # share of its weight that a cell loses by each token that has it
-MINI = 8192  # tokens of an update
+MINI = 1 << 16  # tokens of an update
 RANGES = 16  # the table's ranges, by which tasks' updates are averaged
 SPREAD = 32  # words that aren't frequent are dealt over classes by so many hash values of their last two bytes
 BATCH = 2 << 20
@@ -231,8 +231,8 @@ def feature_hashes(words: np.ndarray, classes: np.ndarray, place: np.ndarray) ->
         return out
 
     words, classes = words.astype(np.uint64), classes.astype(np.uint64)
-    one, two, three = (back(words, k) for k in (1, 2, 3))
-    keys = (one, two, three, one * np.uint64(0x9E3779B97F4A7C15) + two, back(classes, 1) * np.uint64(0x10000) + back(classes, 2))
+    one, two = back(words, 1), back(words, 2)
+    keys = (one, two, one * np.uint64(0x9E3779B97F4A7C15) + two, back(classes, 1) * np.uint64(0x10000) + back(classes, 2))
     return np.stack([_mix(key * np.uint64(8) + np.uint64(k)) for k, key in enumerate(keys)])
 
 
@@ -284,25 +284,21 @@ class Batch:
         return classes, feature_hashes(self.hashes[self.tokens], target, place), target
 
 
-def gradient(scorer: Scorer, hashes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the tokens' log-likelihood by the weights: the cells touched, how often each was, and the gradient of its weights
-    (seen minus expected)."""
+def gradient(scorer: Scorer, hashes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens' log-likelihood by the weights: how many tokens touched each cell, and the gradient of its weights (seen
+    minus expected)."""
     group, side, n = target // SIDE, target % SIDE, len(target)
     own = cells(hashes, group)
-    errors = np.empty((2 * n, GROUPS), np.float32)
-    for k, (chance, hit) in enumerate(zip(scorer.logits(*own, group), (group, side))):
-        chance -= chance.max(1, keepdims=True)
+    slope = np.zeros((CELLS, GROUPS), np.float32)
+    chances = scorer.logits(*own, group)
+    for chance, hit in zip(chances, (group, side)):
         np.exp(chance, chance)
-        chance /= chance.sum(1, keepdims=True)
-        np.negative(chance, errors[k * n : k * n + n])
-        errors[np.arange(k * n, k * n + n), hit] += 1
-    flat = np.concatenate([own[0].ravel(), own[1].ravel()])
-    order = np.argsort(flat)
-    token = order % n
-    token[order >= hashes.size] += n
-    flat = flat[order]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    return flat[first], np.diff(np.r_[first, len(flat)]), np.add.reduceat(errors[token], first, axis=0)
+        chance /= -chance.sum(1, keepdims=True)
+        chance[np.arange(n), hit] += 1
+    flat = np.concatenate([own[0].ravel(), own[1].ravel()]).astype(np.intp)  # counted into the whole table: no sorting
+    for k in range(GROUPS):
+        slope[:, k] = np.bincount(flat, np.concatenate([x for chance in chances for x in [chance[:, k]] * len(hashes)]), CELLS)
+    return np.bincount(flat, minlength=CELLS), slope
 
 
 def climb(model: Model, batch: Batch, touched: np.ndarray) -> None:
@@ -312,11 +308,12 @@ def climb(model: Model, batch: Batch, touched: np.ndarray) -> None:
     hashes, target = hashes[:, learn], target[learn]
     scorer = Scorer(model)
     for a in range(0, len(target), MINI):
-        cell, many, slope = gradient(scorer, hashes[:, a : a + MINI], target[a : a + MINI])
-        touched[cell] += many
-        slope -= DECAY * many[:, None] * model.weights[cell]
-        model.squares[cell] += (slope * slope).mean(1)
-        model.weights[cell] += RATE * slope / np.sqrt(model.squares[cell] + CALM)[:, None]
+        many, slope = gradient(scorer, hashes[:, a : a + MINI], target[a : a + MINI])
+        touched += many
+        slope -= (DECAY * many.astype(np.float32))[:, None] * model.weights
+        model.squares += np.einsum("ij,ij->i", slope, slope) / GROUPS
+        slope *= (RATE / np.sqrt(model.squares + CALM))[:, None]
+        model.weights += slope
 
 
 def score_batch(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
