@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,13 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As ``materialise``, with the number of rows, which is observed while they are written: no job of its own."""
+    rows = Observation()
+    out = materialise(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
+    return out, rows.get["n"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``materialise`` that nothing reads any more: what was made of them must be written itself."""
     for table in tables:
