@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import discard, materialise, shared_dir
+from ..plans.tables import counted, discard, materialise, shared_dir
 
 __all__ = [
-    "blocks", "crc", "discard", "doc_remainder", "fresh_name", "materialise", "popcount", "row_key", "salted_join", "shared_dir", "shuffle_width", "trim", "utf8",
+    "blocks", "counted", "crc", "discard", "doc_remainder", "fresh_name", "materialise", "popcount", "row_key", "salted_join", "shared_dir", "shuffle_width", "trim", "utf8",
 ]
 
 

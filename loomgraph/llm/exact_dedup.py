@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialise, row_key, salted_join, utf8
+from .common import counted, discard, fresh_name, materialise, row_key, salted_join, utf8
 
 #: The letters that are lower-cased, and no others.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -183,20 +183,28 @@ def exact_groups(
     if incoming is None:
         incoming = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     table = materialise(digest(docs, id_col, text_col).withColumn("incoming", F.coalesce(incoming, F.lit(False))), "digests")
-    snapshot = materialise(_grouped(table.filter("not incoming")), "snapshot")
-    shards = max(1, -(-snapshot.count() // SHARD_KEYS))
+    snapshot, kept = counted(_grouped(table.filter("not incoming")), "snapshot")
+    batch, more = counted(_grouped(table.filter("incoming")), "batch")
+    shards = max(1, -(-max(kept, more) // SHARD_KEYS))  # neither side of a shard outgrows a task
     index = materialise(filters(snapshot, shards), "filters")
-    groups = materialise(merge_groups(snapshot, _grouped(table.filter("incoming")), index, shards), "groups")
+    groups = materialise(merge_groups(snapshot, batch, index, shards), "groups")
     if verify:
         check_bytes(docs, table, groups, id_col, text_col)
+    discard(snapshot, batch, index)
     return salted_join(table, groups, "sha").select(
         "doc_id", "row", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with the columns they came with."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select("doc_id", "row").distinct()
+    """The rows of ``docs`` that stay, one for each text (A-Z lower-cased), with the columns they came with.
+
+    Of equal texts the row with the largest doc_id stays (a null one only if all are null); if that doc_id has the text in
+    several spellings, the one with the smallest hash; of rows alike in both, any one. Null counts as empty; an empty table
+    stays empty.
+    """
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept")
+    kept = kept.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.doc_id", "first.row")
     mine, row = fresh_name(docs, "_id"), fresh_name(docs, "_row")
     rows = docs.withColumn(mine, F.col(id_col).cast("long")).withColumn(row, row_key(F.col(text_col)))
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row"))
