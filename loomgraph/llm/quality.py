@@ -8,6 +8,7 @@ the posterior probability of a good text decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -128,36 +129,48 @@ def unpack(pattern: np.ndarray, rules: int) -> np.ndarray:
     return (pattern[:, None] // 3 ** np.arange(rules)) % 3 - 1
 
 
-#: Bounds on how often a rule speaks against a good text, and against a bad one.
-FALSE_ALARM, HIT = (0.0005, 0.01), (0.1, 0.98)
+#: One-sided prior: rules seldom speak against a good text; at this rate in as many made-up good texts as there are texts.
+FALSE_ALARM = 0.001
 
 
-def fit(pattern: np.ndarray, count: np.ndarray, rules: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM: posterior of a good text for each pattern, chances of a vote against it (good/bad text x rules) and
-    the share of good texts.
+@dataclass(frozen=True)
+class Fit:
+    """Posterior of a good text for each pattern; for each rule the chances of a vote against a good and a bad text; the share of
+    good texts."""
+
+    good: np.ndarray
+    against: np.ndarray
+    share: float
+
+
+def fit(pattern: np.ndarray, count: np.ndarray, rules: int, rounds: int = 500) -> Fit:
+    """EM over the counts of vote patterns.
 
     Bad texts are of many kinds, each known to a rule or two, so that votes for a text say little about its kind and one
-    vote against it may say much; how much, follows from the chances. It starts from texts with a vote against them as
-    mostly bad. The bounds keep the two classes from changing places.
+    vote against it may say much; how much, follows from the chances, which are all estimated: against good texts under the
+    prior above, against bad ones freely (half a vote of each kind added). A rule is never taken to be worse than chance; that
+    keeps the two classes from changing places. It starts from texts with a vote against them as mostly bad.
     """
     v = unpack(pattern, rules)
     is_vote = np.stack([v < 0, v > 0], 2).astype(float)  # pattern x rule x vote; who abstains says nothing
     good = np.where((v < 0).any(1), 0.1, np.where((v > 0).sum(1) * 2 > rules, 0.95, 0.5))
-    chance, share = np.zeros((2, rules)), 0.5
+    total = float(count.sum())
+    made_up = np.array([[FALSE_ALARM * total + 0.5, (1 - FALSE_ALARM) * total + 0.5], [0.5, 0.5]])
+    against, share = np.zeros((2, rules)), 0.5
     for _ in range(rounds if len(v) else 0):
         w = np.stack([count * good, count * (1 - good)])
-        share = float(np.clip(w[0].sum() / count.sum(), 0.05, 0.95))
-        for y, (low, high) in enumerate((FALSE_ALARM, HIT)):
-            n = np.einsum("p,prv->rv", w[y], is_vote) + 0.5
-            chance[y] = np.clip(n[:, 0] / n.sum(1), low, high)
-        says = np.stack([np.log(chance[0] / chance[1]), np.log((1 - chance[0]) / (1 - chance[1]))], 1)
+        share = float((w[0].sum() + 1) / (total + 2))
+        n = np.einsum("yp,prv->yrv", w, is_vote) + made_up[:, None]
+        against = n[:, :, 0] / n.sum(2)
+        against[1] = np.maximum(against[1], against[0])
+        says = np.stack([np.log(against[0] / against[1]), np.log((1 - against[0]) / (1 - against[1]))], 1)
         odds = np.log(share / (1 - share)) + np.einsum("prv,rv->p", is_vote, says)
         fresh = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         done = np.abs(fresh - good).max() < 1e-9
         good = fresh
         if done:
             break
-    return good, chance, share
+    return Fit(good, against, share)
 
 
 def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
@@ -180,18 +193,33 @@ def vote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def posteriors(table: DataFrame) -> dict[int, float]:
-    """Posterior by vote pattern; fewer than 3 ** len(RULES) patterns reach the driver."""
+def estimate(table: DataFrame) -> tuple[np.ndarray, np.ndarray, Fit]:
+    """Vote patterns, their counts and what EM makes of them; fewer than 3 ** len(RULES) patterns reach the driver."""
     rows = table.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     pattern, count = (np.array([r[c] for r in rows], np.int64) for c in ("pattern", "n"))
-    return dict(zip(pattern.tolist(), fit(pattern, count, len(RULES))[0].tolist()))
+    return pattern, count, fit(pattern, count, len(RULES))
+
+
+def posteriors(table: DataFrame) -> dict[int, float]:
+    """Posterior by vote pattern."""
+    pattern, _, found = estimate(table)
+    return dict(zip(pattern.tolist(), found.good.tolist()))
+
+
+def accuracies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rule, false_alarm, hit, against): how often each rule is estimated to speak against a good and a bad text, and how many texts
+    it speaks against. An empty table gives a line for each rule, without votes."""
+    pattern, count, found = estimate(vote_table(docs, id_col, text_col))
+    votes_against = ((unpack(pattern, len(RULES)) < 0) * count[:, None]).sum(0) if len(pattern) else np.zeros(len(RULES), np.int64)
+    rows = [(r[0], float(found.against[0, k]), float(found.against[1, k]), int(votes_against[k])) for k, r in enumerate(RULES)]
+    return docs.sparkSession.createDataFrame(rows, "rule string, false_alarm double, hit double, against long")
 
 
 def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, counts of STATS, base_failed, quality, kept) for every row of ``docs``.
 
-    kept: at least ``least`` posterior probability of a good text, and the base rules hold (50 words; at most half of them
-    repeated). Null and empty texts fail; repeated rows are judged alike; an empty table gives no rows.
+    kept: at least ``least`` posterior probability of a good text (a tie stays), and the base rules hold (50 words; at most half
+    of them repeated). Null and empty texts fail; repeated rows are judged alike; an empty table gives no rows.
     """
     table = materialise(vote_table(docs, id_col, text_col), "votes")
     known = sorted(posteriors(table).items())
@@ -203,7 +231,11 @@ def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with the columns they came with; texts are judged where they are, without a shuffle."""
+    """The rows of ``docs`` that ``judge`` keeps, with the columns they came with; texts are judged where they are, without a shuffle.
+
+    Null and empty texts go, as do those under 50 words; repeated rows stay or go together; a posterior of just ``least`` stays;
+    an empty table stays empty.
+    """
     known = posteriors(vote_table(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
