@@ -88,7 +88,8 @@ def plan(histogram: dict[int, int], capacity: Capacity) -> Plan:
                 rest = left[fits]
                 score = ((rest - item) ** 2 * scale).sum(1) if capacity.by == "norm" else -(rest * item * scale).sum(1)
                 at = fits[np.argmin(score)]
-                per = int((left[at] // item).min())
+                # by norm a filled sequence stays the best one; by dot product the others of its run come first
+                per = int((left[at] // item).min()) if capacity.by == "norm" else 1
                 runs, base, what = min(int(many[at]), todo // per), left[at].copy(), inside[at]
                 room = int(many[at])
                 if runs:
@@ -167,8 +168,9 @@ def pack(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset): every piece with its sequence and its place there.
 
-    A null or empty text is one piece with the separator alone; repeated rows are packed each; an empty table gives no
-    rows. ids (little-endian unsigned 32-bit) is null unless ``keep_ids``. The driver gets the histogram of lengths only:
+    A null or empty text is one piece with the separator alone; repeated rows are packed each; pieces of one length take
+    their places in the order of tasks and rows, so that ties need no rule; an empty table gives no rows. With the default
+    capacity tokens alone decide; ``documents`` and ``attention`` below what the tokens allow cut too. ids (little-endian unsigned 32-bit) is null unless ``keep_ids``. The driver gets the histogram of lengths only:
     at most ``capacity.tokens`` rows.
     """
     capacity = capacity or Capacity()
