@@ -220,10 +220,11 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
-    It learns from rows whose crc32(doc_id as text) mod 3 is not 1 (a null id: none) and whose language is known; held_out
-    are the others of remainder 1. Repeated rows are labelled alike; an empty table gives no rows.
+    It learns from rows whose crc32(doc_id as text) mod 3 is not 1 and whose language is known; rows of remainder 1 are held out,
+    as are those without a doc_id. A null text, or one without a letter, is ``und``; of equal shares the first language by name
+    wins; repeated rows are labelled alike; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     net = train(samples(rows.filter(doc_remainder(F.col("doc_id"), 3) != 1)))
     found = predict(rows, net)
-    return found.select("doc_id", (doc_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(doc_remainder(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
