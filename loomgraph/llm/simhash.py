@@ -4,7 +4,8 @@ Fingerprint bits are grouped into partitions, correlated bits together. Two fing
 to t_i bits in some partition i, if the sum of (t_i + 1) exceeds the radius; the t_i, unequal, come from a dynamic
 programme on estimated candidate counts. A fingerprint goes to the buckets that its partitions name (one for t = 0, one
 for each bit left out for t = 1, the ball of half the threshold for t = 2 and 4). A bucket links its members by a spanning
-forest, never by all pairs.
+forest, never by all pairs. A bucket with very many members is dealt out again by the same principle over the bits that its
+members needn't share, until no bucket is that large or no bits are left.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh_name, materialise, popcount, row_key, salted_join, shuffle_width, utf8
+from .common import blocks, counted, discard, fresh_name, materialise, popcount, row_key, salted_join, shuffle_width, utf8
 
 SEED = 42
 #: Relative costs of a bucket row and of a candidate pair, measured.
 ROW_COST, PAIR_COST = 2.0, 0.05
+HOT = 4096  # members of a bucket from which it is split
 SMALL = 8  # members of a bucket up to which pairs are compared side by side with other buckets'
 
 
@@ -59,12 +61,16 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, print array<long>) of every whole text; no words: zero."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", empty: bool = True) -> DataFrame:
+    """(doc_id, row, print array<long>) of every whole text; no words: zero, or without ``empty`` no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            found = np.array([fingerprint(shingle_hashes(t, shingle), words) for t in utf8(part.column("text"))], np.uint64).reshape(-1)
+        for part in blocks(batches, "text", 4 << 20):
+            hashes = [shingle_hashes(t, shingle) for t in utf8(part.column("text"))]
+            if not empty:
+                part = part.filter(pa.array([len(h) > 0 for h in hashes], pa.bool_()))
+                hashes = [h for h in hashes if len(h)]
+            found = np.array([fingerprint(h, words) for h in hashes], np.uint64).reshape(-1)
             prints = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, words, dtype=np.int32)), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), prints], ["doc_id", "row", "print"])
 
@@ -109,11 +115,15 @@ def group_bits(correlated: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def within(p: np.ndarray, most: int) -> np.ndarray:
-    """Chance that two fingerprints differ in at most 0, 1, ... ``most`` of these bits."""
+def within(p: np.ndarray, correlated: np.ndarray, most: int) -> np.ndarray:
+    """Chance that two fingerprints differ in at most 0, 1, ... ``most`` of these bits, by as many independent bits as the
+    correlated ones are worth: n over one plus the mean correlation to the others times (n - 1)."""
+    n = len(p)
+    mean = (correlated.sum() - np.trace(correlated)) / max(n * (n - 1), 1)
+    worth = max(1, round(n / (1 + mean * (n - 1)))) if n else 0
     chance = np.zeros(most + 2)
     chance[0] = 1
-    for q in 2 * p * (1 - p):
+    for q in np.full(worth, (2 * p * (1 - p)).mean() if n else 0.0):
         chance[1:] = chance[1:] * (1 - q) + chance[:-1] * q
         chance[0] *= 1 - q
     return np.cumsum(chance)[: most + 1]
@@ -129,14 +139,15 @@ class Probe:
     threshold: int
 
 
-def allocate(p: np.ndarray, correlated: np.ndarray, n: int, radius: int) -> list[Probe]:
-    """Partitions and thresholds of the least estimated cost that find every pair within ``radius``."""
+def allocate(p: np.ndarray, correlated: np.ndarray, n: int, radius: int, bits: list[int] | None = None) -> list[Probe]:
+    """Partitions (of ``bits``, or all) and thresholds of the least estimated cost that find every pair within ``radius``."""
+    bits = list(range(len(p))) if bits is None else bits
     best: tuple[float, list[Probe]] = (float("inf"), [])
-    for parts in range(1, min(radius + 1, 8) + 1):
-        groups = group_bits(correlated, parts)
+    for parts in range(1, min(radius + 1, 8, len(bits)) + 1):
+        groups = [[bits[k] for k in g] for g in group_bits(correlated[np.ix_(bits, bits)], parts)]
         costs = []
         for g in groups:
-            chance = within(p[g], 4)
+            chance = within(p[g], correlated[np.ix_(g, g)], 4)
             costs.append({t: (bucket_rows(len(g), t) * n * ROW_COST + chance[t] * n * n / 2 * PAIR_COST) if t >= 0 else 0.0 for t in (-1, 0, 1, 2, 4)})
         table = {0: (0.0, ())}  # thresholds' sum so far, capped at what is needed
         for c in costs:
@@ -178,6 +189,16 @@ def bucket_keys(prints: np.ndarray, probes: list[Probe]) -> np.ndarray:
     return np.stack(columns, 1) if columns else np.zeros((len(prints), 0), np.uint64)
 
 
+def bucket_masks(probes: list[Probe]) -> np.ndarray:
+    """For each column of ``bucket_keys`` the bits that a bucket's members share for certain; of balls none."""
+    out = []
+    for probe in probes:
+        mask, drop, turn = flips(probe)
+        for d in drop:
+            out += [mask & ~d if len(turn) == 1 else 0] * len(turn)
+    return np.array(out, np.uint64)
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return popcount(a ^ b).sum(-1, dtype=np.int64)
 
@@ -185,7 +206,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def forest(prints: np.ndarray, radius: int) -> np.ndarray:
     """For each of these (distinct) fingerprints, the first one of its component under links of at most ``radius`` bits.
 
-    Every fingerprint joins the leaders near it, or becomes one; only members of components still apart are then compared.
+    Every fingerprint joins the first leader near it, or becomes one; only members of components still apart are then compared.
     """
     n = len(prints)
     parent = np.arange(n)
@@ -196,16 +217,14 @@ def forest(prints: np.ndarray, radius: int) -> np.ndarray:
             x = parent[x]
         return x
 
-    leaders: list[int] = []
-    for i in range(n):
-        if leaders:
-            near = np.flatnonzero(_distance(prints[leaders], prints[i]) <= radius)
-            if len(near):
-                for k in near.tolist():
-                    a, b = sorted((root(leaders[k]), root(i)))
-                    parent[b] = a
-                continue
-        leaders.append(i)
+    left = np.arange(n)
+    led: list[tuple[int, np.ndarray]] = []
+    while len(left):  # the first one left leads all that are near it
+        near = _distance(prints[left], prints[left[0]]) <= radius
+        led.append((int(left[0]), left[near]))
+        left = left[~near]
+    for leader, own in led:
+        parent[own] = leader
     top = np.array([root(i) for i in range(n)])
     for _ in range(n):
         tops, sizes = np.unique(top, return_counts=True)
@@ -251,32 +270,34 @@ def bucket_links(key: np.ndarray, node: np.ndarray, prints: np.ndarray, radius:
     return np.unique(np.sort(pairs, 1), axis=0) if len(pairs) else pairs
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, node, prints) of rows in order of their keys, cut where a bucket ends."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in batches:
+        if not part.num_rows:
+            continue
+        key, node, prints = part.column("key").to_numpy(), part.column("node").to_numpy(), _prints(part, words)
+        cut = np.flatnonzero(key != key[-1])
+        cut = cut[-1] + 1 if len(cut) else 0
+        if cut:
+            held.append((key[:cut], node[:cut], prints[:cut]))
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+        elif held and held[-1][0][-1] != key[0]:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+        held.append((key[cut:], node[cut:], prints[cut:]))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def links(buckets: DataFrame, radius: int, words: int) -> DataFrame:
     """(a, b): buckets has key, node and print (binary), one row for each fingerprint and bucket."""
 
-    def pairs(key, node, prints):
-        found = bucket_links(key, node, prints, radius)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for part in batches:
-            if not part.num_rows:
-                continue
-            key, node = part.column("key").to_numpy(), part.column("node").to_numpy()
-            prints = np.stack([part.column(f"p{i}").to_numpy() for i in range(words)], 1).view(np.uint64)
-            cut = np.flatnonzero(key != key[-1])
-            cut = cut[-1] + 1 if len(cut) else 0
-            if cut:
-                held.append((key[:cut], node[:cut], prints[:cut]))
-                yield pairs(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            elif held and held[-1][0][-1] != key[0]:
-                yield pairs(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            held.append((key[cut:], node[cut:], prints[cut:]))
-        if held:
-            yield pairs(*(np.concatenate(x) for x in zip(*held)))
+        for key, node, prints in whole_buckets(batches, words):
+            found = bucket_links(key, node, prints, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
     width = shuffle_width(buckets.sparkSession)
     return buckets.repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
@@ -286,11 +307,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the component's smallest node.
 
     Each round, nodes go to their smallest neighbour, trees are cut to half their height, and edges are drawn anew between
-    what is left, until none is. All of it stays in tables.
+    what is left, until none is. All of it stays in tables. A node with very many edges is pre-aggregated where its smallest
+    neighbour is sought; in the joins its edges are the long side, which adaptive execution splits.
     """
-    edges = materialise(edges.filter("a != b").distinct(), "edges")
+    edges, n = counted(edges.filter("a != b").distinct(), "edges")
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
         near = materialise(near, "near")
@@ -299,9 +321,11 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(moved)
         left = moved.select(F.col("node").alias("a"), F.col("root").alias("x"))
         right = moved.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        edges = materialise(
+        old = edges
+        edges, n = counted(
             edges.join(left, "a").join(right, "b").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges"
         )
+        discard(old, near)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = rounds.pop()
@@ -311,6 +335,58 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+BUCKETS = "key long, node long, mask long"
+
+
+def deal(rows: DataFrame, probes: dict[int, list[Probe]]) -> DataFrame:
+    """Bucket rows (key, node, mask) of fingerprints (fp) by the probes of mask 0, or of bucket rows that are dealt anew, each by
+    the probes for its own mask and within its own bucket."""
+    fresh = "fp" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            nodes = part.column("fp" if fresh else "node").to_numpy()
+            masks = np.zeros(len(nodes), np.int64) if fresh else part.column("mask").to_numpy()
+            for mask in np.unique(masks).tolist():
+                own = np.flatnonzero(masks == mask)
+                shared = bucket_masks(probes[mask]) | np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+                for a in range(0, len(own), 4096):
+                    at = own[a : a + 4096]
+                    keys = bucket_keys(nodes[at].view(np.uint64), probes[mask])
+                    if not fresh:
+                        keys = _mix(keys ^ _mix(part.column("key").to_numpy()[at].view(np.uint64))[:, None])
+                    n = keys.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes[at], n)), pa.array(np.tile(shared, len(at)).view(np.int64))], ["key", "node", "mask"]
+                    )
+
+    return rows.mapInArrow(run, BUCKETS)
+
+
+def split_hot(buckets: DataFrame, radius: int, hot: int = HOT, levels: int = 4) -> DataFrame:
+    """``buckets`` without any of more than ``hot`` members: theirs are dealt to narrower buckets, over the bits that they needn't
+    share, so that every pair within the radius still meets. After ``levels`` rounds, or without bits left, a bucket stays."""
+    done: list[DataFrame] = []
+    for level in range(levels):
+        sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+        large, n = counted(sizes, "hot")
+        if not n:
+            break
+        rows = materialise(buckets.join(large.select("key"), "key", "left_semi"), "dealt")
+        p, correlated, total = correlations(rows.withColumnRenamed("node", "fp"))
+        probes = {}
+        for r in rows.select("mask").distinct().collect():  # as many as there are probes
+            bits = [b for b in range(64) if not r["mask"] >> b & 1]
+            if len(bits) > radius:
+                probes[r["mask"]] = allocate(p, correlated, max(total // n, 1), radius, bits)
+        splits = F.col("mask").isin(list(probes)) if probes else F.lit(False)
+        done += [buckets.join(large.select("key"), "key", "left_anti"), rows.filter(~splits)]
+        buckets = materialise(deal(rows.filter(splits), probes), "buckets")
+    for part in done:
+        buckets = buckets.unionByName(part)
+    return buckets
+
+
 def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, fp, component_id): fp is the 64-bit fingerprint; component_id the smallest doc_id reachable over links of
     at most ``radius`` bits.
@@ -322,16 +398,8 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     probes = allocate(*correlations(distinct), radius)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            fps = part.column("fp").to_numpy()
-            for a in range(0, len(fps), 4096):
-                fp = fps[a : a + 4096]
-                keys = bucket_keys(fp.view(np.uint64), probes)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]))], ["key", "node"])
-
-    buckets = distinct.select("fp").mapInArrow(run, "key long, node long").withColumn("p0", F.col("node"))
-    labels = components(links(buckets, radius, 1))
+    found = links(split_hot(deal(distinct.select("fp"), {0: probes}), radius).withColumn("p0", F.col("node")), radius, 1)
+    labels = components(found)
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -346,6 +414,7 @@ class Wide:
     width: int
     parts: int
     radius: int
+    cover: int
     words: int
 
 
@@ -353,55 +422,195 @@ def wide_plan(n: int, similarity: float, recall: float = 0.99, words: int = 4) -
     """A Jaccard similarity s of shingle sets is a cosine of 2s/(1+s); bits differ with chance arccos(cosine)/pi.
 
     The width grows with log2 of the number of fingerprints, so that buckets stay small; the number of partitions follows
-    from the recall. radius: of ``words`` * 64 bits, two standard deviations above what the similarity makes likely.
+    from the recall. Of ``words`` * 64 bits, radius: three standard deviations above what the similarity makes likely, to be a
+    candidate; cover: what 0.9 makes likely, to be led by another.
     """
-    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    differ = lambda s: float(np.arccos(2 * s / (1 + s)) / np.pi)
     width = max(16, int(np.ceil(np.log2(max(n, 2)))) - 2)
-    parts = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** width)))
-    bits = 64 * words
-    return Wide(width, parts, int(bits * differ + 2 * np.sqrt(bits * differ * (1 - differ))), words)
+    parts = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ(similarity)) ** width)))
+    bits, q = 64 * words, differ(similarity)
+    return Wide(width, parts, int(bits * q + 3 * np.sqrt(bits * q * (1 - q))), int(bits * differ((1 + similarity) / 2)), words)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, node, root): rows with one root are near-duplicates at this Jaccard similarity of word shingles, or linked by such.
+def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray, radius: int, cover: int) -> np.ndarray:
+    """(a, b, distance) of nodes within ``radius`` in each run of equal keys; nodes ascend in a run.
+
+    Small buckets give all such pairs. In larger ones the smallest node left leads: it is held against all that are left, and
+    those within ``cover`` of it go.
+    """
+    n = len(key)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, n])
+    big, out = np.repeat(size > SMALL, size), []
+    for d in range(1, SMALL):
+        at = np.flatnonzero((key[:-d] == key[d:]) & ~big[:-d]) if n > d else np.zeros(0, np.int64)
+        if not len(at):
+            break
+        far = _distance(prints[at], prints[at + d])
+        at, far = at[far <= radius], far[far <= radius]
+        out.append(np.stack([node[at], node[at + d], far], 1))
+    for a, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        left = np.arange(a, a + s)
+        while len(left) > 1:
+            lead, left = left[0], left[1:]
+            far = _distance(prints[left], prints[lead])
+            near = far <= radius
+            out.append(np.stack([np.full(int(near.sum()), node[lead]), node[left[near]], far[near]], 1))
+            left = left[far > cover]
+    pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    pairs[:, :2] = np.sort(pairs[:, :2], 1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _prints(part: pa.RecordBatch, words: int) -> np.ndarray:
+    return np.stack([part.column(f"p{i}").to_numpy() for i in range(words)], 1).view(np.uint64)
+
+
+def peel(buckets: DataFrame, plan: Wide, hot: int = HOT, leaders: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """``buckets`` without members of hot ones that some leader covers, and the candidate pairs (a, b, d) found on the way.
+
+    About ``leaders`` members of each hot bucket, by a hash of the node, are held against all its others, which are dealt over tasks by a
+    salt of their own. Rounds go on while any bucket is hot and rounds still take members away.
+    """
+    columns = [f"p{i}" for i in range(plan.words)]
+    found, before = [], None
+    while True:
+        large, n = counted(buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot")
+        members = large.agg(F.sum("n")).first()[0]
+        if not n or members == before:
+            return buckets, found
+        before = members
+        rows = buckets.join(large, "key")
+        chosen = F.pmod(F.xxhash64("node", F.lit(len(found))), F.ceil(F.col("n") / leaders)) == 0
+        few = rows.filter(chosen).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", *columns))).alias("led"))
+        joined = salted_join(rows.drop("n").withColumn("row", F.col("node")).withColumn("doc_id", F.lit(0)), few, "key").drop("row", "doc_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                node, prints = part.column("node").to_numpy(), _prints(part, plan.words)
+                rows = []
+                for i, led in enumerate(part.column("led").to_pylist()):
+                    own = np.array([[x[c] for c in columns] for x in led], np.int64).reshape(-1, plan.words).view(np.uint64)
+                    ids = np.array([x["node"] for x in led], np.int64)
+                    far = _distance(own, prints[i])
+                    lower = ids < node[i]
+                    gone = bool((lower & (far <= plan.cover)).any())
+                    near = np.flatnonzero((far <= plan.radius) & (ids != node[i]))
+                    rows.append((gone, [{"a": min(int(ids[k]), int(node[i])), "b": max(int(ids[k]), int(node[i])), "d": int(far[k])} for k in near]))
+                kept = part.select(["key", "node", *columns])
+                pairs = pa.array([r[1] for r in rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[0] for r in rows], pa.bool_()), pairs], ["key", "node", *columns, "gone", "pairs"])
+
+        schema = "key long, node long, " + ", ".join(f"{c} long" for c in columns) + ", gone boolean, pairs array<struct<a:long,b:long,d:long>>"
+        round_ = materialise(joined.select("key", "node", *columns, "led").mapInArrow(run, schema), "peeled")
+        found.append(round_.select(F.explode("pairs").alias("x")).select("x.*").distinct())
+        buckets = buckets.join(large.select("key"), "key", "left_anti").unionByName(round_.filter("not gone").select(*buckets.columns))
+
+
+def candidates(buckets: DataFrame, plan: Wide, hot: int = HOT) -> DataFrame:
+    """(a, b, d): pairs of nodes that share a bucket and may be alike, each with its distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, prints in whole_buckets(batches, plan.words):
+            found = candidate_pairs(key, node, prints, plan.radius, plan.cover)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(3)], ["a", "b", "d"])
+
+    buckets, peeled = peel(buckets, plan, hot)
+    sent = buckets.repartition(shuffle_width(buckets.sparkSession), "key").sortWithinPartitions("key", "node")
+    out = sent.mapInArrow(run, "a long, b long, d long")
+    for more in peeled:
+        out = out.unionByName(more)
+    return out.groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+HUB = 256  # members that meet one copy of their hub's text
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have that Jaccard similarity of shingle sets at least.
+
+    A pair's members come to the copies of its first text, one for each ``HUB`` of them, and are held against it one by one.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("copies"))
+    hubs = degree.join(texts, degree["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(-1).cast("long").alias("b"), F.lit(0).alias("kind"), "text")
+    members = pairs.join(degree, "a").join(texts, pairs["b"] == texts["node"]).select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), "b", F.lit(1).alias("kind"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for part in blocks(batches, "text", 4 << 20):
+            out = []
+            for a, b, kind, text in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("kind").to_pylist(), utf8(part.column("text"))):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                if kind == 0:
+                    own = hashes
+                    continue
+                both = len(np.intersect1d(own, hashes, assume_unique=True))
+                if both and both >= similarity * (len(own) + len(hashes) - both) - 1e-9:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    width = shuffle_width(pairs.sparkSession)
+    sent = hubs.unionByName(members).repartition(width, "a", "copy").sortWithinPartitions("a", "copy", "kind")
+    return sent.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, row, node, root): documents with one root are linked by pairs of that Jaccard similarity of word shingles, or more.
 
     A similarity of 0.8 differs in some 39 of 256 bits: too many for thresholds that enumerate balls. Here all partitions have
     threshold 0 and there are as many of them as the recall asks for, so the fingerprint is longer than the part that
-    decides. Texts without words are left alone (each its own root), as are null texts.
+    measures; pairs that it finds near enough are then decided by their shingles, each document's nearest first, the others
+    where they would still connect something. So every link is a true one; a pair may be missed (see README for figures). Rows
+    alike in id and text are one document. Texts without words, null ones too, and rows without a doc_id are left alone: each
+    its own root.
     """
     total = docs.count()
     plan = wide_plan(total, similarity)
-    words = -(-plan.parts * plan.width // 64)
-    decide = plan.words
+    words = max(-(-plan.parts * plan.width // 64), plan.words)
+    rows = docs.filter(F.col(id_col).cast("long").isNotNull())
+    prints = fingerprints(rows, shingle, words, id_col, text_col, empty=False).dropDuplicates(["doc_id", "row"])
+    prints = materialise(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(plan.width, dtype=np.uint64)).astype(np.uint64)
-        for part in blocks(batches, "text", 4 << 20):
-            hashes = [shingle_hashes(t, shingle) for t in utf8(part.column("text"))]
-            has = np.array([len(h) > 0 for h in hashes])
-            if not has.any():
-                continue
-            prints = np.array([fingerprint(h, max(words, decide)) for h in hashes if len(h)], np.uint64)
-            bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-            cells = bits[:, : plan.parts * plan.width].reshape(len(prints), plan.parts, plan.width).astype(np.uint64) @ weights
-            keys = (cells | (np.arange(plan.parts, dtype=np.uint64) << np.uint64(plan.width))[None, :]).view(np.int64)
-            node = part.column("node").to_numpy()[has]
-            deciding = [pa.array(np.repeat(prints[:, k].view(np.int64), plan.parts)) for k in range(decide)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, plan.parts)), *deciding], ["key", "node", *(f"p{k}" for k in range(decide))])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("node", F.xxhash64("doc_id", "row"))
-    buckets = rows.select("node", "text").mapInArrow(run, "key long, node long, " + ", ".join(f"p{k} long" for k in range(decide)))
-    labels = components(links(buckets, plan.radius, decide))
-    named = rows.select("doc_id", "row", "node").join(labels, "node", "left")
+        for part in batches:
+            for at in range(0, part.num_rows, 4096):
+                own = part.slice(at, 4096)
+                found = own.column("print").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+                bits = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(len(found), -1), axis=1, bitorder="little")
+                cells = bits[:, : plan.parts * plan.width].reshape(len(found), plan.parts, plan.width).astype(np.uint64) @ weights
+                keys = (cells | (np.arange(plan.parts, dtype=np.uint64) << np.uint64(plan.width))[None, :]).view(np.int64)
+                deciding = [pa.array(np.repeat(found[:, k].view(np.int64), plan.parts)) for k in range(plan.words)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own.column("node").to_numpy(), plan.parts)), *deciding], ["key", "node", *(f"p{k}" for k in range(plan.words))])
+
+    buckets = prints.select("node", "print").mapInArrow(run, "key long, node long, " + ", ".join(f"p{k} long" for k in range(plan.words)))
+    pairs = materialise(candidates(buckets, plan, hot), "candidates")
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "d").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "d"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    wanted = prints.select("doc_id", "row", "node").join(ends.select("node").distinct(), "node", "left_semi")
+    texts = materialise(source.join(wanted, ["doc_id", "row"]).select("node", "text"), "texts")
+    nearest = ends.groupBy("node").agg(F.min(F.struct("d", "other")).alias("n")).select(F.least("node", "n.other").alias("a"), F.greatest("node", "n.other").alias("b")).distinct()
+    nearest = materialise(nearest, "nearest")
+    sure = materialise(alike(nearest, texts, similarity, shingle), "alike")
+    known = materialise(components(sure), "known")
+    end = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    apart = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    apart = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    more = materialise(alike(apart, texts, similarity, shingle), "alike")
+    labels = materialise(components(sure.unionByName(more)), "labels")
+    named = prints.select("doc_id", "row", "node").join(labels, "node", "left")
     return named.select("doc_id", "row", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the smallest doc_id, with the columns they came with."""
-    groups = materialise(similar_groups(docs, similarity, shingle, id_col, text_col).filter("doc_id is not null"), "similar")
-    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    node = fresh_name(docs, "_node")
-    gone = salted_join(groups, first, "root").filter("node != first.node").select(F.col("node").alias(node)).distinct()
-    rows = docs.withColumn(node, F.xxhash64(F.col(id_col).cast("long"), row_key(F.col(text_col))))
-    return rows.join(gone, node, "left_anti").drop(node)
+    """The rows of ``docs`` that stay: of each group of near-duplicates the smallest doc_id, with the columns they came with.
+
+    Of one doc_id with several texts in a group, that of the smallest hash stays; rows alike in id and text stay or go together. Null
+    and empty texts and rows without a doc_id stay; an empty table stays empty.
+    """
+    groups = materialise(similar_groups(docs, similarity, shingle, id_col, text_col), "similar")
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    mine, row = fresh_name(docs, "_id"), fresh_name(docs, "_row")
+    gone = salted_join(groups, first, "root").filter("struct(doc_id, row) != first").select(F.col("doc_id").alias(mine), F.col("row").alias(row))
+    rows = docs.withColumn(mine, F.col(id_col).cast("long")).withColumn(row, row_key(F.col(text_col)))
+    return rows.join(gone, [mine, row], "left_anti").drop(mine, row)
