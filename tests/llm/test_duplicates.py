@@ -57,6 +57,8 @@ def test_keep_one_text(spark):
     assert kept.columns == odd(spark).columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 3, 4, 5, 6, 7, 8]
     assert exact_dedup.keep_one(empty(spark)).count() == 0
+    spelled = spark.createDataFrame([(5, "Foo"), (5, "foo"), (5, "foo"), (4, "FOO"), (6, "bar")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(spelled).collect()) == [5, 6]
 
 
 def classes(rows, radius):
@@ -113,6 +115,90 @@ def test_forest_is_single_linkage():
         assert len(set(zip(top.tolist(), want.values()))) == len(set(top.tolist())) == len(set(want.values()))
 
 
+@pytest.mark.parametrize("hot", [40, 400])
+def test_hot_buckets_are_split_without_loss(spark, hot):
+    """Near copies of one fingerprint, all in the same buckets, and others."""
+    rng = np.random.default_rng(hot)
+    prints = [rng.integers(0, 1 << 63, 500).astype(np.uint64)]
+    centre = prints[0][0]
+    for _ in range(1500):
+        turned = centre
+        for bit in rng.choice([3, 7, 9, 12, 20, 33, 41, 50, 58, 60], rng.integers(0, 9), replace=False).tolist():
+            turned = turned ^ np.uint64(1 << bit)
+        prints.append(np.array([turned], np.uint64))
+    prints = np.unique(np.concatenate(prints))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    probes = simhash.allocate(*simhash.correlations(df), 4)
+    buckets = simhash.split_hot(simhash.deal(df, {0: probes}), 4, hot=hot)
+    pairs = simhash.links(buckets.withColumn("p0", buckets.node), 4, 1)
+    found = {r.node: r.root for r in simhash.components(pairs).collect()}
+    want = classes(dict(enumerate(prints.tolist())), 4)
+    ours = {i: found.get(int(x), int(x)) for i, x in enumerate(prints.view(np.int64).tolist())}
+    assert len(set(zip(ours.values(), want.values()))) == len(set(ours.values())) == len(set(want.values()))
+
+
+def shingle_sets(rows, size=5):
+    out = {}
+    for i, t in rows.items():
+        w = (t or "").encode().lower().split()
+        if w:
+            out[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
+    return out
+
+
+def alike_pairs(rows, similarity=0.8):
+    """Pairs of that Jaccard similarity, by an index from shingles to documents."""
+    sets, holders = shingle_sets(rows), {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                common[a, b] = common.get((a, b), 0) + 1
+    return {p for p, n in common.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= similarity}
+
+
+def check_similar(rows, groups, missed):
+    """Every group is connected by true pairs, and of all true pairs so many are missed at most."""
+    pairs, parent = alike_pairs(rows), {i: i for i in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    by = {}
+    for i, g in groups.items():
+        by.setdefault(g, set()).add(root(i))
+    assert all(len(x) == 1 for x in by.values())
+    assert sum(groups[a] != groups[b] for a, b in pairs) <= missed * max(len(pairs), 1)
+
+
+def test_similar_documents_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    check_similar(rows, {r.doc_id: r.root for r in simhash.similar_groups(docs).collect()}, 0.02)
+
+
+def test_hot_near_copies(spark):
+    """A third of all rows near copies of one text: leaders take them out of their buckets."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(120)], {}
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(120)] = word()
+        rows[i] = " ".join(copy)
+    for i in range(300, 500):
+        rows[i] = " ".join(word() for _ in range(80))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    check_similar(rows, {r.doc_id: r.root for r in simhash.similar_groups(docs, hot=30).collect()}, 0.0)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(100)] + [(5000, 4000 - i) for i in range(50)]
@@ -143,7 +229,9 @@ def test_similar_documents(spark):
                 copy[rng.randrange(300)] = word()
             rows.append((10 * g + k, " ".join(copy)))
     rows += [(9000, "a b"), (9001, None), (9002, "")]
-    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_similar(dict(rows), {r.doc_id: r.root for r in simhash.similar_groups(docs).collect()}, 0.0)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == {10 * g for g in range(40)} | {9000, 9001, 9002}
     assert simhash.keep_one(odd(spark)).columns == odd(spark).columns and simhash.keep_one(empty(spark)).count() == 0
 

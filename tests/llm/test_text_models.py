@@ -141,6 +141,48 @@ def test_packing_holds_every_capacity(by):
         packing.plan({101: 1}, cap)
 
 
+@pytest.mark.parametrize("by", ["norm", "dot"])
+def test_packing_is_best_fit(by):
+    """Against best fit, one piece at a time, over single sequences."""
+    rng = np.random.default_rng(3)
+    for tokens, documents, attention in ((100, 4, 5000), (60, None, None), (100, 7, 2500), (50, 3, None)):
+        most = min(tokens, int((attention or tokens**2) ** 0.5))
+        lengths = sorted(rng.integers(1, most + 1, 400).tolist(), reverse=True)
+        cap = packing.Capacity(tokens, documents, attention, by=by)
+        full, weights = cap.vector(), np.array(cap.weights)
+        scale = weights / full.astype(float) ** 2
+        rest, inside = np.zeros((0, 3), np.int64), []
+        for n in lengths:
+            item = np.array([n, 1, n * n])
+            fits = np.flatnonzero((rest >= item).all(1))
+            if len(fits):
+                score = ((rest[fits] - item) ** 2 * scale).sum(1) if by == "norm" else -(rest[fits] * item * scale).sum(1)
+                at = fits[np.argmin(score)]
+            else:
+                at, rest = len(rest), np.vstack([rest, full])
+                inside.append([])
+            rest[at] -= item
+            inside[at].append(n)
+        plan = packing.plan(dict(Counter(lengths)), cap)
+        found: dict[int, list[int]] = {}
+        for n, count in Counter(lengths).items():
+            for sequence in plan.place(np.full(count, n), np.arange(count))[0].tolist():
+                found.setdefault(sequence, []).append(n)
+        assert plan.sequences == len(inside)
+        assert sorted(sorted(x) for x in found.values()) == sorted(sorted(x) for x in inside)
+
+
+def test_packing_under_every_capacity(spark):
+    cap = packing.Capacity(2048, documents=3, attention=2048**2 // 2 + 2048 * 1024)
+    rows = packing.pack(documents(spark), P.path("byte_bpe_50k.json"), cap, keep_ids=False).collect()
+    check_packing(rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    assert max(map(len, by.values())) == 3 and all(sum(n * n for n in x) <= cap.attention for x in by.values())
+    assert len(by) > len({r.sequence_id for r in packing.pack(documents(spark), P.path("byte_bpe_50k.json"), keep_ids=False).collect()})
+
+
 def test_quality_statistics(spark):
     found = {r.doc_id: r for r in quality.judge(documents(spark)).collect()}
     for i, text in texts(spark).items():
@@ -175,9 +217,26 @@ def test_em_finds_a_useless_rule():
     good = rng.random(20000) < 0.8
     v = np.stack([np.where(rng.random(20000) < np.where(good, 0.004, 0.6), -1, 1) for _ in range(5)], 1)
     pattern, count = np.unique(quality.patterns(v), return_counts=True)
-    post = dict(zip(pattern.tolist(), quality.fit(pattern, count, 5)[0]))
+    found = quality.fit(pattern, count, 5)
+    post = dict(zip(pattern.tolist(), found.good))
     said = np.array([post[p] > 0.5 for p in quality.patterns(v).tolist()])
     assert (said == good).mean() > 0.97
+    assert np.abs(found.against[0] - 0.004).max() < 0.003 and np.abs(found.against[1] - 0.6).max() < 0.05 and abs(found.share - 0.8) < 0.02
+
+
+def test_em_estimates_what_the_labels_say(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {r.rule: r for r in quality.accuracies(docs).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in docs.select("doc_id", "text").collect() if r.doc_id in labels]
+    v = quality.votes(quality.statistics([(r.text or "").encode() for r in rows]))
+    good = np.array([labels[r.doc_id] == 1 for r in rows])
+    for k, (name, *_) in enumerate(quality.RULES):
+        seen = [(v[y, k] < 0).sum() / max((v[y, k] != 0).sum(), 1) for y in (good, ~good)]
+        assert found[name].false_alarm < 0.01 and abs(found[name].false_alarm - seen[0]) < 0.005
+        assert found[name].hit >= found[name].false_alarm and abs(found[name].hit - seen[1]) < 0.3
+    assert quality.accuracies(empty(spark)).count() == len(quality.RULES)
 
 
 def test_language(spark):
@@ -192,6 +251,44 @@ def test_language(spark):
     assert strange == {(1, "und", 0.0), (2, "und", 0.0), (5, "und", 0.0)} and language_id.identify(empty(spark)).count() == 0
 
 
+def test_language_by_brute_force():
+    """A text's label from the network's formulas, byte by byte in plain Python."""
+    net = language_id.train([("a", b"aba bab abba " * 20), ("b", b"xyz zyx yxz " * 20)], rounds=30)
+
+    def walk(layer, data):
+        h = len(layer.cand)
+        state, out = [0.0] * h, []
+        gates, cand = layer.gates.tolist(), layer.cand.tolist()
+        for byte in data:
+            x = layer.table[byte].tolist()
+            g = [1 / (1 + math.exp(-(x[j] + sum(state[i] * gates[i][j] for i in range(h))))) for j in range(2 * h)]
+            n = [math.tanh(x[2 * h + j] + sum(g[h + i] * state[i] * cand[i][j] for i in range(h))) for j in range(h)]
+            state = [n[j] + g[j] * (state[j] - n[j]) for j in range(h)]
+            out.append(state)
+        return out
+
+    def pooled(text):
+        pad = b"\0" * language_id.CONTEXT
+        data = pad + bytes(b + 32 if 65 <= b < 91 else b for b in text) + pad
+        both = [f + b for f, b in zip(walk(net.forward, data), walk(net.backward, data[::-1])[::-1])]
+        total, letters = [0.0] * len(net.languages), 0
+        for at, byte in enumerate(text):
+            if byte >= 128 or chr(byte).isalpha():
+                logits = [sum(both[at + len(pad)][i] * float(net.top[i, k]) for i in range(2 * language_id.HIDDEN)) + float(net.bias[k]) for k in range(len(net.languages))]
+                most = max(logits)
+                share = [math.exp(x - most) for x in logits]
+                total = [t + x / sum(share) for t, x in zip(total, share)]
+                letters += 1
+        return [t / max(letters, 1) for t in total]
+
+    for text in (b"aba", b"ZYX 12 zyx", "é ab".encode(), b"1 2 3", b"abba xyz " * 20):
+        assert np.allclose(net.pool([text])[0], pooled(text), atol=1e-4)
+    long = b"aba bab abba xyz " * 60  # cut into windows, against one pass over the whole
+    assert np.allclose(net.pool([long])[0], pooled(long), atol=0.02)
+    together = net.pool([b"aba", b"", long, b"zyx zyx"])
+    assert np.allclose(together[2], net.pool([long])[0], atol=1e-3) and not together[1].any()
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     layer = language_id.Direction.random(3, rng)
@@ -368,6 +465,49 @@ def test_secrets(spark):
 def test_forest_learns():
     counts = np.ones(secret_scan.TRIGRAMS)
     logs = np.full(secret_scan.TRIGRAMS, -4.0)
-    x, y = (lambda f, l: (secret_scan.features(f, logs), l))(*secret_scan.simulated_findings(counts, 1500, seed=1))
-    u, v = (lambda f, l: (secret_scan.features(f, logs), l))(*secret_scan.simulated_findings(counts, 600, seed=2))
-    assert ((secret_scan.Forest.fit(x, y).predict(u) > 0.5) == v).mean() > 0.95
+    found, labels, _ = secret_scan.simulated_findings(counts, 1500, seed=1)
+    forest = secret_scan.Forest.fit(secret_scan.features(found, logs), labels)
+    held, truth, _ = secret_scan.simulated_findings(counts, 600, seed=2)
+    x = secret_scan.features(held, logs)
+    assert ((forest.predict(x) > 0.5) == truth).mean() > 0.95
+    for row, score in list(zip(x, forest.predict(x)))[:40]:  # tree by tree, in plain Python
+        total = 0.0
+        for feature, threshold, child, share in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = child[at] + int(row[feature[at]] > threshold[at])
+            total += share[at]
+        assert math.isclose(score, total / len(forest.trees))
+
+
+def test_secrets_held_out_by_kind(spark):
+    scanner = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    counts = secret_scan.trigrams(documents(spark))
+    found = secret_scan.by_kind(scanner, *secret_scan.simulated_findings(counts, 3000, seed=99))
+    assert set(found) == set(secret_scan.KINDS)
+    assert all(share > (0.8 if kind == "unnamed keys" else 0.93) for kind, (_, share) in found.items()), found
+
+
+def test_secret_candidates_by_brute_force():
+    shape = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    text = b'x ' + b"a" * 16 + b" " + b"b" * 15 + b" c=" + b"d1" * 10 + b'== password = "short1!x" token: \'' + b"e" * 30 + b"' pwd='1234567' secret=\"" + b"f" * 16 + b'"'
+    want, i = set(), 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in shape:
+            j += 1
+        if j - i >= 16:
+            k = j
+            while k < len(text) and k < j + 2 and text[k : k + 1] == b"=":
+                k += 1
+            want.add(text[i:k])
+        i = max(j, i + 1)
+    assert [text[a:b] for a, b in secret_scan.spans(text)] == sorted(want | {b"short1!x"}, key=text.index)
+    assert secret_scan.spans(b"") == [] and secret_scan.spans(b"x" * 16 + b"." + b"y" * 10) == [(0, 27)]
+
+
+def test_secrets_need_no_path_column(spark):
+    docs = documents(spark).drop("source")
+    assert secret_scan.redact(docs).count() == docs.count() and "secret" in secret_scan.findings(docs).columns
+    given = secret_scan.simulated_findings(np.ones(secret_scan.TRIGRAMS), 400, seed=7)
+    assert secret_scan.train(docs, labelled=given[:2]).forest.trees
