@@ -264,7 +264,8 @@ def covered_runs(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield out()
 
-    sent = docs.mapInArrow(cut, "bucket long, packed binary").repartition(width, "bucket").sortWithinPartitions("bucket")
+    # buckets follow the words, and partitions the buckets: a task's share doesn't grow with the input
+    sent = docs.mapInArrow(cut, "bucket long, packed binary").repartition(max(width, buckets // 16), "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(count, "doc_id long, row long, first long, n long")
 
 
