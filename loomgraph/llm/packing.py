@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.1)
     by: str = "norm"
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that every capacity holds; documents are cut there."""
+        return min(self.tokens, isqrt(self.attention)) if self.attention else self.tokens
+
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
@@ -174,7 +180,7 @@ def pack(
     at most ``capacity.tokens`` rows.
     """
     capacity = capacity or Capacity()
-    table = materialise(pieces(docs, path, capacity.tokens, separator, keep_ids, id_col, text_col), "pieces")
+    table = materialise(pieces(docs, path, capacity.longest, separator, keep_ids, id_col, text_col), "pieces")
     counts = table.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     layout = plan(histogram, capacity)

@@ -21,36 +21,48 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its base and model scores; null and empty texts have one token, repeated rows score alike, an empty
+    table gives no rows."""
     from .lm_score import score
 
     return score(_table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its counts and verdict; null and empty texts fail, a posterior of just one half is kept, repeated
+    rows are judged alike, an empty table gives no rows."""
     from .quality import judge
 
     return judge(_table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with a language; null texts and texts without letters are und, repeated rows are labelled alike, an empty
+    table gives no rows."""
     from .language_id import identify
 
     return identify(_table(spark, sf_dir, "documents"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages with host, path, rule and verdict; a null url has neither host nor path, ties go to the longest rule,
+    repeated rows are judged alike, an empty table gives no rows."""
     from .url_filter import judge
 
     return judge(_table(spark, sf_dir, "pages"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its count of ids and digests; null and empty texts have none and the digests of nothing, repeated
+    rows each give a row, an empty table none."""
     from .bpe import digests
 
     return digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the doc_id that stays; null counts as empty, repeated rows count in their group and are all kept if
+    theirs is the largest doc_id, an empty table gives no rows."""
     from .exact_dedup import exact_groups
 
     groups = exact_groups(_table(spark, sf_dir, "documents"))
@@ -58,12 +70,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of documents with its place; null and empty texts are a piece of one token, repeated rows are packed each, an empty
+    table gives no rows."""
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), keep_ids=False).drop("ids")
 
 
+def packing_under_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7, with at most 12 documents and half the attention cost of a full sequence in each, so that all three capacities cut."""
+    from .packing import Capacity, pack
+
+    capacity = Capacity(2048, documents=12, attention=2048**2 // 2, by="dot")
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity, keep_ids=False).drop("ids")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of documents with its score and verdict; null and empty texts have none, repeated rows are each scanned, an
+    empty table gives no rows."""
     from .secret_scan import findings
 
     found = findings(_table(spark, sf_dir, "documents"))
@@ -71,6 +95,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with fingerprint and component; texts without words have fingerprint zero and are linked like any other,
+    repeated rows share theirs, an empty table gives no rows."""
     from .simhash import near_groups
 
     groups = near_groups(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -78,12 +104,14 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with what is removed; null and empty texts have no words, rows of one doc_id do not cover each other,
+    rows without one neither cover nor are covered, an empty table gives no rows."""
     from .substring import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-ALL = (op1_maxent_lm, op2_quality_rules, op3_language_id, op4_url_filter, op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op8_secret_scan, op9_simhash_near_dedup, op10_substring_dedup)
+ALL = (op1_maxent_lm, op2_quality_rules, op3_language_id, op4_url_filter, op5_byte_bpe, op6_exact_dedup, op7_best_fit_packing, op8_secret_scan, op9_simhash_near_dedup, op10_substring_dedup, packing_under_capacities)
 
 OP6_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
