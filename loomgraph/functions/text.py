@@ -64,6 +64,15 @@ def normalise_route(path: Column) -> Column:
     return F.when(F.length(named) > 1, F.rtrim(named, F.lit("/"))).otherwise(named)
 
 
+def is_test_file(path: Column) -> Column:
+    """Files of tests, which the mappers pass over."""
+    name = F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1)
+    ends = F.lit(False)
+    for e in (".test.ts", ".test.js", ".spec.ts", ".spec.js"):
+        ends = ends | F.endswith(name, F.lit(e))
+    return F.startswith(name, F.lit("test_")) | (name == "conftest.py") | ends | F.array_contains(F.split(F.coalesce(path, F.lit("")), "/"), "__tests__")
+
+
 def line_count(text: Column) -> Column:
     return F.size(F.split(text, "\n"))
 

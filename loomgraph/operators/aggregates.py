@@ -107,10 +107,19 @@ def index_percentile(df: DataFrame, value: str, share: float, group: list[str] |
     return counts.withColumn("_place", place).filter((F.col("_up") > F.col("_place")) & (F.col("_up") - F.col("_n") <= F.col("_place"))).select(*(group or []), value)
 
 
+def median(df: DataFrame, value: str) -> DataFrame:
+    """One row: the middle value, or the mean of the two in the middle, by running counts of distinct values."""
+    counts = running_counts(df.filter(F.col(value).isNotNull()), value)
+    holds = lambda place: ((F.col("_up") > place) & (F.col("_up") - F.col("_n") <= place)).cast("int")
+    parts = holds(F.floor((F.col("_total") - 1) / 2)) + holds(F.floor(F.col("_total") / 2))
+    return counts.agg((F.sum(F.col(value) * parts) / 2).alias("median"))
+
+
 def project_metrics(df: DataFrame, value: str) -> DataFrame:
     """One row: n, mean and median (one place), smallest, largest, p90, p95."""
-    base = df.agg(F.count(value).alias("n"), F.round(F.avg(value), 1).alias("mean"), F.round(F.median(value), 1).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    out = base.withColumn("_k", F.lit(1))
+    base = df.agg(F.count(value).alias("n"), F.round(F.avg(value), 1).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    out = base.withColumn("_k", F.lit(1)).join(median(df, value).select(F.lit(1).alias("_k"), F.round("median", 1).alias("median")), "_k", "left")
+    out = out.select("n", "mean", "median", "least", "most", "_k")
     for share, name in ((0.9, "p90"), (0.95, "p95")):
         out = out.join(index_percentile(df, value, share).select(F.lit(1).alias("_k"), F.col(value).alias(name)), "_k", "left")
     return out.drop("_k")
@@ -172,15 +181,46 @@ def usage_groups(edges: DataFrame, target: str = "to_node") -> DataFrame:
     return edges.groupBy(target).agg(*sums, F.sum((~F.col("type").isin(known)).cast("long")).alias("other"))
 
 
-def grouped_list(df: DataFrame, group: str, item: str, order: str | None = None, distinct: bool = False) -> DataFrame:
-    """(group, items, n): the group's items in one string, in order."""
+def grouped_list(df: DataFrame, group: str, item: str, order: str | None = None, distinct: bool = False, most: int | None = None) -> DataFrame:
+    """(group, items, n): the group's items in one string, in order, and their number. A group's string is one value; where groups
+    may be very large, ``most`` lists the first so many only (n counts all), and the rows themselves are the whole answer."""
     if distinct:
         df = df.select(group, item).distinct()
     key = order or item
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(key, item))
+        total = df.groupBy(group).agg(F.count("*").alias("n"))
+        return grouped_list(df.withColumn("_rank", rank).filter(F.col("_rank") <= most), group, item, order).drop("n").join(total, group)
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(item).alias("v")))), lambda x: x["v"].cast("string")), ",")
     return df.groupBy(group).agg(items.alias("items"), F.count("*").alias("n"))
 
 
+def bridges(bindings: DataFrame) -> DataFrame:
+    """(bridge, module, callers, functions): native modules by bridge, how many sources load each and what they bind."""
+    one = bindings.groupBy("bridge", "module").agg(F.countDistinct("id").alias("callers"))
+    bound = bindings.select("bridge", "module", F.explode("functions").alias("f")).distinct().groupBy("bridge", "module").agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("functions"))
+    return one.join(bound, ["bridge", "module"], "left").na.fill("", ["functions"])
+
+
+def infrastructure(nodes: DataFrame, edges: DataFrame, focus: str | None = None) -> DataFrame:
+    """(category, type, nodes, n): infrastructure nodes by the first two parts of their ids, and their edges by type; with ``focus``
+    only ids that contain it, and edges at one."""
+    named = lambda c: F.contains(F.lower(c), F.lit((focus or "").lower()))
+    category = lambda c: F.regexp_extract(c, r"^(\w+\.\w+)", 1)
+    own = nodes.filter(F.col("id").rlike(r"^(infra|ci)\.")).filter(named("id")).groupBy(category("id").alias("category")).agg(F.count("*").alias("nodes"))
+    out = edges.filter(F.col("from_node").rlike(r"^(infra|ci)\.")).filter(named("from_node") | named("to_node"))
+    counts = out.groupBy(category("from_node").alias("category"), "type").agg(F.count("*").alias("n"))
+    return own.join(counts, "category", "full").na.fill(0, ["nodes", "n"]).select("category", "type", "nodes", "n")
+
+
+def variables(given: DataFrame, used: DataFrame) -> DataFrame:
+    """(name, origin, items, n, undefined): variables with their last definition (name, origin; the largest origin stands) and their
+    users (name, user), from one full outer join; undefined: used but nowhere defined."""
+    last = given.groupBy("name").agg(F.max("origin").alias("origin"))
+    users = grouped_list(used, "name", "user", distinct=True)
+    return last.join(users, "name", "full").select("name", "origin", F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n", F.lit(0)).alias("n"), F.col("origin").isNull().alias("undefined"))
+
+
 def dedupe(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by ``order``."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")

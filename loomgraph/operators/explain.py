@@ -89,7 +89,10 @@ def to_mock(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return callees.join(known, "mock", "left").filter(F.coalesce("_io", F.lit(True))).select("id", "mock")
 
 
-def test_plan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scenarios, mocks): what to test of each function, and what to replace."""
+def test_plan(nodes: DataFrame, edges: DataFrame, node_id: str | None = None) -> DataFrame:
+    """(id, scenarios, mocks): what to test of each function (or of one), and what to replace. nodes: all of the project, so that
+    its own callees are known as such."""
     mocks = to_mock(nodes, edges).groupBy("id").agg(F.array_sort(F.collect_set("mock")).alias("mocks"))
-    return explain(nodes.filter(F.col("type").isin("function", "method"))).select("id", "scenarios").join(mocks, "id", "left").withColumn("mocks", F.coalesce("mocks", F.array().cast("array<string>")))
+    own = nodes.filter(F.col("type").isin("function", "method"))
+    own = own if node_id is None else own.filter(F.col("id") == node_id)
+    return explain(own).select("id", "scenarios").join(mocks, "id", "left").withColumn("mocks", F.coalesce("mocks", F.array().cast("array<string>")))

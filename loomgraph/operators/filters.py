@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,8 +59,18 @@ def all_ids(nodes: DataFrame) -> DataFrame:
     return nodes.select("id")
 
 
+def usable(pattern: str) -> str:
+    """The pattern, or its literal text where it is no regular expression."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return re.escape(pattern)
+    return pattern
+
+
 def grep(files: DataFrame, pattern: str, glob: str | None = None, limit: int = 50, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, line, content) of lines that match, in path and line order, the first ``limit``."""
+    """(path, line, content) of lines that match, in path and line order, the first ``limit``. A bad pattern is taken literally."""
+    pattern = usable(pattern)
     rows = files if glob is None else files.filter(matches_glob(F.col(path), glob) | matches_glob(F.element_at(F.split(path, "/"), -1), glob))
     lines = rows.select(F.col(path).alias("path"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
     return lines.filter(F.col("content").rlike(pattern)).select("path", (F.col("line") + 1).alias("line"), "content").orderBy("path", "line").limit(limit)

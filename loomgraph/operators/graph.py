@@ -1,19 +1,47 @@
 """Graph operators over an edge relation (from_node, to_node, type, seq, ...).
 
 Depth-bounded walks are unrolled joins without an action. Closures run semi-naively: the frontier joins the edges, what is
-new joins the result, and each round's frontier is a table in the shared folder, so that lineage doesn't grow.
+new joins the result, and each round's frontier is a table in the shared folder. What has been seen is one table too, plus the
+frontiers since it was last rewritten (``MERGE`` rounds at most), so that neither lineage nor plans grow with the rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import depth_of, parent_of
-from ..plans.tables import materialise
+from ..plans.tables import counted, discard, materialise
 from .filters import children, rule_test
 
 
+LOCAL_EDGES = 50_000  # up to so many edges, counted first, a graph is small enough for one machine
+MERGE = 8  # rounds after which the frontiers join the table of what has been seen
+
+
+class Seen:
+    """All rows that rounds have found, for anti-joins and as the result."""
+
+    def __init__(self, first: DataFrame):
+        self.whole, self.fresh = first, []
+
+    def add(self, rows: DataFrame) -> None:
+        self.fresh.append(rows)
+        if len(self.fresh) >= MERGE:
+            old = [self.whole, *self.fresh]
+            self.whole, self.fresh = materialise(self.rows(), "seen"), []
+            discard(*(t for t in old if hasattr(t, "written_to")))
+
+    def latest(self, d: int) -> DataFrame:
+        """The rows of round ``d``, the last one added."""
+        return self.fresh[-1] if self.fresh else self.whole.filter(F.col("distance") == d)
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.fresh, self.whole)
+
+
 def collapse(edges: DataFrame, order: list[str]) -> DataFrame:
     """One row for each (from_node, to_node): the last by ``order``."""
     rest = [c for c in edges.columns if c not in ("from_node", "to_node")]
@@ -52,13 +80,20 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     first = starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct().join(back, "at")
     kind = F.when(F.col("type") == "inherits", "inheritor").otherwise("direct")
     out = first.select("start", "id", F.lit(1).alias("distance"), kind.alias("kind"))
-    frontier = out.filter("id != start")
+    if depth > 1:
+        out = materialise(out, "impact")  # used twice in each further round
+    frontier, seen = out.filter("id != start").select("start", "id"), Seen(out)
     for d in range(2, depth + 1):
-        reached = frontier.select("start", F.col("id").alias("at")).join(back, "at").select("start", "id").distinct().filter("id != start")
-        fresh = reached.join(out.select("start", "id"), ["start", "id"], "left_anti")
+        reached = frontier.select("start", F.col("id").alias("at")).join(back.select("at", "id"), "at").select("start", "id").distinct().filter("id != start")
+        fresh = reached.join(seen.rows().select("start", "id"), ["start", "id"], "left_anti")
         fresh = fresh.select("start", "id", F.lit(d).alias("distance"), F.lit("indirect").alias("kind"))
-        out, frontier = out.unionByName(fresh), fresh
-    return out
+        if d < depth:
+            fresh, n = counted(fresh, "impact")
+            if not n:
+                break
+        seen.add(fresh)
+        frontier = seen.latest(d)
+    return seen.rows()
 
 
 def severity(total: Column, inheritors: Column, unresolved: Column) -> Column:
@@ -81,14 +116,16 @@ def impact_report(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFr
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, distance): all nodes that some start (column id) reaches, the starts with distance 0."""
     steps = materialise(edges.select("from_node", "to_node").distinct(), "steps")
-    frontier = materialise(starts.select("id").distinct(), "frontier")
-    out, d = frontier.withColumn("distance", F.lit(0)), 0
-    while not frontier.isEmpty() and (max_rounds is None or d < max_rounds):
+    frontier, n = counted(starts.select("id").distinct().withColumn("distance", F.lit(0)), "frontier")
+    seen, d = Seen(frontier), 0
+    while n and (max_rounds is None or d < max_rounds):
         d += 1
         reached = frontier.select(F.col("id").alias("from_node")).join(steps, "from_node").select(F.col("to_node").alias("id")).distinct()
-        frontier = materialise(reached.join(out, "id", "left_anti"), "frontier")
-        out = out.unionByName(frontier.withColumn("distance", F.lit(d)))
-    return out
+        frontier, n = counted(reached.join(seen.rows().select("id"), "id", "left_anti").withColumn("distance", F.lit(d)), "frontier")
+        if n:
+            seen.add(frontier)
+            frontier = seen.latest(d)
+    return seen.rows()
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -97,75 +134,171 @@ def dead_code(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFra
     return own.join(reachable(edges, entries).select("id"), "id", "left_anti").orderBy("id")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_rounds: int = 1000) -> list[str]:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
     """Nodes of one shortest path, ties by the smaller predecessor; empty if there is none. Only the path reaches the driver."""
     spark = edges.sparkSession
     steps = materialise(edges.select("from_node", "to_node").distinct(), "steps")
-    frontier = spark.createDataFrame([(start, None)], "id string, via string")
-    levels = [materialise(frontier, "level")]
-    seen = levels[0].select("id")
-    while len(levels) <= max_rounds:
-        if not levels[-1].filter(F.col("id") == goal).isEmpty():
-            path = [goal]
-            for level in reversed(levels[1:]):
-                path.append(level.filter(F.col("id") == path[-1]).first()["via"])
+    level = materialise(spark.createDataFrame([(start, None)], "id string, via string").withColumn("distance", F.lit(0)), "level")
+    seen, n, d = Seen(level), 1, 0
+    while n:
+        if not level.filter(F.col("id") == goal).isEmpty():
+            path, found = [goal], seen.rows()
+            for k in range(d, 0, -1):
+                path.append(found.filter((F.col("distance") == k) & (F.col("id") == path[-1])).first()["via"])
             return path[::-1]
-        reached = levels[-1].select(F.col("id").alias("from_node")).join(steps, "from_node").groupBy(F.col("to_node").alias("id")).agg(F.min("from_node").alias("via"))
-        levels.append(materialise(reached.join(seen, "id", "left_anti"), "level"))
-        if levels[-1].isEmpty():
-            return []
-        seen = seen.union(levels[-1].select("id"))
+        d += 1
+        reached = level.select(F.col("id").alias("from_node")).join(steps, "from_node").groupBy(F.col("to_node").alias("id")).agg(F.min("from_node").alias("via"))
+        level, n = counted(reached.join(seen.rows().select("id"), "id", "left_anti").withColumn("distance", F.lit(d)), "level")
+        seen.add(level)
+        level = seen.latest(d)
     return []
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_rounds: int) -> DataFrame:
-    """(start, id, distance) for every start, at most ``max_rounds`` hops; the frontier keeps the start."""
+def distances(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(start, id, distance) for every start, at most ``max_rounds`` hops (None: to the end); the frontier keeps the start."""
     steps = materialise(edges.select("from_node", "to_node").distinct(), "steps")
-    frontier = materialise(starts.select(F.col("id").alias("start"), "id").distinct(), "frontier")
-    out = frontier.withColumn("distance", F.lit(0))
-    for d in range(1, max_rounds + 1):
-        reached = frontier.withColumnRenamed("id", "from_node").join(steps, "from_node").select("start", F.col("to_node").alias("id")).distinct()
-        frontier = materialise(reached.join(out, ["start", "id"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        out = out.unionByName(frontier.withColumn("distance", F.lit(d)))
+    frontier, n = counted(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("distance", F.lit(0)), "frontier")
+    seen, d = Seen(frontier), 0
+    while n and (max_rounds is None or d < max_rounds):
+        d += 1
+        reached = frontier.select("start", F.col("id").alias("from_node")).join(steps, "from_node").select("start", F.col("to_node").alias("id")).distinct()
+        frontier, n = counted(reached.join(seen.rows().select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(d)), "frontier")
+        if n:
+            seen.add(frontier)
+            frontier = seen.latest(d)
+    return seen.rows()
+
+
+def prune_acyclic(edges: DataFrame) -> DataFrame:
+    """Edges without those that can't be on a cycle: ends without a way in or out go, again and again, until none goes."""
+    left, n = counted(edges, "cyclic")
+    while True:
+        onward = left.join(left.select(F.col("to_node").alias("from_node")).distinct(), "from_node", "left_semi")
+        onward = onward.join(left.select(F.col("from_node").alias("to_node")).distinct(), "to_node", "left_semi")
+        left, m = counted(onward, "cyclic")
+        if m == n:
+            return left
+        n = m
+
+
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """(id, colour): the largest colour that reaches a node along the edges, its own included."""
+    colours = materialise(colours, "colours")
+    while True:
+        offered = edges.join(colours.select(F.col("id").alias("from_node"), "colour"), "from_node").groupBy(F.col("to_node").alias("id")).agg(F.max("colour").alias("offer"))
+        better = colours.join(offered, "id", "left").select("id", F.greatest("colour", "offer").alias("colour"), (F.col("offer") > F.col("colour")).alias("_up"))
+        changed = Observation()
+        colours = materialise(better.observe(changed, F.count_if("_up").alias("n")).drop("_up"), "colours")
+        if not changed.get["n"]:
+            return colours
+
+
+def _local_components(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Strongly connected components of two nodes or more, (node, largest node), by one walk with low links."""
+    after: dict[str, list[str]] = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_, on, out = [], set(), []
+    for first in after:
+        if first in number:
+            continue
+        walk = [(first, iter(after[first]))]
+        number[first] = low[first] = len(number)
+        open_.append(first)
+        on.add(first)
+        while walk:
+            at, rest = walk[-1]
+            for b in rest:
+                if b not in number:
+                    number[b] = low[b] = len(number)
+                    open_.append(b)
+                    on.add(b)
+                    walk.append((b, iter(after[b])))
+                    break
+                if b in on:
+                    low[at] = min(low[at], number[b])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[at])
+                if low[at] == number[at]:
+                    members = []
+                    while not members or members[-1] != at:
+                        members.append(open_.pop())
+                        on.discard(members[-1])
+                    if len(members) > 1:
+                        head = max(members)
+                        out += [(m, head) for m in members]
     return out
 
 
-def prune_acyclic(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Edges without those that can't be on a cycle: ends without a way in or out go, again and again."""
-    left = materialise(edges, "cyclic")
-    n = left.count()
-    for _ in range(max_rounds):
-        left = left.join(left.select(F.col("to_node").alias("from_node")).distinct(), "from_node", "left_semi")
-        left = materialise(left.join(left.select(F.col("from_node").alias("to_node")).distinct(), "to_node", "left_semi"), "cyclic")
-        m = left.count()
-        if m == n:
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, component) of nodes on cycles of two nodes or more: component is the largest node of the strongly connected one.
+
+    A graph of at most ``local_edges`` edges, which are counted first, is walked on the driver. In larger ones colours spread
+    forwards; a node whose colour is its own heads a component, whose members are those of its colour that reach it. They go,
+    and what is left is coloured anew, until nothing is. Both ways give the same.
+    """
+    plain, n = counted(edges.select("from_node", "to_node").filter("from_node != to_node").distinct(), "steps")
+    if n <= local_edges:
+        found = _local_components([(r["from_node"], r["to_node"]) for r in plain.collect()])
+        return edges.sparkSession.createDataFrame(found, "id string, component string")
+    steps = prune_acyclic(plain)
+    found: list[DataFrame] = []
+    while True:
+        colours = _spread(steps, endpoints(steps).select("id", F.col("id").alias("colour")))
+        a = colours.select(F.col("id").alias("from_node"), F.col("colour").alias("_a"))
+        b = colours.select(F.col("id").alias("to_node"), F.col("colour").alias("_b"))
+        inside = materialise(steps.join(a, "from_node").join(b, "to_node").filter("_a = _b").select("from_node", "to_node", F.col("_a").alias("colour")), "inside")
+        back = inside.select(F.col("to_node").alias("at"), F.col("from_node").alias("id"))
+        frontier, n = counted(colours.filter("id = colour").join(inside.select("colour").distinct(), "colour", "left_semi").select("id", "colour", F.lit(0).alias("distance")), "heads")
+        seen, d = Seen(frontier), 0
+        while n:
+            d += 1
+            reached = frontier.select(F.col("id").alias("at"), "colour").join(back, "at").select("id", "colour").distinct()
+            frontier, n = counted(reached.join(seen.rows().select("id"), "id", "left_anti").withColumn("distance", F.lit(d)), "heads")
+            if n:
+                seen.add(frontier)
+                frontier = seen.latest(d)
+        members = materialise(seen.rows().select("id", F.col("colour").alias("component")), "members")
+        found.append(members)
+        gone = members.select(F.col("id").alias("from_node"))
+        left = steps.join(gone, "from_node", "left_anti").join(gone.withColumnRenamed("from_node", "to_node"), "to_node", "left_anti")
+        steps = prune_acyclic(left)
+        if steps.isEmpty():
             break
-        n = m
-    return left
+    every = reduce(DataFrame.unionByName, found)
+    large = every.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return every.join(large, "component", "left_semi").select("id", "component")
 
 
-def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
-    """(length, cycle): simple cycles of two nodes or more, as node lists that begin with the smallest.
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(length, cycle): all simple cycles of two nodes or more, as node lists that begin with the smallest.
 
-    Paths start at a cycle's smallest node and never go below it. Cycles longer than ``max_length`` aren't listed: their
-    number can grow exponentially.
+    Paths start at a cycle's smallest node, never go below it and stay in its strongly connected component; they are walked
+    until none is left. The number of simple cycles can grow exponentially with a component: ``max_length`` stops there, and
+    a column ``truncated`` then says of every row whether paths were left. Whether a node is on a cycle at all is cheap:
+    ``strong_components``.
     """
-    steps = prune_acyclic(edges.select("from_node", "to_node").filter("from_node != to_node").distinct())
-    paths = materialise(steps.filter("to_node > from_node").select(F.col("from_node").alias("start"), F.col("to_node").alias("last"), F.array("from_node", "to_node").alias("path")), "paths")
-    found = None
-    for n in range(2, max_length + 1):
+    steps = edges.select("from_node", "to_node").filter("from_node != to_node").distinct()
+    members = materialise(strong_components(steps), "components")
+    a, b = (members.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")) for end in ("from_node", "to_node"))
+    steps = materialise(steps.join(a, "from_node").join(b, "to_node").filter("_from_node = _to_node").select("from_node", "to_node"), "steps")
+    paths, left = counted(steps.filter("to_node > from_node").select(F.col("from_node").alias("start"), F.col("to_node").alias("last"), F.array("from_node", "to_node").alias("path")), "paths")
+    found, n = paths.limit(0).select(F.lit(2).alias("length"), F.col("path").alias("cycle")), 2
+    while left and (max_length is None or n <= max_length):
         walked = paths.join(steps, F.col("last") == F.col("from_node"))
         closed = walked.filter("to_node = start").select(F.lit(n).alias("length"), F.col("path").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
-        if n == max_length:
-            break
+        found = found.unionByName(closed)
         more = walked.filter("to_node > start").filter(~F.array_contains("path", F.col("to_node")))
-        paths = materialise(more.select("start", F.col("to_node").alias("last"), F.array_append("path", F.col("to_node")).alias("path")), "paths")
-        if paths.isEmpty():
-            break
-    return found.distinct()
+        paths, left = counted(more.select("start", F.col("to_node").alias("last"), F.array_append("path", F.col("to_node")).alias("path")), "paths")
+        n += 1
+        if n % MERGE == 0:
+            found = materialise(found, "cycles")
+    return found if max_length is None else found.withColumn("truncated", F.lit(left > 0))
 
 
 def dependency_tree(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:

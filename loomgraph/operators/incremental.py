@@ -68,6 +68,22 @@ def pending(listing: DataFrame, fingerprints: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", status.alias("status")).filter("status is not null")
 
 
+def tree_diff(listing: DataFrame, fingerprints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, status, deleted_nodes): files added, modified or deleted since the fingerprints, and how many nodes go with a deleted one."""
+    named = F.when(F.col("status") == "new", "added").when(F.col("status") == "changed", "modified").otherwise("deleted")
+    found = pending(listing, fingerprints).withColumn("status", named)
+    held = nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("_n"))
+    lost = F.when(F.col("status") == "deleted", F.coalesce("_n", F.lit(0))).otherwise(0).cast("long")
+    return found.join(held, "path", "left").select("path", "status", lost.alias("deleted_nodes"))
+
+
+def save_metrics(stored: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Key-value rows (key, value) after the columns of ``metrics`` (one row) were put in."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in metrics.columns)))
+    fresh = metrics.select(pairs.alias("p")).select("p.key", "p.value")
+    return stored.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+
+
 def history(changes: DataFrame, node: str | None = None, since: str | None = None, limit: int = 50) -> DataFrame:
     """The change log, latest first."""
     out = changes

@@ -6,18 +6,33 @@ equi-joins that shuffle by key and never nested loops.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors_of, suffixes_of
+from ..plans.tables import materialise
+
+
+BIN = 64  # width of the bins that intervals and points meet in
+
+
+def _around(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, bin_width: int) -> DataFrame:
+    """Points with all spans (closed, whole numbers) around them: besides ``on`` they share a bin, of which a span has one for
+    each ``bin_width`` of its length."""
+    floor = lambda c: F.floor(F.col(c) / bin_width)
+    a = points.withColumn("_bin", floor(point))
+    b = spans.filter(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(floor(start), floor(end))))
+    return a.join(b, [*on, "_bin"]).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end))).drop("_bin")
 
 
-def containing(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, key: list[str], order: list[str]) -> DataFrame:
+def containing(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, key: list[str], order: list[str], bin_width: int = BIN) -> DataFrame:
     """For each point the smallest span around it (closed), ties by ``order``; points without a span go.
 
-    key: columns that name a point; equality columns ``on`` are shared.
+    key: columns that name a point; equality columns ``on`` are shared. Points and ends are whole numbers.
     """
-    both = points.join(spans, on).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
+    both = _around(points, spans, on, point, start, end, bin_width)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(end) - F.col(start), *order))
     return both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
@@ -36,9 +51,9 @@ def overlapping(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_s
     return both.filter(first & (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))).drop("_bin")
 
 
-def covered_counts(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, key: str) -> DataFrame:
+def covered_counts(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, key: str, bin_width: int = BIN) -> DataFrame:
     """(key, covered): how many distinct points each span holds; 0 for none."""
-    both = spans.join(points.select(*on, point).distinct(), on).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
+    both = _around(points.select(*on, point).distinct(), spans, on, point, start, end, bin_width)
     hits = both.groupBy(key).agg(F.count("*").alias("covered"))
     return spans.select(key).join(hits, key, "left").select(key, F.coalesce("covered", F.lit(0)).alias("covered"))
 
@@ -55,17 +70,20 @@ def enrich(edges: DataFrame, nodes: DataFrame, columns: list[str], how: str = "l
 def route_matches(calls: DataFrame, routes: DataFrame, call_path: str, route_path: str, call_method: str, route_method: str) -> DataFrame:
     """Calls with the routes that they fit: as many segments, each equal or a ``:param`` on either side; methods equal or ANY.
 
-    The number of segments and the first segment are the keys; parameters in the first place get a pass of their own.
+    Which segments are parameters is a path's mask; there are few masks for a length. Every path meets the other side's masks of
+    its length, and the segments that are parameters in neither are the key: a join of equality alone.
     """
-    a = calls.withColumn("_cs", F.split(call_path, "/")).withColumn("_n", F.size("_cs")).withColumn("_head", F.get("_cs", F.lit(1)))
-    b = routes.withColumn("_rs", F.split(route_path, "/")).withColumn("_m", F.size("_rs")).withColumn("_first", F.get("_rs", F.lit(1)))
-    free = lambda c: F.coalesce(F.col(c) == ":param", F.lit(False))
-    fits = F.forall(F.zip_with("_cs", "_rs", lambda x, y: (x == y) | (x == ":param") | (y == ":param")), lambda x: x)
+    free = lambda c: F.transform(c, lambda x: (x == ":param").cast("int"))
+    a = calls.withColumn("_cs", F.split(call_path, "/")).withColumn("_cm", F.array_join(free(F.col("_cs")), ""))
+    b = routes.withColumn("_rs", F.split(route_path, "/")).withColumn("_rm", F.array_join(free(F.col("_rs")), ""))
+    a = a.withColumn("_n", F.size("_cs"))
+    b = b.withColumn("_n", F.size("_rs"))
+    masks_a, masks_b = a.select("_n", "_cm").distinct(), b.select("_n", "_rm").distinct()
+    shared = lambda parts: F.transform(parts, lambda x, i: F.when((F.substring("_cm", i + 1, F.lit(1)) == "1") | (F.substring("_rm", i + 1, F.lit(1)) == "1"), F.lit(":param")).otherwise(x))
+    a = a.join(masks_b, "_n").withColumn("_key", F.array_join(shared(F.col("_cs")), "/"))
+    b = b.join(masks_a, "_n").withColumn("_key", F.array_join(shared(F.col("_rs")), "/"))
     same = (F.col(call_method) == F.col(route_method)) | (F.col(call_method) == "ANY") | (F.col(route_method) == "ANY")
-    plain = a.filter(~free("_head")).join(b.filter(~free("_first")), (F.col("_n") == F.col("_m")) & F.col("_head").eqNullSafe(F.col("_first")) & fits & same)
-    open_routes = a.filter(~free("_head")).join(b.filter(free("_first")), (F.col("_n") == F.col("_m")) & fits & same)
-    open_calls = a.filter(free("_head")).join(b, (F.col("_n") == F.col("_m")) & fits & same)
-    return plain.unionByName(open_routes).unionByName(open_calls).drop("_cs", "_n", "_head", "_rs", "_m", "_first")
+    return a.join(b, ["_n", "_cm", "_rm", "_key"]).filter(same).drop("_cs", "_cm", "_rs", "_rm", "_n", "_key")
 
 
 def unique_suffixes(ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -103,24 +121,22 @@ def last_before(left: DataFrame, right: DataFrame, on: list[str], at: str, right
 
 
 def _as_of(left, right, on, at, right_at, take, forward, strict):
+    """Both sides in one sort, the nearest right row so far at each place: one pass over a key's rows, forwards or backwards."""
     a = left.withColumn("_side", F.lit(0)).withColumn("_at", F.col(at)).withColumn("_take", F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType))
     b = right.select(*on, F.lit(1).alias("_side"), F.col(right_at).alias("_at"), F.struct(*take).alias("_take"))
     both = a.unionByName(b, allowMissingColumns=True)
-    # what may match at the same time stands on the far side of the left row, what may not on the near side
-    tie = F.col("_side") if forward != strict else -F.col("_side")
-    order = [F.col("_at").asc(), tie.asc(), F.to_json("_take").asc()]
-    w = Window.partitionBy(*on).orderBy(*order)
-    if forward:
-        found = F.first("_take", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        found = F.last("_take", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = both.withColumn("_found", found).filter("_side = 0")
+    # what may match at the same time stands before the left row in the order of the pass, what may not behind it
+    tie = F.col("_side").asc() if strict else F.col("_side").desc()
+    json = F.to_json("_take")
+    order = [F.col("_at").desc(), tie, json.desc()] if forward else [F.col("_at").asc(), tie, json.asc()]
+    w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("_found", F.last("_take", ignorenulls=True).over(w)).filter("_side = 0")
     return out.select(*left.columns, *(F.col("_found")[c].alias(c) for c in take))
 
 
-def latest_start(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, key: list[str], take: str) -> DataFrame:
+def latest_start(points: DataFrame, spans: DataFrame, on: list[str], point: str, start: str, end: str, key: list[str], take: str, bin_width: int = BIN) -> DataFrame:
     """For each point the containing span that starts last."""
-    both = points.join(spans, on).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
+    both = _around(points, spans, on, point, start, end, bin_width)
     return both.groupBy(*key).agg(F.max_by(take, F.struct(F.col(start), F.col(take))).alias(take))
 
 
@@ -164,12 +180,34 @@ def diff(old: DataFrame, new: DataFrame, key: str, state: str) -> DataFrame:
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
-def prefixed_routes(routes: DataFrame, includes: DataFrame, imports: DataFrame) -> DataFrame:
-    """Routes (file, path) under the prefixes of the routers that include them.
+def prefixed_routes(routes: DataFrame, includes: DataFrame, imports: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Routes (file, path) under the prefixes of the routers that include them, at any depth.
 
     includes (file, router, prefix): a file mounts a router's name; imports (file, name, module_file): where the name comes
-    from. A mount's own file counts where the name isn't imported. One level, as routers of routers are rare.
+    from. A mount's own file counts where the name isn't imported. own (file, prefix): the prefix that a file's router is made
+    with; it stands between the mount's and the route's. A router that is mounted twice has its routes twice. Mounts in a ring
+    are followed until a file comes back.
     """
     mounts = includes.join(imports.select("file", F.col("name").alias("router"), "module_file"), ["file", "router"], "left")
-    mounts = mounts.select(F.coalesce("module_file", "file").alias("file"), "prefix").distinct()
-    return routes.join(mounts, "file", "left").withColumn("path", F.concat(F.coalesce("prefix", F.lit("")), F.col("path"))).drop("prefix")
+    mounts = mounts.select(F.col("file").alias("parent"), F.coalesce("module_file", "file").alias("file"), F.coalesce("prefix", F.lit("")).alias("mount"))
+    if own is not None:
+        within = own.groupBy("file").agg(F.first("prefix").alias("_own"))
+        mounts = mounts.join(within, "file", "left").withColumn("mount", F.concat("mount", F.coalesce("_own", F.lit("")))).drop("_own")
+    mounts = materialise(mounts.distinct(), "mounts")
+    inner = mounts.filter("parent != file").select("file").distinct()
+    roots = mounts.select(F.col("parent").alias("file")).distinct().join(inner, "file", "left_anti")
+    base = routes.select("file").unionByName(roots).distinct().join(inner, "file", "left_anti")
+    if own is not None:
+        base = base.join(within, "file", "left").select("file", F.coalesce("_own", F.lit("")).alias("prefix"))
+    else:
+        base = base.select("file", F.lit("").alias("prefix"))
+    local = base.alias("b").join(mounts.filter("parent = file").select("file", "mount"), "file", "left").select("file", F.coalesce("mount", "prefix").alias("prefix"))
+    level, found = base.withColumn("way", F.array("file")), [local]
+    while True:
+        step = level.select(F.col("file").alias("parent"), "prefix", "way").join(mounts.filter("parent != file"), "parent").filter(~F.array_contains("way", F.col("file")))
+        level = materialise(step.select("file", F.concat("prefix", "mount").alias("prefix"), F.concat("way", F.array("file")).alias("way")).distinct(), "level")
+        if level.isEmpty():
+            break
+        found.append(level.select("file", "prefix"))
+    every = reduce(DataFrame.unionByName, found).distinct()
+    return routes.join(every, "file", "left").withColumn("path", F.concat(F.coalesce("prefix", F.lit("")), F.col("path"))).drop("prefix")

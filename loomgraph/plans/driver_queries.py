@@ -468,10 +468,10 @@ def g6_distances(s, d):
 
 
 @query("""WITH e AS (SELECT from_node AS a, to_node AS b FROM g_edges WHERE type = 'imports'), walk(start, last, path) AS (SELECT a, b, [a, b] FROM e WHERE b > a
-UNION ALL SELECT start, b, list_append(path, b) FROM walk JOIN e ON a = last WHERE b > start AND NOT list_contains(path, b) AND len(path) < 8)
+UNION ALL SELECT start, b, list_append(path, b) FROM walk JOIN e ON a = last WHERE b > start AND NOT list_contains(path, b))
 SELECT len(path)::INTEGER AS length, array_to_string(path, '>') AS cycle FROM walk JOIN e ON a = last AND b = start""")
 def g7_cycles(s, d):
-    return G.cycles(binding.edges(s, d).filter("type = 'imports'"), 8).select("length", F.array_join("cycle", ">").alias("cycle"))
+    return G.cycles(binding.edges(s, d).filter("type = 'imports'")).select("length", F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("""WITH walk(id, d) AS (SELECT 'R1', 0 UNION SELECT to_node, d + 1 FROM walk JOIN g_flat ON from_node = id WHERE d < 3), best AS (SELECT id, min(d) AS d FROM walk GROUP BY id)

@@ -123,16 +123,23 @@ def a14_authors(s, d):
 # ---- mappers
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, 'GET' AS method, '/api/' || lower(n_name) || '/:param' AS path FROM nation UNION ALL SELECT n_nationkey::VARCHAR, 'POST', '/add' FROM nation")
+@query("""SELECT n_nationkey::VARCHAR AS id, m AS method, CASE WHEN p LIKE '%/' THEN p || lower(n_name) || s ELSE p END AS path FROM nation,
+(VALUES ('GET', '/api/', '/:param'), ('PUT', '/api/', '/:param'), ('DELETE', '/del/', ''), ('ANY', '/plain/', ''), ('POST', '/add', ''), ('ANY', '/any/:param', ''), ('GET', '/c', '')) v(m, p, s)""")
 def x7_routes(s, d):
-    n = nations(s, d).select(F.col("k").alias("id"), F.concat(F.lit('@app.get("/api/'), "n", F.lit("/{id}/\")\ndef f(): ...\nrouter.post('/add', go)")).alias("source_code"))
-    return extract.routes(n).select("id", "method", "path")
+    n, name = nations(s, d), F.col("n")
+    text = F.concat(
+        F.lit('@app.route("/api/'), name, F.lit('/{id}/", methods=["GET", "put"])\ndef f(): ...\n# @app.get("/no")\n    @app.delete(\n        "/del/'), name,
+        F.lit("\")\ndef g(): map.get('key')\n@bp.route('/plain/"), name, F.lit("')\ndef h(): ...\nusers.post('/add', go(1)); router.all(\"/any/:k\", h); api.get('/c', h); axios.get('/call')\n// app.get('/no', h)"),
+    )
+    return extract.routes(n.select(F.col("k").alias("id"), text.alias("source_code"))).select("id", "method", "path")
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, m AS method, p || CASE WHEN m = 'DELETE' THEN '' ELSE lower(n_name) END AS path FROM nation, (VALUES ('DELETE', '/a/:param'), ('PUT', '/b/')) v(m, p)")
+@query("""SELECT n_nationkey::VARCHAR AS id, m AS method, CASE WHEN p LIKE '%/' THEN p || lower(n_name) ELSE p END AS path FROM nation,
+(VALUES ('DELETE', '/a/:param'), ('PUT', '/b/'), ('GET', '/x/'), ('POST', '/y/:param'), ('GET', '/z')) v(m, p)""")
 def x8_api_calls(s, d):
-    n = nations(s, d).select(F.col("k").alias("id"), F.concat(F.lit("axios.delete(`/a/${id}?q=1`); this.client.put('/b/"), "n", F.lit("')")).alias("source_code"))
-    return extract.api_calls(n).select("id", "method", "path")
+    n = F.col("n")
+    text = F.concat(F.lit("fetch('/x/"), n, F.lit("'); fetch(`/y/${id}`, {\n  body: f(')'), method: 'post'});\naxios.delete(`/a/${id}?q=1`); this.client.put('/b/"), n, F.lit("', {method: 'GET'}); request<T>('https://h/z/')\n// fetch('/no')\nother.get('/no'); fetch('no/slash')"))
+    return extract.api_calls(nations(s, d).select(F.col("k").alias("id"), text.alias("source_code"))).select("id", "method", "path")
 
 
 @query("""SELECT page_id, CASE WHEN length(p) > 1 THEN rtrim(p, '/') ELSE p END AS path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://[^/]*([^?#]*)', 1), '[0-9]+', ':param') AS p FROM pages)""")
@@ -155,10 +162,16 @@ def x13_env_uses(s, d):
     return extract.env_uses(p)
 
 
-@query("SELECT p_partkey::VARCHAR AS id, b AS bridge, m || p_partkey AS module FROM part, (VALUES ('ctypes', 'x'), ('napi', 'y')) v(b, m)")
+@query("""SELECT p_partkey::VARCHAR AS id, b AS bridge, CASE WHEN b = 'wasm' THEN m ELSE m || p_partkey END AS module, CASE WHEN b = 'koffi' THEN 'add,sub' || p_size ELSE '' END AS functions
+FROM part, (VALUES ('ctypes', 'x'), ('napi', 'y'), ('koffi', 'z'), ('wasm', 'WebAssembly')) v(b, m)""")
 def x15_bindings(s, d):
-    p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit('ctypes.CDLL("./libx'), "p_partkey", F.lit('.so.1"); require("../y'), "p_partkey", F.lit('/index.node"); spawn("no")')).alias("source_code"))
-    return extract.bindings(p).select("id", "bridge", "module")
+    k = F.col("p_partkey")
+    text = F.concat(
+        F.lit('ctypes.CDLL("./libx'), k, F.lit('.so.1"); require("../y'), k, F.lit('/index.node"); spawn("no")\n// koffi.load("no")\nconst z = koffi.load("libz'), k,
+        F.lit("\"); z.func('int', 'add', []); z.define('sub"), "p_size", F.lit("', x); WebAssembly.compile(bytes)"),
+    )
+    found = extract.bindings(table(s, d, "part").select(k.cast("string").alias("id"), text.alias("source_code")))
+    return found.select("id", "bridge", "module", F.array_join("functions", ",").alias("functions"))
 
 
 @query("""SELECT 'env.' || v AS to_node, string_agg('n' || n_nationkey, ',' ORDER BY 'n' || n_nationkey) AS items, count(*) AS n FROM (SELECT n_nationkey, 'V' || n_nationkey % 4 AS v FROM nation) GROUP BY v""")
@@ -274,15 +287,19 @@ def f16_is_external(s, d):
     return e.groupBy("event_type", "external").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey::VARCHAR AS file, '/v' || n_nationkey % 5 || '/x' AS path FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT n_nationkey::VARCHAR, '/x' FROM nation WHERE n_nationkey < 5""")
+@query("""SELECT 'main' || n_nationkey % 5 AS file, '/x' AS path FROM nation GROUP BY ALL UNION ALL SELECT 'mid' || n_nationkey, '/v' || n_nationkey % 5 || '/m/x' FROM nation
+UNION ALL SELECT 'leaf' || n_nationkey, '/v' || n_nationkey % 5 || '/m/deep/x' FROM nation UNION ALL SELECT 'alone' || n_nationkey, '/own' || n_nationkey || '/x' FROM nation""")
 def j18_router_prefixes(s, d):
-    n = nations(s, d)
-    routes = n.select(F.col("k").alias("file"), F.lit("/x").alias("path"))
-    own = n.filter("n_nationkey >= 5")
-    text = own.groupBy((F.col("n_nationkey") % 5).alias("m")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("app.include_router(pkg.r"), "k", F.lit(", prefix='/v"), F.col("n_nationkey") % 5, F.lit("')")))), "\n").alias("text"))
-    includes = extract.router_includes(text.select(F.concat(F.lit("main"), "m").alias("file"), "text"))
-    imports = own.select(F.concat(F.lit("main"), F.col("n_nationkey") % 5).alias("file"), F.concat(F.lit("r"), "k").alias("name"), F.col("k").alias("module_file"))
-    return J.prefixed_routes(routes, includes, imports)
+    n, k, five = nations(s, d), F.col("k"), (F.col("n_nationkey") % 5).cast("string")
+    mounts = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("app.include_router(m"), "k", F.lit(".router, prefix='/v"), five, F.lit("')")))), "\n")
+    main = n.groupBy(F.concat(F.lit("main"), five).alias("file")).agg(mounts.alias("text"))
+    mid = n.select(F.concat(F.lit("mid"), k).alias("file"), F.lit("router = APIRouter(prefix='/m')\nrouter.include_router(\n    leaf,\n    prefix='/deep/',\n)\n# router.include_router(no, prefix='/no')").alias("text"))
+    alone = n.select(F.concat(F.lit("alone"), k).alias("file"), F.concat(F.lit("bp = Blueprint('x', url_prefix='/own"), k, F.lit("')")).alias("text"))
+    sources = main.unionByName(mid).unionByName(alone)
+    names = n.select(F.concat(F.lit("main"), five).alias("file"), F.concat(F.lit("m"), k).alias("name"), F.concat(F.lit("mid"), k).alias("module_file"))
+    names = names.unionByName(n.select(F.concat(F.lit("mid"), k).alias("file"), F.lit("leaf").alias("name"), F.concat(F.lit("leaf"), k).alias("module_file")))
+    every = sources.select("file").unionByName(n.select(F.concat(F.lit("leaf"), k).alias("file")))
+    return J.prefixed_routes(every.withColumn("path", F.lit("/x")), extract.router_includes(sources), names, extract.router_prefixes(sources))
 
 
 @query("""WITH c AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS changes FROM lineitem GROUP BY 1) SELECT 'n' || p_partkey AS id, p_partkey::VARCHAR AS file_path, changes FROM part JOIN c ON l_partkey = p_partkey ORDER BY changes DESC, id LIMIT 15""")

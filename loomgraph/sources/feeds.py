@@ -14,9 +14,9 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("files").alias("file_path", "f")).select("file_path", F.explode("f.executed_lines").alias("line"))
 
 
-def traces(spark: SparkSession, path: str) -> DataFrame:
-    """(from_node, to_node, n) of traced calls."""
-    raw = spark.read.schema(TRACE).option("multiLine", "true").json(path)
+def traces(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(from_node, to_node, n) of traced calls; by_line: a document stands on each line, as ``write_trace`` makes them."""
+    raw = spark.read.schema(TRACE).option("multiLine", not by_line).json(path)
     return raw.select(F.explode("edges").alias("e")).select(F.col("e.from").alias("from_node"), F.col("e.to").alias("to_node"), F.col("e.count").alias("n"))
 
 
@@ -41,13 +41,13 @@ def node_audit(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("vulnerabilities").alias("package", "v")).select("package", "v.severity", "v.range")
 
 
-def arch_rules(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RULES).option("multiLine", "true").json(path)
+def arch_rules(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    return spark.read.schema(RULES).option("multiLine", not by_line).json(path)
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, mtime, size) of the files as of the last sync."""
-    raw = spark.read.schema("fingerprints map<string,struct<mtime:double,size:bigint>>").option("multiLine", "true").json(path)
+def fingerprints(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(path, mtime, size) of the files as of the last sync; by_line: as ``write_fingerprints`` makes them."""
+    raw = spark.read.schema("fingerprints map<string,struct<mtime:double,size:bigint>>").option("multiLine", not by_line).json(path)
     return raw.select(F.explode("fingerprints").alias("path", "f")).select("path", "f.mtime", "f.size")
 
 
@@ -67,7 +67,7 @@ def blame(text: DataFrame) -> DataFrame:
     rows = rows.withColumn("_c", F.when(F.col("line").rlike(header), F.regexp_extract("line", header, 1))).withColumn("_n", F.when(F.col("line").rlike(header), F.regexp_extract("line", header, 2).cast("int")))
     rows = rows.withColumn("commit", F.last("_c", True).over(w)).withColumn("number", F.last("_n", True).over(w))
     about = rows.groupBy("file", "commit").agg(
-        F.max(F.when(F.startswith("line", F.lit("author ")), F.substring("line", 8, 1000))).alias("author"),
+        F.max(F.when(F.startswith("line", F.lit("author ")), F.expr("substring(line, 8)"))).alias("author"),
         F.max(F.when(F.startswith("line", F.lit("author-time ")), F.substring("line", 13, 20).cast("long"))).alias("time"),
     )
     content = rows.filter(F.startswith("line", F.lit("\t"))).select("file", F.col("number").alias("line"), "commit", F.expr("substring(line, 2)").alias("content"))

@@ -11,6 +11,7 @@ SKIPPED = (
     ".ruff_cache", ".eggs", "site-packages", ".next", ".nuxt", "coverage", ".idea", ".vscode", "target", "vendor",
 )
 ENVIRONMENT_SUFFIXES = ("-env", "_env", "-venv", "_venv")
+TRACE_ROWS = 10_000  # edges of one document
 EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx")
 
 
@@ -54,14 +55,17 @@ def hidden(spark: SparkSession, root: str) -> list[tuple[str, float, int, bytear
     return out
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = EXTENSIONS, text: bool = True) -> DataFrame:
-    """(path, mtime, size, text) of a project's files, paths relative to the root. Without ``text`` contents aren't read."""
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = EXTENSIONS, text: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """(path, mtime, size, text) of a project's files, paths relative to the root. Without ``text`` contents aren't read; ``only``:
+    the files (path) that are wanted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + _quoted(base) + "/", "")
     files = files.select(relative.alias("path"), F.unix_micros("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
     more = spark.createDataFrame(hidden(spark, root), "path string, mtime double, size long, content binary")
     every = files.unionByName(more).filter(wanted(F.col("path"), extensions))
+    if only is not None:
+        every = every.join(only.select("path").distinct(), "path", "left_semi")
     return every.select("path", "mtime", "size", F.decode("content", "UTF-8").alias("text")) if text else every.drop("content")
 
 
@@ -100,10 +104,21 @@ def publish(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Architecture rules as JSON, one to a line."""
+    rules.write.mode("overwrite").json(path)
+
+
+def write_fingerprints(listing: DataFrame, path: str) -> None:
+    """(path, mtime, size) of files as JSON, one to a line; ``feeds.fingerprints`` reads it by line."""
+    listing.select(F.create_map("path", F.struct("mtime", "size")).alias("fingerprints")).write.mode("overwrite").json(path)
+
+
 def write_trace(calls: DataFrame, path: str) -> None:
-    """Counted calls as one JSON document {edges, total_calls, unique_edges}."""
+    """Counted calls as JSON documents {edges, total_calls, unique_edges} of ``TRACE_ROWS`` edges at most, so that no task holds the whole
+    trace; ``feeds.traces`` reads them by line."""
     edges = F.collect_list(F.struct(F.col("from_node").alias("from"), F.col("to_node").alias("to"), F.col("n").alias("count")))
-    calls.agg(edges.alias("edges"), F.sum("n").alias("total_calls"), F.count("*").alias("unique_edges")).coalesce(1).write.mode("overwrite").json(path)
+    calls.groupBy(F.spark_partition_id().alias("_p"), F.floor(F.monotonically_increasing_id() % (1 << 33) / TRACE_ROWS).alias("_b")).agg(edges.alias("edges"), F.sum("n").alias("total_calls"), F.count("*").alias("unique_edges")).drop("_p", "_b").write.mode("overwrite").json(path)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import ast
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.rows import flat_map
 
 ROWS = (
-    "kind string, id string, type string, name string, file_path string, start_line int, end_line int, source_code string, docstring string, signature string, "
+    "kind string, id string, type string, name string, file_path string, start_line int, end_line int, source_code string, docstring string, signature string, decorators string, "
     "from_node string, to_node string, line_number int, confidence string, seq long, error string"
 )
 
@@ -92,8 +93,8 @@ class File:
     def row(self, **values) -> None:
         self.rows.append({"file_path": self.path, "seq": len(self.rows), **values})
 
-    def node(self, node_id: str, kind: str, name: str, start: int, end: int, doc: str | None, sig: str | None) -> None:
-        self.row(kind="node", id=node_id, type=kind, name=name, start_line=start, end_line=end, source_code="\n".join(self.lines[start - 1 : end]), docstring=doc, signature=sig)
+    def node(self, node_id: str, kind: str, name: str, start: int, end: int, doc: str | None, sig: str | None, marks: str | None = None) -> None:
+        self.row(kind="node", id=node_id, type=kind, name=name, start_line=start, end_line=end, source_code="\n".join(self.lines[start - 1 : end]), docstring=doc, signature=sig, decorators=marks)
 
     def edge(self, a: str, b: str, kind: str, line: int, confidence: str = "resolved") -> None:
         self.row(kind="edge", from_node=a, to_node=b, type=kind, line_number=line, confidence=confidence)
@@ -115,7 +116,8 @@ class File:
         parent, own = scope[-1], f"{scope[-1][0]}.{d.name}"
         is_class = isinstance(d, ast.ClassDef)
         kind = "class" if is_class else "method" if any(k == "class" for _, k in scope) else "function"
-        self.node(own, kind, d.name, d.lineno, d.end_lineno or d.lineno, ast.get_docstring(d), None if is_class else signature(d))
+        marks = "\n".join("@" + ast.unparse(m) for m in d.decorator_list) or None
+        self.node(own, kind, d.name, d.lineno, d.end_lineno or d.lineno, ast.get_docstring(d), None if is_class else signature(d), marks)
         if parent[1] in ("function", "method"):
             self.edge(parent[0], own, "contains", d.lineno)
         for base in d.bases if is_class else ():
@@ -186,8 +188,40 @@ def parse(files: DataFrame) -> DataFrame:
     return flat_map(files.select("path", "text"), rows, ROWS)
 
 
+def imported_names(files: DataFrame) -> DataFrame:
+    """(file, name, module): what each name that a file (path, text) imports stands for, dotted; relative ones from its folder."""
+
+    def rows(r: dict) -> list[dict]:
+        try:
+            tree = ast.parse(r["text"] or "")
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        package, out = r["path"].split("/")[:-1], []
+        for n in ast.walk(tree):
+            if isinstance(n, ast.Import):
+                out += [{"file": r["path"], "name": a.asname or a.name.rsplit(".", 1)[-1], "module": a.name} for a in n.names]
+            elif isinstance(n, ast.ImportFrom):
+                base = package[: len(package) - n.level + 1] if n.level else []
+                stem = ".".join([*base, *([n.module] if n.module else [])])
+                out += [{"file": r["path"], "name": a.asname or a.name, "module": f"{stem}.{a.name}".strip(".")} for a in n.names]
+        return out
+
+    return flat_map(files.select("path", "text"), rows, "file string, name string, module string")
+
+
+def module_files(names: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, name, module_file): the file that a name's module is, or whose object it is; also below the file's top folder."""
+    slashed = lambda m: F.replace(m, F.lit("."), F.lit("/"))
+    own, parent = slashed(F.col("module")), slashed(F.regexp_replace("module", r"\.[^.]+$", ""))
+    bare = F.array(F.concat(own, F.lit(".py")), F.concat(own, F.lit("/__init__.py")), F.concat(parent, F.lit(".py")), F.concat(parent, F.lit("/__init__.py")))
+    below = F.transform(bare, lambda p: F.concat(F.split("file", "/")[0], F.lit("/"), p))
+    tried = names.select("file", "name", F.posexplode(F.concat(bare, below)).alias("at", "module_file"))
+    known = tried.join(files.select(F.col("path").alias("module_file")).distinct(), "module_file", "left_semi")
+    return known.groupBy("file", "name").agg(F.min_by("module_file", "at").alias("module_file"))
+
+
 def nodes(rows: DataFrame) -> DataFrame:
-    return rows.filter("kind = 'node'").select("id", "type", "name", "file_path", "start_line", "end_line", "source_code", "docstring", "signature", "seq")
+    return rows.filter("kind = 'node'").select("id", "type", "name", "file_path", "start_line", "end_line", "source_code", "docstring", "signature", "decorators", "seq")
 
 
 def edges(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from .python_code import ROWS
 
 TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|=>|[A-Za-z_$][\w$]*|\d[\w.]*|\s+|.", re.S)
 # Words that look like calls or names but aren't.
-NOT_CALLED = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "new", "await", "super", "constructor", "import", "require"}
+NOT_CALLED = {"async", "if", "for", "while", "switch", "catch", "function", "return", "typeof", "new", "await", "super", "constructor", "import", "require"}
 
 
 def tokens(text: str) -> list[tuple[str, int]]:
@@ -77,20 +77,35 @@ class Script:
         for i, (t, line) in enumerate(self.toks):
             if t == "import" and self.at(i + 1) != "(":
                 j, names = i + 1, []
-                while j < len(self.toks) and j < i + 200 and self.at(j)[:1] not in "\"'":
+                while j < len(self.toks) and self.at(j) not in (";", "=", "(") and self.at(j)[:1] not in "\"'":
                     names.append(self.at(j))
                     j += 1
-                if j >= len(self.toks) or self.at(j)[:1] not in ('"', "'"):
+                if self.at(j)[:1] not in ('"', "'"):
                     continue
                 target, sure = resolve(self.at(j)[1:-1], self.path)
                 self.learn([n for n in names if n != "from"], target)
                 self.edge(self.module, target, "imports", line, sure)
+            elif t == "export" and self.at(i + 1) in ("{", "*"):
+                j = self.close.get(i + 1, i + 1) + 1
+                if self.at(j) == "as":
+                    j += 2
+                if self.at(j) == "from" and self.at(j + 1)[:1] in ('"', "'"):
+                    target, sure = resolve(self.at(j + 1)[1:-1], self.path)
+                    self.edge(self.module, target, "imports", line, sure)
+                    self.pass_on([self.at(k) for k in range(i + 2, j)], target)
             elif t == "require" and self.at(i + 1) == "(" and self.at(i + 2)[:1] in ('"', "'"):
                 target, sure = resolve(self.at(i + 2)[1:-1], self.path)
                 if self.at(i - 1) == "=" and self.at(i - 2).isidentifier():
                     self.names[self.at(i - 2)] = target
                 self.edge(self.module, target, "imports", line, sure)
 
+    def pass_on(self, names: list[str], target: str) -> None:
+        """Names that the module exports from another: each stands for what it is there."""
+        for k, n in enumerate(names):
+            if n.isidentifier() and n not in ("as", "type", "default") and not (k + 1 < len(names) and names[k + 1] == "as"):
+                source = names[k - 2] if k >= 2 and names[k - 1] == "as" else n
+                self.names.setdefault(n, f"{target}.{source}")
+
     def learn(self, names: list[str], target: str) -> None:
         inside = False
         for k, n in enumerate(names):
@@ -135,6 +150,10 @@ class Script:
                 i = self.define(name, "function", i, self.body_of(j), scope)
             elif kind == "class" and t.isidentifier() and nxt == "(" and t not in NOT_CALLED - {"constructor"} and self.body_of(i + 1) is not None:
                 i = self.define(t, "method", i, self.body_of(i + 1), scope)
+            elif kind == "class" and t.isidentifier() and self.at(i - 1) in ("{", ";", "}", "static", "readonly", "private", "public", "protected") and (arrow := self.arrow(i + 1)) is not None:
+                i = self.define(t, "method", i, arrow if self.at(arrow) == "{" else None, scope)  # a field that holds a function
+            elif t in ("const", "let", "var") and nxt.isidentifier() and self.at(i + 2) == "=" and self.at(i + 3) == "{" and self.functions_in(i + 3):
+                i = self.members(nxt, i, i + 3, scope)
             elif t in ("const", "let", "var") and nxt.isidentifier() and (arrow := self.arrow(i + 2)) is not None:
                 i = self.define(nxt, "function", i, arrow if self.at(arrow) == "{" else None, scope)
             else:
@@ -142,10 +161,65 @@ class Script:
                     self.call(i, scope, line)
                 elif t == "<" and nxt[:1].isupper() and self.at(i - 1) in ("(", "return", ">", "=>", "?", ":", "{", "}"):
                     self.edge(scope, self.names.get(nxt, f"{self.module}.{nxt}"), "calls", line, "inferred")
+                elif t == "=" and nxt == "{" and self.at(i + 2).isidentifier() and self.at(i + 3) == "}" and self.in_tag(i):
+                    self.edge(scope, self.names.get(self.at(i + 2), f"{self.module}.{self.at(i + 2)}"), "uses", line, "inferred")
                 i += 1
                 continue
             i += 1
 
+    def in_tag(self, i: int) -> bool:
+        """Whether an equals sign stands in a component's tag: back over names, strings and closed braces to its opening."""
+        opened = {b: a for a, b in self.close.items()} if not hasattr(self, "_opened") else self._opened
+        self._opened = opened
+        j = i - 1
+        while j >= 0:
+            t = self.at(j)
+            if t == "<":
+                return self.at(j + 1)[:1].isalpha()
+            if t == "}" and j in opened:
+                j = opened[j]
+            elif not (t.isidentifier() or t[:1] in "\"'`=.-" or t.isdigit()):
+                return False
+            j -= 1
+        return False
+
+    def functions_in(self, a: int) -> list[tuple[str, int, int | None]]:
+        """(name, place, opening brace) of the functions that an object holds: methods, arrows and function expressions."""
+        out, i, end = [], a + 1, self.close.get(a, a)
+        while i < end:
+            t, nxt = self.at(i), self.at(i + 1)
+            if t.isidentifier() and self.at(i - 1) in ("{", ",", "async"):
+                if nxt == "(" and (body := self.body_of(i + 1)) is not None:
+                    out.append((t, i, body))
+                    i = self.close.get(body, body)
+                elif nxt == ":":
+                    j = i + 2 + (self.at(i + 2) == "async")
+                    if self.at(j) == "function":
+                        j += 1 + (self.at(j + 1) != "(")
+                        if (body := self.body_of(j)) is not None:
+                            out.append((t, i, body))
+                            i = self.close.get(body, body)
+                    else:
+                        k = self.close.get(j, j) + 1 if self.at(j) == "(" else j + 1
+                        if self.at(k) == "=>":
+                            out.append((t, i, k + 1 if self.at(k + 1) == "{" else None))
+                            i = self.close.get(k + 1, k + 1) if self.at(k + 1) == "{" else k
+            if self.at(i) in ("(", "[", "{"):
+                i = self.close.get(i, i)
+            i += 1
+        return out
+
+    def members(self, name: str, start: int, a: int, scope: str) -> int:
+        """Functions of an object are functions named after it; what else it holds belongs to the scope."""
+        at, end = a + 1, self.close.get(a, a)
+        for own, place, body in self.functions_in(a):
+            self.block(at, place, scope, "object")
+            at = self.define(f"{name}.{own}", "function", place, body, scope) + 1
+            if body is None:
+                at = place + 1
+        self.block(at, end, scope, "object")
+        return end
+
     def arrow(self, i: int) -> int | None:
         """Place after the arrow of ``= (...) =>`` or ``= x =>``; null if there is none."""
         if self.at(i) == ":":

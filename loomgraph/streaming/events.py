@@ -69,10 +69,13 @@ def last_writes(events: DataFrame, key: str, time: str, value: str) -> DataFrame
 
 
 class DrainOnce(StatefulProcessor):
-    """State of a key: ids already given out; each id leaves the queue once."""
+    """State of a key: ids already given out; each id leaves the queue once, for as long as it is remembered."""
+
+    def __init__(self, remember_ms: int | None):
+        self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "id string", "n int")
+        self.seen = handle.getMapState("seen", "id string", "n int", self.remember_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         fresh = []
@@ -87,10 +90,11 @@ class DrainOnce(StatefulProcessor):
         pass
 
 
-def drain_once(events: DataFrame, queue: str, item: str) -> DataFrame:
-    """(queue, id): every item the first time it comes up."""
+def drain_once(events: DataFrame, queue: str, item: str, remember_ms: int | None = None) -> DataFrame:
+    """(queue, id): every item the first time it comes up. remember_ms: how long an id is kept after it was given out, so that the
+    state doesn't grow without end; a stream with it runs on by the clock and doesn't end by itself. None: for ever."""
     rows = events.select(F.col(queue).cast("string").alias("queue"), F.col(item).cast("string").alias("id"))
-    return rows.groupBy("queue").transformWithStateInPandas(statefulProcessor=DrainOnce(), outputStructType="queue string, id string", outputMode="Append", timeMode="None")
+    return rows.groupBy("queue").transformWithStateInPandas(statefulProcessor=DrainOnce(remember_ms), outputStructType="queue string, id string", outputMode="Append", timeMode="None" if remember_ms is None else "ProcessingTime")
 
 
 def merge_each_batch(stream: DataFrame, merge, checkpoint: str):

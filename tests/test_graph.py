@@ -53,6 +53,65 @@ def test_cycles(spark, edges):
     assert sorted(r.cycle for r in G.cycles(ring).collect()) == [["a", "b"], ["a", "b", "c"]]
 
 
+def rows_of(spark, pairs):
+    return spark.createDataFrame(pairs, "from_node string, to_node string")
+
+
+def test_long_rings_are_found(spark):
+    ring = [(f"n{i:02}", f"n{(i + 1) % 15:02}") for i in range(15)]
+    found = G.cycles(rows_of(spark, [*ring, ("n00", "out"), ("in", "n03")])).collect()
+    assert [(r.length, r.cycle) for r in found] == [(15, [f"n{i:02}" for i in range(15)])]
+    cut = G.cycles(rows_of(spark, [*ring, ("n02", "n01")]), max_length=3).collect()
+    assert [(r.cycle, r.truncated) for r in cut] == [(["n01", "n02"], True)]
+    assert {r.id for r in G.strong_components(rows_of(spark, [*ring, ("n00", "out")])).collect()} == {f"n{i:02}" for i in range(15)}
+
+
+def test_components_and_cycles_against_brute_force(spark):
+    rng = random.Random(8)
+    pairs = list({(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(26)})
+    after = {}
+    for a, b in pairs:
+        if a != b:
+            after.setdefault(a, set()).add(b)
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in after.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    names = {x for p in pairs for x in p}
+    reached = {x: reach(x) for x in names}
+    want = {x: max(y for y in names if y in reached[x] and x in reached[y]) for x in names if x in reached[x]}
+    for most in (0, 1000):  # over tables, and on the driver
+        assert {r.id: r.component for r in G.strong_components(rows_of(spark, pairs), most).collect()} == want
+    cycles, todo = set(), [(x, (x,)) for x in names]
+    while todo:
+        at, path = todo.pop()
+        for y in after.get(at, ()):
+            if y == path[0] and len(path) > 1:
+                cycles.add(path)
+            elif y > path[0] and y not in path:
+                todo.append((y, (*path, y)))
+    assert sorted(tuple(r.cycle) for r in G.cycles(rows_of(spark, pairs)).collect()) == sorted(cycles)
+
+
+def test_long_walks(spark):
+    chain = rows_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)])
+    assert G.shortest_path(chain, "n00", "n30") == [f"n{i:02}" for i in range(31)]
+    assert {r.id: r.distance for r in G.reachable(chain, ids(spark, "n00")).collect()} == {f"n{i:02}": i for i in range(31)}
+    far = {(r.start, r.id): r.distance for r in G.distances(chain, ids(spark, "n00", "n20")).collect()}
+    assert far["n00", "n30"] == 30 and far["n20", "n30"] == 10 and len(far) == 31 + 11
+    assert len(G.reachable(chain, ids(spark, "n00"), 11).collect()) == 12
+    plan = G.reachable(chain, ids(spark, "n00"))._jdf.queryExecution().toString()
+    assert plan.count("FileScan") <= G.MERGE + 2
+    deep = G.impact(chain.selectExpr("*", "'calls' as type"), ids(spark, "n30"), 20).collect()
+    assert {r.id: r.distance for r in deep} == {f"n{30 - d:02}": d for d in range(1, 21)}
+
+
 def test_collapse_keeps_the_last(spark):
     many = spark.createDataFrame([("a", "b", "calls", 1), ("a", "b", "uses", 2), ("a", "c", "calls", 0)], "from_node string, to_node string, type string, seq long")
     assert {(r.from_node, r.to_node, r.type) for r in G.collapse(many, ["seq"]).collect()} == {("a", "b", "uses"), ("a", "c", "calls")}

@@ -1,3 +1,6 @@
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
@@ -57,6 +60,86 @@ def test_routes(spark):
     assert sorted((r.c, r.r) for r in J.route_matches(calls, routes, "p", "q", "m", "n").collect()) == [("c1", "r1"), ("c2", "r2"), ("c3", "r1")]
 
 
+def test_as_of_over_one_key_is_one_pass(spark):
+    import time
+
+    df = spark.range(40_000).selectExpr("1 as k", "id as t")
+    right = df.filter("t % 1000 = 0").selectExpr("k", "t as u", "t as v")
+    began = time.perf_counter()
+    found = J.next_after(df, right, ["k"], "t", "u", ["v"]).agg(F.sum("v")).first()[0]
+    assert found == sum((t // 1000 + 1) * 1000 for t in range(39_000)) and time.perf_counter() - began < 8
+
+
+def test_as_of_against_brute_force(spark):
+    rng = random.Random(4)
+    left = [(rng.randrange(3), rng.randrange(30), i) for i in range(60)]
+    right = [(rng.randrange(3), rng.randrange(30), f"v{i:02}") for i in range(30)]
+    a, b = spark.createDataFrame(left, "k int, t int, i int"), spark.createDataFrame(right, "k int, u int, v string")
+    for join, strict in ((J.next_after, True), (J.next_after, False), (J.last_before, True), (J.last_before, False)):
+        found = {r.i: r.v for r in join(a, b, ["k"], "t", "u", ["v"], strict).collect()}
+        for k, t, i in left:
+            ahead = join is J.next_after
+            fits = [(u, v) for q, u, v in right if q == k and ((u > t if ahead else u < t) or (u == t and not strict))]
+            edge = (min if ahead else max)((u for u, _ in fits), default=None)
+            # of several at one time the first by value ahead, the last behind
+            want = (min if ahead else max)((v for u, v in fits if u == edge), default=None)
+            assert found[i] == want
+
+
+def test_intervals_against_brute_force(spark):
+    rng = random.Random(6)
+    spans = [(rng.randrange(2), f"s{i}", a := rng.randrange(-50, 400), a + rng.choice([0, 3, 40, 300])) for i in range(60)]
+    points = [(rng.randrange(2), rng.randrange(-60, 500), i) for i in range(120)]
+    left, right = spark.createDataFrame(points, "f int, p int, k int"), spark.createDataFrame(spans, "f int, id string, a int, b int")
+    inside = {k: [(b - a, i, a) for g, i, a, b in spans if g == f and a <= p <= b] for f, p, k in points}
+    found = {r.k: r.id for r in J.containing(left, right, ["f"], "p", "a", "b", ["k"], ["id"]).collect()}
+    assert found == {k: min(x)[1] for k, x in inside.items() if x}
+    last = {r.k: r.id for r in J.latest_start(left, right, ["f"], "p", "a", "b", ["k"], "id").collect()}
+    assert last == {k: max((a, i) for _, i, a in x)[1] for k, x in inside.items() if x}
+    held = {r.id: r.covered for r in J.covered_counts(left, right, ["f"], "p", "a", "b", "id").collect()}
+    assert held == {i: len({p for g, p, _ in points if g == f and a <= p <= b}) for f, i, a, b in spans}
+
+
+def test_routes_against_brute_force(spark):
+    rng = random.Random(7)
+    part = lambda: rng.choice(["a", "b", ":param", ""])
+    made = lambda n, tag: [(f"{tag}{i}", rng.choice(["GET", "POST", "ANY"]), "/".join(["", *(part() for _ in range(rng.randrange(0, 4)))])) for i in range(n)]
+    calls, routes = made(80, "c"), made(80, "r")
+    fits = lambda p, q: len(p) == len(q) and all(x == y or ":param" in (x, y) for x, y in zip(p, q))
+    want = {(c, r) for c, m, p in calls for r, n, q in routes if (m == n or "ANY" in (m, n)) and fits(p.split("/"), q.split("/"))}
+    found = [(r.c, r.r) for r in J.route_matches(spark.createDataFrame(calls, "c string, m string, p string"), spark.createDataFrame(routes, "r string, n string, q string"), "p", "q", "m", "n").collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_median_and_capped_lists(spark):
+    for values in ([1], [1, 2], [5, 1, 1, 9], [3, 3, 3, 4, 4], [None, 2, 8]):
+        df = spark.createDataFrame([(v,) for v in values], "v int")
+        assert A.project_metrics(df, "v").first()["median"] == round(statistics.median(v for v in values if v is not None), 1)
+    df = spark.createDataFrame([("g", f"i{k:02}") for k in range(30)] + [("h", "x")], "g string, i string")
+    assert sorted(map(tuple, A.grouped_list(df, "g", "i", most=2).collect())) == [("g", "i00,i01", 30), ("h", "x", 1)]
+
+
+def test_rules_of_four_types(spark):
+    nodes = spark.createDataFrame([("m.K", "class", "K", "m.py"), *((f"m.K.f{i}", "method", f"f{i}", "m.py") for i in range(5)), ("m.api_go", "function", "api_go", "m.py"), ("m.api_ok", "function", "api_ok", "m.py"), ("t.test_ok", "function", "test_ok", "t.py")], "id string, type string, name string, file_path string")
+    edges = spark.createDataFrame([("t.test_ok", "m.api_ok", "calls"), ("ui.a", "db.b", "imports"), ("db.b", "ui.a", "imports")], "from_node string, to_node string, type string")
+    rules = [
+        {"id": "1", "type": "no_dependency", "from_pattern": "ui/*", "to_pattern": "db.*", "description": "layers"}, {"id": "2", "type": "max_class_methods", "threshold": 4},
+        {"id": "3", "type": "required_test", "pattern": "api_*"}, {"id": "4", "type": "no_circular_imports"},
+    ]
+    found = {(r.rule_id, r.description, r.violation) for r in R.check(nodes, edges, rules).collect()}
+    assert found == {("1", "layers", "ui.a → db.b"), ("2", "max_class_methods", "m.K"), ("3", "required_test", "m.api_go"), ("4", "no_circular_imports", "db.b → ui.a")}
+    assert R.check(nodes, edges, []).count() == 0
+    assert [r.rule_id for r in R.check_node(nodes, edges, rules, "ui.a").collect()] == ["1"] and [r.rule_id for r in R.check_node(nodes, edges, rules, "m.api_go").collect()] == ["3"]
+
+
+def test_secret_names(spark):
+    for text, kind in {
+        "db_password = 'abc'": "hardcoded password", "x.api_key='123456'": "hardcoded API key", "TOKEN=\"12345678\"": "hardcoded token", "client_secret = 'abcdef'": "hardcoded secret",
+        "password = 'ab'": None, "password == 'abcdef'": None, "token = get()": None, "passwords = 'abcdef'": None, "token = '1234567'": None,
+    }.items():
+        assert one(spark, R.first_secret(F.col("t")), t=text) == kind, text
+
+
 def test_unique_suffixes(spark):
     ids = spark.createDataFrame([("a.b.c",), ("x.c",), ("x.d",)], "id string")
     edges = spark.createDataFrame([("b.c", "c"), ("d", "a.b.c")], "from_node string, to_node string")

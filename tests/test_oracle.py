@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import driver_queries, source_queries  # noqa: F401  registers its queries
+from loomgraph.plans import driver_queries, source_queries, upkeep_queries  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,5 +1,9 @@
+from pyspark.sql import functions as F
+
 from loomgraph import project
-from loomgraph.functions import extract
+from loomgraph.functions import extract, scan
+from loomgraph.operators import joins
+from loomgraph.schema import RULES
 from loomgraph.sources import config_files, feeds, files, python_code, script_code
 
 MODELS = '''"""Models."""
@@ -94,6 +98,134 @@ def test_plain_files(spark):
     assert {(r.to_node, r.type) for r in edges.collect()} == {("db.table.b", "reads_table"), ("db.table.c", "writes_table"), ("db.table.d", "migrates")}
 
 
+def pairs(df, *columns):
+    return {tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def one(spark, text, **more):
+    return spark.createDataFrame([("x", text, *more.values())], "id string, source_code string" + "".join(f", {c} string" for c in more))
+
+
+def test_routes_each_have_their_own_method(spark):
+    text = '''
+@app.route("/a", methods=["GET", "POST"])
+def a(): ...
+
+@app.route(
+    "/b", methods=["DELETE"])
+def b(): ...
+
+@app.route("/plain")
+def c(): ...
+
+# @app.get("/commented")
+    @router.put("/items/{id}/")
+s = "@app.get('/in/text')"
+'''
+    assert pairs(extract.routes(one(spark, text)), "method", "path") == {("GET", "/a"), ("POST", "/a"), ("DELETE", "/b"), ("ANY", "/plain"), ("PUT", "/items/:param")}
+    script = """
+api.get("/c", h); users.post('/users/:id', async (req) => { fetch("/nested"); });
+map.get("key"); env.get("VAR"); router.all(`*`, h); r.delete('', h);
+// app.get("/commented", h)
+axios.get("/call"); client.put("/call", x)
+"""
+    found = pairs(extract.routes(one(spark, script)), "method", "path", "receiver")
+    assert found == {("GET", "/c", "api"), ("POST", "/users/:param", "users"), ("ANY", "*", "router"), ("DELETE", "", "r"), ("PUT", "/call", "client")}
+
+
+def test_calls_each_have_their_own_method(spark):
+    text = """
+fetch("/x"); fetch("/y", {method: "POST", body: f(")")});
+apiRequest<User>("/z", { method: 'delete' }); request(`/u/${id}/v?q=1`);
+this.client.patch("/p", {method: "GET"}); axios.get("https://host/abs/"); fetch("no/slash"); axios
+  .get("/far");
+// fetch("/commented")
+other.get("/not")
+"""
+    assert pairs(extract.api_calls(one(spark, text)), "method", "path") == {
+        ("GET", "/x"), ("POST", "/y"), ("DELETE", "/z"), ("GET", "/u/:param/v"), ("PATCH", "/p"), ("GET", "/abs"),
+    }
+
+
+def test_mounts_and_prefixes(spark):
+    script = one(spark, 'app.use("/users/", usersRouter); usersRouter.get("/:id", h); app.get("/x", h)')
+    assert pairs(extract.mounted(extract.routes(script), extract.mounts(script)), "method", "path") == {("GET", "/users/:param"), ("GET", "/x")}
+    files_ = spark.createDataFrame(
+        [
+            ("main.py", 'app.include_router(api.router, prefix="/api")\n# app.include_router(no, prefix="/no")'), ("api.py", "router = APIRouter(prefix='/v1')\nrouter.include_router(\n    users,\n    prefix='/users')"),
+            ("users.py", 'bp = Blueprint("users", url_prefix="/u/")'), ("ring.py", 'r.include_router(ring2, prefix="/r")'), ("ring2.py", 'r.include_router(ring, prefix="/s")'),
+        ],
+        "file string, text string",
+    )
+    includes, own = extract.router_includes(files_), extract.router_prefixes(files_)
+    assert pairs(includes, "file", "router", "prefix") == {("main.py", "api", "/api"), ("api.py", "users", "/users"), ("ring.py", "ring2", "/r"), ("ring2.py", "ring", "/s")}
+    assert pairs(own, "file", "prefix") == {("api.py", "/v1"), ("users.py", "/u")}
+    names = spark.createDataFrame([("main.py", "api", "api.py"), ("api.py", "users", "users.py"), ("ring.py", "ring2", "ring2.py"), ("ring2.py", "ring", "ring.py")], "file string, name string, module_file string")
+    routes = spark.createDataFrame([(f, "/x") for f in ("main.py", "api.py", "users.py", "ring.py", "alone.py")], "file string, path string")
+    found = pairs(joins.prefixed_routes(routes, includes, names, own), "file", "path")
+    assert found == {("main.py", "/x"), ("api.py", "/api/v1/x"), ("users.py", "/api/v1/users/u/x"), ("ring.py", "/x"), ("alone.py", "/x")}
+
+
+def test_orm_and_sessions(spark):
+    models = spark.createDataFrame([("User", "users"), ("Order", "order_lines")], "model string, table string")
+    text = """
+User.objects.filter(a=1).first(); Order.objects.bulk_create([]); Stranger.objects.get(id=1)
+db.query(Order); select(User).where(x); insert(Pet).values(); update(user)
+client.table("t").insert(x); client.table("u").select("*"); sb.from('v')
+"""
+    assert pairs(extract.orm_uses(one(spark, text), models), "op", "table") == {
+        ("read", "users"), ("write", "order_lines"), ("read", "strangers"), ("read", "order_lines"), ("write", "pets"), ("write", "t"), ("read", "u"), ("read", "v"),
+    }
+    for text, want in {
+        "u = User(name=1)\nsession.add(u)": {"users"}, "x = (\n  db.query(Order).first())\ndb.delete(x)": {"order_lines"}, "o = await db.get(Order, 1)\ns.merge(o)": {"order_lines"},
+        "session.add(User(a=1))": {"users"}, "session.add(what)": {"<unknown>"}, "seen.add(what)": set(), "session.add_all([a, b])": {"<unknown>"}, "obj.save()": {"<unknown>"},
+        "xs.delete(1)": set(), "p = Pet()\ndb.add(p)": {"pets"},
+    }.items():
+        assert {r.table for r in extract.session_writes(one(spark, text), models).collect()} == want, text
+
+
+def test_native_bindings(spark):
+    text = """
+const lib = koffi.load("./libmath.so"); const add = lib.func("int", "add", ["int"]); lib.define("sub", x);
+require("bindings")("addon"); bindings('other'); new ffi.Library("libc", {}); WebAssembly.instantiate(bytes);
+import x from "./calc.wasm"; import y from "../native/index"; import z from "./a.node"; import n from "native"
+import { spawn } from "node:child_process"; spawn("ls -l"); cp.execFile('git', ['x']);
+"""
+    found = pairs(extract.bindings(one(spark, text)), "bridge", "module", "raw")
+    assert found == {
+        ("koffi", "math", "./libmath.so"), ("bindings", "addon", "addon"), ("bindings", "other", "other"), ("ffi-napi", "c", "libc"), ("wasm", "WebAssembly", "WebAssembly"),
+        ("wasm", "calc", "./calc.wasm"), ("napi", "native", "../native/index"), ("napi", "a", "./a.node"), ("child_process", "ls", "ls -l"), ("child_process", "git", "git"),
+    }
+    assert {tuple(r.functions) for r in extract.bindings(one(spark, text)).filter("bridge = 'koffi'").collect()} == {("add", "sub")}
+    assert pairs(extract.bindings(one(spark, 'import ctypes\nm = ctypes.cdll.LoadLibrary("libm.so.6")\nffi.dlopen("libz.so")\nspawn("no")')), "bridge", "module") == {("ctypes", "m"), ("cffi", "z")}
+
+
+def test_sql_statements(spark):
+    for sql, want in {
+        "SELECT a FROM t JOIN s.u ON x": {("read", "t"), ("read", "u")}, "with a as (select 1 from b), c as (delete from d) select * from a, c": {("read", "b"), ("write", "d")},
+        'INSERT INTO "log" SELECT x FROM `src`': {("write", "log"), ("read", "src")}, "UPDATE users SET a = 1; update x where": {("write", "users")},
+        "DELETE FROM gone WHERE id IN (SELECT id FROM kept)": {("write", "gone"), ("read", "kept")}, "DROP TABLE IF EXISTS old; ALTER TABLE b ADD c; CREATE TABLE IF NOT EXISTS d (x int)": {("migrate", "old"), ("migrate", "b"), ("migrate", "d")},
+        "CREATE UNIQUE INDEX IF NOT EXISTS i ON e (x)": {("migrate", "e")}, "from os import path": set(), "SELECT 1 FROM information_schema": set(),
+        "SELECT cron.schedule('0 0 * * *', $$DELETE FROM events WHERE x$$)": {("write", "events")},
+    }.items():
+        assert pairs(config_files.table_uses(one(spark, sql), "id", F.col("source_code")), "op", "table") == want, sql
+    program = 'def f():\n    # select x from nope\n    from os import path\n    db.execute("""\n      SELECT a\n      FROM t""")\n    return "DELETE FROM u"\n'
+    assert pairs(config_files.table_uses(one(spark, program), "id", scan.literals(F.col("source_code"))), "op", "table") == {("read", "t"), ("write", "u")}
+
+
+def test_scanners_survive_long_and_unbalanced_sources(spark):
+    many = "f(" + ", ".join(f'"a{i}"' for i in range(20_000)) + ")\n" + "g(" * 3000 + ")" * 10 + "\nlast('x')"
+    found = one(spark, many).select(F.explode(scan.calls(F.col("source_code"))).alias("c")).select("c.*").collect()
+    assert {r.name for r in found} == {"f", "g", "last"} and len(found) == 3002
+
+
+def test_script_imports_have_no_limit():
+    names = ", ".join(f"n{i}" for i in range(300))
+    rows = script_code.Script("w/x.ts", f"import {{ {names} }} from './big';\nexport {{ q as r }} from './n';\nfunction w() {{ n299(); r(); }}\nconst api = {{ load(x) {{ return n1(x); }}, go: async (y) => {{ n2(y); }} }};\nclass K {{ f = () => {{ n3(); }}; }}\nconst A = () => {{ return <B onClick={{n4}} />; }};").rows
+    edges = {(r["from_node"], r["to_node"], r["type"]) for r in rows if r["kind"] == "edge"}
+    assert {("w.x", "w.big", "imports"), ("w.x", "w.n", "imports"), ("w.x.w", "w.big.n299", "calls"), ("w.x.w", "w.n.q", "calls"), ("w.x.api.load", "w.big.n1", "calls"), ("w.x.api.go", "w.big.n2", "calls"), ("w.x.K.f", "w.big.n3", "calls"), ("w.x.A", "w.big.n4", "uses")} <= edges
+
+
 def test_extraction(spark):
     n = spark.createDataFrame(
         [
@@ -164,11 +296,80 @@ def test_sync_carries_annotations_over(spark, tmp_path):
     assert {(r.node_id, r.action) for r in project.call(now, "history").collect()} >= {("a.g", "deleted"), ("a.h", "created")}
 
 
+API = {
+    "app/__init__.py": "", "app/main.py": "from app import users\nfrom fastapi import FastAPI\napp = FastAPI()\napp.include_router(users.router, prefix='/api')\n",
+    "app/users.py": 'router = APIRouter(prefix="/users")\n\n@router.get("/{id}")\ndef get_user(id):\n    return slow(id)\n\n@router.route(\n    "/", methods=["POST", "PUT"])\ndef save(x):\n    """Saves."""\n    password = "hunter22"\n    return x\n\ndef slow(x):\n    return open(x)\n',
+    "web/api.ts": "export const load = (id) => { return fetch(`/api/users/${id}`); };\nexport function put() { fetch('/api/users/', {method: 'PUT'}); fetch('/nowhere'); }\napp.use('/web', pages);\npages.get('/home', show);\n",
+    "web/x.test.ts": "fetch('/api/users/1')\n", "Dockerfile": "FROM a\nENV MODE=1\nARG VERSION\n", ".env": "MODE=2\nUNUSED=1\n", "app/env.py": "import os\ndef mode():\n    return os.getenv('MODE') or os.environ['MISSING']\n",
+    "app/native.py": "import ctypes\nlib = ctypes.CDLL('libm.so')\n",
+}
+
+
+def test_api_map_and_tools(spark, tmp_path):
+    for name, text in API.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    p = project.build(spark, f"file://{tmp_path}")
+    routes = pairs(p.routes, "id", "method", "path")
+    assert routes >= {("app.users.get_user", "GET", "/api/users/:param"), ("app.users.save", "POST", "/api/users"), ("app.users.save", "PUT", "/api/users")}
+    assert ("GET", "/web/home") in {(m, q) for _, m, q in routes}
+    api = {(r.from_node, r.to_node) for r in p.edges.filter("type = 'calls_api'").collect()}
+    assert api == {("web.api.load", "app.users.get_user"), ("web.api.put", "app.users.save")}
+    env = {r.name: (r.origin, r.undefined) for r in project.call(p, "env_map").collect()}
+    assert env["MODE"] == ("file:.env", False) and env["MISSING"] == (None, True) and env["VERSION"] == (None, True)
+    assert pairs(project.call(p, "ffi_map"), "bridge", "module") == {("ctypes", "m")}
+    infra = project.call(p, "infra_map", focus="docker").collect()
+    assert [(r.category, r.type, r.nodes, r.n) for r in infra] == [("infra.build", "uses_env", 1, 2)]
+    assert pairs(project.call(p, "grep", pattern="return slow("), "path", "line", "id") == {("app/users.py", 5, "app.users.get_user")}
+    assert "app.users.slow" in project.call(p, "generate_test_skeleton", node_id="app.users.get_user").first().mocks
+    kinds = {r.package: r.kind for r in project.call(p, "dependencies").collect()}
+    assert kinds["os"] == "stdlib" and kinds["fastapi"] == "third-party" and "app" not in kinds
+    project.call(p, "arch_rule_add", rule={"type": "required_test", "pattern": "get_*"})
+    project.call(p, "arch_rule_add", rule=("x", "app.users.*", "app.users.slow"))
+    assert pairs(project.call(p, "arch_check"), "rule_type", "violation") == {("required_test", "app.users.get_user"), ("no_dependency", "app.users.get_user → app.users.slow")}
+    assert project.call(p, "arch_check", node_id="app.users.get_user").count() == 2 and project.call(p, "arch_rule_list").count() == 2
+    assert project.call(p, "arch_rule_delete", rule_id="x").count() == 1
+    before = p.nodes.count()
+    gone = pairs(project.call(p, "delete_node", node_id="app.users.slow"), "from_node", "to_node")
+    assert ("app.users.get_user", "app.users.slow") in gone and p.nodes.count() == before - 1 and p.edges.filter("to_node = 'app.users.slow'").count() == 0
+
+
+def test_sync_parses_changed_files_only(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.py").write_text("def f():\n    return g()\n\ndef g():\n    return 1\n")
+    (tmp_path / "b.py").write_text("from a import f\n\ndef h():\n    return f()\n")
+    root = f"file://{tmp_path}"
+    p = project.build(spark, root)
+    parsed = []
+    real = project._parsed
+    monkeypatch.setattr(project, "_parsed", lambda df: (parsed.extend(sorted(r.path for r in df.select("path").collect())), real(df))[1])
+    (tmp_path / "a.py").write_text("def f():\n    return 22\n\ndef k():\n    return f()\n")
+    now, status = project.sync(p, root)
+    assert parsed == ["a.py"]
+    assert {r.id: r.status for r in status.collect()} == {"a": "modified", "a.f": "modified", "a.g": "deleted", "a.k": "added", "b": "unchanged", "b.h": "unchanged"}
+    calls = {(r.from_node, r.to_node) for r in now.edges.filter("type = 'calls'").collect()}
+    assert calls == {("a.k", "a.f"), ("b.h", "a.f")}
+    (tmp_path / "b.py").unlink()
+    last, status = project.sync(now, root)
+    assert {r.id for r in last.nodes.collect()} == {"a", "a.f", "a.k"} and last.edges.filter("from_node = 'b.h'").count() == 0
+    again, _ = project.sync(last, root, whole=True)
+    assert {r.id for r in again.nodes.collect()} == {"a", "a.f", "a.k"}
+
+
 def test_packages_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("package.json", '{"name": "top"}'), ("web/app/package.json", '{"name": "app"}'), ("web/app/node_modules/x/index.js", "x")], "path string, text string")
     assert [(r.path, r.depth, r.name, r.has_modules) for r in files.packages(rows).collect()] == [("package.json", 0, "top", False), ("web/app/package.json", 2, "app", True)]
     calls = spark.createDataFrame([("a", "b", 3), ("a", "c", 1)], "from_node string, to_node string, n long")
     files.write_trace(calls, str(tmp_path / "trace"))
-    assert sorted(map(tuple, feeds.traces(spark, str(tmp_path / "trace")).collect())) == [("a", "b", 3), ("a", "c", 1)]
+    assert sorted(map(tuple, feeds.traces(spark, str(tmp_path / "trace"), by_line=True).collect())) == [("a", "b", 3), ("a", "c", 1)]
+    many = spark.range(30_000).selectExpr("concat('a', id) as from_node", "'b' as to_node", "id as n")
+    files.write_trace(many, str(tmp_path / "long"))
+    assert feeds.traces(spark, str(tmp_path / "long"), by_line=True).agg({"n": "sum"}).first()[0] == 30_000 * 29_999 // 2
+    assert spark.read.text(str(tmp_path / "long")).count() >= 3
+    listing = spark.createDataFrame([("a.py", 1.5, 3), ("b.py", 2.0, 4)], "path string, mtime double, size long")
+    files.write_fingerprints(listing, str(tmp_path / "prints"))
+    assert sorted(map(tuple, feeds.fingerprints(spark, str(tmp_path / "prints"), by_line=True).collect())) == [("a.py", 1.5, 3), ("b.py", 2.0, 4)]
+    rules = spark.createDataFrame([("r", "no_dependency", "d", "a.*", "b.*", None, None)], RULES)
+    files.write_rules(rules, str(tmp_path / "rules"))
+    assert [tuple(r) for r in feeds.arch_rules(spark, str(tmp_path / "rules"), by_line=True).collect()] == [("r", "no_dependency", "d", "a.*", "b.*", None, None)]
     first = files.publish(calls, str(tmp_path / "versions"), "1")
     assert spark.read.parquet(first).count() == 2 and files.empty(spark, "a int").count() == 0
