@@ -173,14 +173,20 @@ def test_packing_is_best_fit(by):
 
 
 def test_packing_under_every_capacity(spark):
-    cap = packing.Capacity(2048, documents=3, attention=2048**2 // 2 + 2048 * 1024)
-    rows = packing.pack(documents(spark), P.path("byte_bpe_50k.json"), cap, keep_ids=False).collect()
+    from loomgraph.llm import queries
+
+    cap = packing.Capacity(2048, documents=12, attention=2048**2 // 2, by="dot")
+    rows = queries.packing_under_capacities(spark, SF).collect()
     check_packing(rows)
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r.length)
-    assert max(map(len, by.values())) == 3 and all(sum(n * n for n in x) <= cap.attention for x in by.values())
-    assert len(by) > len({r.sequence_id for r in packing.pack(documents(spark), P.path("byte_bpe_50k.json"), keep_ids=False).collect()})
+    assert max(r.length for r in rows) == cap.longest == 1448
+    cost = [sum(n * n for n in x) for x in by.values()]
+    assert max(map(len, by.values())) == 12 and max(cost) <= cap.attention and max(cost) > 0.95 * cap.attention and max(map(sum, by.values())) > 2000
+    tokens = lambda rows: sorted((r.doc_id, r.start + r.length) for r in rows if r.doc_id is not None)
+    plain = packing.pack(documents(spark), P.path("byte_bpe_50k.json"), keep_ids=False).collect()
+    assert {i: max(n for k, n in tokens(rows) if k == i) for i, _ in tokens(rows)} == {i: max(n for k, n in tokens(plain) if k == i) for i, _ in tokens(plain)}
 
 
 def test_quality_statistics(spark):
@@ -212,6 +218,39 @@ def test_quality_verdicts(spark):
     assert quality.keep_good(odd(spark)).count() == 0
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """EM over single texts instead of counts of patterns, in plain Python."""
+    docs = documents(spark)
+    found = {r.doc_id: r for r in quality.judge(docs).collect()}
+    ids = sorted(found)
+    all_texts = texts(spark)
+    votes = quality.votes(quality.statistics([all_texts[i].encode() for i in ids])).tolist()
+    n, rules = len(ids), len(quality.RULES)
+    good = [0.1 if -1 in v else 0.95 if 2 * v.count(1) > rules else 0.5 for v in votes]
+    for _ in range(500):
+        share = (sum(good) + 1) / (n + 2)
+        against = [[0.0] * rules, [0.0] * rules]
+        for y in (0, 1):
+            for j in range(rules):
+                weight = [(g if y == 0 else 1 - g) for g in good]
+                bad = sum(w for w, v in zip(weight, votes) if v[j] < 0) + (quality.FALSE_ALARM * n if y == 0 else 0) + 0.5
+                fine = sum(w for w, v in zip(weight, votes) if v[j] > 0) + ((1 - quality.FALSE_ALARM) * n if y == 0 else 0) + 0.5
+                against[y][j] = bad / (bad + fine)
+        against[1] = [max(a, b) for a, b in zip(*against)]
+        fresh = []
+        for v in votes:
+            odds = math.log(share / (1 - share))
+            for j, x in enumerate(v):
+                odds += math.log(against[0][j] / against[1][j]) if x < 0 else math.log((1 - against[0][j]) / (1 - against[1][j])) if x > 0 else 0
+            fresh.append(1 / (1 + math.exp(-max(-50, min(50, odds)))))
+        done = max(abs(a - b) for a, b in zip(fresh, good)) < 1e-9
+        good = fresh
+        if done:
+            break
+    for i, g in zip(ids, good):
+        assert math.isclose(found[i].quality, g, rel_tol=1e-6, abs_tol=1e-9) and found[i].kept == (not found[i].base_failed and g >= 0.5)
+
+
 def test_em_finds_a_useless_rule():
     rng = np.random.default_rng(2)
     good = rng.random(20000) < 0.8
@@ -444,7 +483,17 @@ def test_urls(spark):
         padded = "\x02" * 4 + text
         want = sum(math.log10(chance(1, padded[i : i + 4], text[i]) / chance(0, padded[i : i + 4], text[i])) for i in range(len(text))) / max(len(text), 1)
         assert math.isclose(r.score, want, abs_tol=1e-9)
+    rules = {r.name: r.verdict for r in url_filter.RULES}
+    score = {r.host + r.path: r.score for r in found.values()}
+    sides = {side: [score[t] for t in sorted({t for t, x in labelled if x == side})] for side in (True, False)}
+    mean = {k: sum(v) / len(v) for k, v in sides.items()}
+    spread = {k: math.sqrt(sum((x - mean[k]) ** 2 for x in v) / len(v)) for k, v in sides.items()}
+    cut = (mean[True] * spread[False] + mean[False] * spread[True]) / (spread[True] + spread[False])
+    for r in found.values():
+        assert r.verdict == (rules[r.rule] if r.rule else "allow" if r.score >= cut else "block") or abs(r.score - cut) < 1e-9
     assert url_filter.judge(pages.limit(0)).count() == 0
+    again = pages.limit(3).union(pages.limit(3)).union(spark.createDataFrame([(-9, "http://long.example/" + "a/b" * 20_000)], "page_id long, url string")).withColumn("text", pages.url).withColumn("fit", pages.url)
+    assert url_filter.judge(again).count() == 7
 
 
 def test_secrets(spark):
