@@ -432,12 +432,28 @@ def wide_plan(n: int, similarity: float, recall: float = 0.99, words: int = 4) -
     return Wide(width, parts, int(bits * q + 3 * np.sqrt(bits * q * (1 - q))), int(bits * differ((1 + similarity) / 2)), words)
 
 
-def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray, radius: int, cover: int) -> np.ndarray:
-    """(a, b, distance) of nodes within ``radius`` in each run of equal keys; nodes ascend in a run.
-
-    Small buckets give all such pairs. In larger ones the smallest node left leads: it is held against all that are left, and
-    those within ``cover`` of it go.
-    """
+def spanning_forest(prints: np.ndarray, radius: int) -> np.ndarray:
+    """(i, j, distance): a minimum spanning forest under distances of at most ``radius``. It has fewer edges than fingerprints, and
+    connects at every smaller distance too what all pairs would."""
+    left = np.arange(1, len(prints))
+    best, link, out = _distance(prints[left], prints[0]), np.zeros(len(left), np.int64), []
+    while len(left):
+        k = int(best.argmin())
+        at, last = int(left[k]), len(left) - 1
+        if best[k] <= radius:
+            out.append((int(link[k]), at, int(best[k])))
+        for x in (left, best, link):
+            x[k] = x[last]
+        left, best, link = left[:last], best[:last], link[:last]
+        far = _distance(prints[left], prints[at])
+        nearer = far < best
+        best[nearer], link[nearer] = far[nearer], at
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """(a, b, distance) of nodes within ``radius`` in each run of equal keys: all such pairs of small buckets, a spanning forest of
+    the nearest ones of larger buckets, so that a bucket never gives more pairs than a few times its members."""
     n = len(key)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
@@ -450,13 +466,8 @@ def candidate_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray, radiu
         at, far = at[far <= radius], far[far <= radius]
         out.append(np.stack([node[at], node[at + d], far], 1))
     for a, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        left = np.arange(a, a + s)
-        while len(left) > 1:
-            lead, left = left[0], left[1:]
-            far = _distance(prints[left], prints[lead])
-            near = far <= radius
-            out.append(np.stack([np.full(int(near.sum()), node[lead]), node[left[near]], far[near]], 1))
-            left = left[far > cover]
+        found = spanning_forest(prints[a : a + s], radius)
+        out.append(np.stack([node[a + found[:, 0]], node[a + found[:, 1]], found[:, 2]], 1))
     pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
     pairs[:, :2] = np.sort(pairs[:, :2], 1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
@@ -469,8 +480,9 @@ def _prints(part: pa.RecordBatch, words: int) -> np.ndarray:
 def peel(buckets: DataFrame, plan: Wide, hot: int = HOT, leaders: int = 64) -> tuple[DataFrame, list[DataFrame]]:
     """``buckets`` without members of hot ones that some leader covers, and the candidate pairs (a, b, d) found on the way.
 
-    About ``leaders`` members of each hot bucket, by a hash of the node, are held against all its others, which are dealt over tasks by a
-    salt of their own. Rounds go on while any bucket is hot and rounds still take members away.
+    About ``leaders`` members of each hot bucket, by a hash of the node, are held against all its others, which are dealt over
+    tasks by a salt of their own; a member pairs with the nearest leader alone. Rounds go on while any bucket is hot and rounds
+    still take members away; what then stays in a hot bucket is one task's.
     """
     columns = [f"p{i}" for i in range(plan.words)]
     found, before = [], None
@@ -495,8 +507,10 @@ def peel(buckets: DataFrame, plan: Wide, hot: int = HOT, leaders: int = 64) -> t
                     far = _distance(own, prints[i])
                     lower = ids < node[i]
                     gone = bool((lower & (far <= plan.cover)).any())
-                    near = np.flatnonzero((far <= plan.radius) & (ids != node[i]))
-                    rows.append((gone, [{"a": min(int(ids[k]), int(node[i])), "b": max(int(ids[k]), int(node[i])), "d": int(far[k])} for k in near]))
+                    far = np.where(ids == node[i], plan.words * 64 + 1, far)
+                    k = int(far.argmin()) if len(far) else -1
+                    near = k >= 0 and far[k] <= plan.radius
+                    rows.append((gone, [{"a": min(int(ids[k]), int(node[i])), "b": max(int(ids[k]), int(node[i])), "d": int(far[k])}] if near else []))
                 kept = part.select(["key", "node", *columns])
                 pairs = pa.array([r[1] for r in rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[0] for r in rows], pa.bool_()), pairs], ["key", "node", *columns, "gone", "pairs"])
@@ -512,7 +526,7 @@ def candidates(buckets: DataFrame, plan: Wide, hot: int = HOT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, prints in whole_buckets(batches, plan.words):
-            found = candidate_pairs(key, node, prints, plan.radius, plan.cover)
+            found = candidate_pairs(key, node, prints, plan.radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(3)], ["a", "b", "d"])
 
     buckets, peeled = peel(buckets, plan, hot)
