@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parent_of
 from ..plans.tables import materialise
+from .graph import is_test
 
 
 def percent(part: Column, whole: Column, empty: float = 100.0) -> Column:
@@ -70,6 +71,23 @@ def class_metrics(members: DataFrame, owner: str, name: str, lines: Column, priv
     )
 
 
+def class_dependencies(edges: DataFrame, members: DataFrame, owner: str, k: int = 20) -> DataFrame:
+    """(owner, dependency_count, dependencies, internal_calls): distinct ends of edges that leave an owner's members (id, owner) for
+    outside of it, the first k of them by name, and calls that stay inside."""
+    out = edges.join(members.select(F.col("id").alias("from_node"), F.col(owner).alias("_owner")), "from_node")
+    inside = F.startswith("to_node", F.concat("_owner", F.lit(".")))
+    calls = out.groupBy("_owner").agg(F.sum((inside & (F.col("type") == "calls")).cast("long")).alias("internal_calls"))
+    far = out.filter(~inside).select("_owner", "to_node").distinct()
+    named = grouped_list(far, "_owner", "to_node", most=k).select("_owner", F.col("n").alias("dependency_count"), F.col("items").alias("dependencies"))
+    both = calls.join(named, "_owner", "left").select(F.col("_owner").alias(owner), F.coalesce("dependency_count", F.lit(0)).alias("dependency_count"), F.coalesce("dependencies", F.lit("")).alias("dependencies"), "internal_calls")
+    return both
+
+
+def unresolved_sample(edges: DataFrame, k: int = 20) -> DataFrame:
+    """(from_node, to_node, type): the first k edges whose end wasn't resolved."""
+    return edges.filter("confidence = 'unresolved'").select("from_node", "to_node", "type").distinct().orderBy("from_node", "to_node", "type").limit(k)
+
+
 def name_prefixes(members: DataFrame, owner: str, name: str, k: int = 10) -> DataFrame:
     """(owner, prefix, n): the commonest first words of the members' names, at most k of each owner."""
     counts = members.groupBy(owner, F.split(name, "_")[0].alias("prefix")).agg(F.count("*").alias("n"))
@@ -146,6 +164,17 @@ def annotation_stats(nodes: DataFrame, annotated: Column, stale: Column) -> Data
     return out.withColumn("coverage_pct", percent(F.col("annotated"), F.col("total"), 0.0))
 
 
+def annotated_by(nodes: DataFrame, column: str) -> DataFrame:
+    """(column, total, annotated): annotation by type, or by role; annotated: a summary or a role is there."""
+    has = F.col("summary").isNotNull() | F.col("role").isNotNull()
+    return nodes.groupBy(column).agg(F.count("*").alias("total"), F.sum(has.cast("long")).alias("annotated"))
+
+
+def runtime_calls(edges: DataFrame) -> DataFrame:
+    """One row: all calls that were counted at run time."""
+    return edges.agg(F.coalesce(F.sum("runtime_calls"), F.lit(0)).alias("runtime_calls"))
+
+
 def trace_stats(edges: DataFrame) -> DataFrame:
     """One row: edges by source, and how many static ones were seen at run time."""
     side = lambda s: F.coalesce(F.sum((F.col("source") == s).cast("long")), F.lit(0)).alias(s)
@@ -169,6 +198,12 @@ def hotspots(changes: DataFrame, tested: DataFrame, node: str, time: str, action
     return out.withColumn("risk", risk).orderBy(F.desc("risk"), node).limit(k)
 
 
+def first_paths(changes: DataFrame, node: str, time: str, path: str = "file_path") -> DataFrame:
+    """(node, path): the oldest path that isn't empty of each node in the change log, ties by path."""
+    known = changes.filter(F.coalesce(path, F.lit("")) != "")
+    return known.groupBy(node).agg(F.min(F.struct(F.col(time), F.col(path))).alias("first")).select(node, F.col("first")[path].alias(path))
+
+
 def coverage_grade(pct: Column) -> Column:
     return F.when(pct >= 80, "A").when(pct >= 60, "B").when(pct >= 40, "C").when(pct >= 20, "D").otherwise("F")
 
@@ -181,6 +216,18 @@ def usage_groups(edges: DataFrame, target: str = "to_node") -> DataFrame:
     return edges.groupBy(target).agg(*sums, F.sum((~F.col("type").isin(known)).cast("long")).alias("other"))
 
 
+def usages(edges: DataFrame, nodes: DataFrame, target: str = "to_node", compact: int = 30) -> DataFrame:
+    """(target, usage, n, tests, items): who uses a node, by what the edge is; tests: how many of them are tests; items: the users in
+    order, without a list where there are more than ``compact``."""
+    usage = F.when(F.col("type") == "calls", "callers").when(F.col("type") == "imports", "importers").when(F.col("type") == "inherits", "inheritors").otherwise("other")
+    rows = edges.select(target, F.col("from_node").alias("id"), usage.alias("usage")).distinct()
+    rows = rows.join(nodes.select("id", is_test("C").alias("_test")), "id", "left")
+    counts = rows.groupBy(target, "usage").agg(F.count("*").alias("n"), F.sum(F.coalesce("_test", F.lit(False)).cast("long")).alias("tests"))
+    few = counts.filter(F.col("n") <= compact).select(target, "usage")
+    lists = rows.join(few, [target, "usage"]).groupBy(target, "usage").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("items"))
+    return counts.join(lists, [target, "usage"], "left").select(target, "usage", "n", "tests", F.coalesce("items", F.lit("")).alias("items"))
+
+
 def grouped_list(df: DataFrame, group: str, item: str, order: str | None = None, distinct: bool = False, most: int | None = None) -> DataFrame:
     """(group, items, n): the group's items in one string, in order, and their number. A group's string is one value; where groups
     may be very large, ``most`` lists the first so many only (n counts all), and the rows themselves are the whole answer."""

@@ -76,6 +76,8 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     kind: direct, inheritor (a first hop over an inherits edge) or indirect. A start is its own result only by a self-loop.
     depth below 1 counts as 1. edges: collapsed.
     """
+    if depth > 1 and not hasattr(edges, "written_to"):
+        edges = materialise(edges.select("from_node", "to_node", "type"), "edges")  # read once a hop
     back = edges.select(F.col("to_node").alias("at"), F.col("from_node").alias("id"), "type")
     first = starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct().join(back, "at")
     kind = F.when(F.col("type") == "inherits", "inheritor").otherwise("direct")
@@ -104,6 +106,7 @@ def severity(total: Column, inheritors: Column, unresolved: Column) -> Column:
 
 def impact_report(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """(start, direct, inheritors, indirect, total, unresolved, severity), zeros for nodes that nothing reaches."""
+    edges = materialise(edges.select("from_node", "to_node", "type", "confidence"), "edges")
     counts = impact(edges, starts, depth).groupBy("start").agg(
         *(F.sum((F.col("kind") == k).cast("long")).alias(n) for k, n in (("direct", "direct"), ("inheritor", "inheritors"), ("indirect", "indirect"))), F.count("*").alias("total")
     )
@@ -322,6 +325,7 @@ def dependency_tree(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> D
 
 def context(edges: DataFrame, starts: DataFrame, depth: int = 1, cap: int = 30) -> DataFrame:
     """(start, direction, id, distance, type): callers and callees up to ``depth`` hops, the first ``cap`` of each direction."""
+    edges = materialise(edges.select("from_node", "to_node", "type"), "edges")  # read once a hop and direction
     found = []
     for direction, near, far in (("caller", "to_node", "from_node"), ("callee", "from_node", "to_node")):
         steps = edges.select(F.col(near).alias("at"), F.col(far).alias("id"), "type")

@@ -19,7 +19,10 @@ def nation_id() -> F.Column:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions are modules, nations classes, customers methods, suppliers functions, parts blocks."""
+    """Regions are modules, nations classes, customers methods, suppliers functions, parts blocks.
+
+    For tests: lines are numbered within a nation, so that at any scale as many tasks number them as there are nations.
+    """
     t = lambda n: table(spark, sf_dir, n)
     region, nation = t("region"), t("nation")
     place = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_regionkey", "n_name", _id(F.col("r_name"), "/", F.col("n_name")).alias("file_path")))

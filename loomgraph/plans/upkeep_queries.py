@@ -368,3 +368,49 @@ def m3_delete(s, d):
     n = binding.nodes(s, d)
     left, _ = U.delete_nodes(n, binding.edges(s, d), n.filter("id like 'P.Brand#1%'"))
     return left.agg(F.count("*").alias("n"))
+
+
+# ---- what the summaries show beside their counts
+
+
+@query("SELECT type, count(*) AS n FROM g_nodes GROUP BY type")
+def a1_nodes_by_type(s, d):
+    return A.count_by(binding.nodes(s, d), "type")
+
+
+@query("SELECT DISTINCT from_node, to_node, type FROM g_edges WHERE confidence = 'unresolved' ORDER BY ALL LIMIT 20")
+def a1_unresolved_sample(s, d):
+    return A.unresolved_sample(binding.edges(s, d))
+
+
+@query("""WITH m AS (SELECT id, regexp_replace(id, '[.][^.]+$', '') AS owner FROM g_nodes WHERE type IN ('method', 'function')), x AS (SELECT owner, to_node, type, starts_with(to_node, owner || '.') AS inside FROM g_edges JOIN m ON from_node = id),
+f AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY to_node) AS r FROM (SELECT DISTINCT owner, to_node FROM x WHERE NOT inside))
+SELECT owner, (SELECT count(*) FROM f WHERE f.owner = o.owner) AS dependency_count, coalesce((SELECT string_agg(to_node, ',' ORDER BY to_node) FROM f WHERE f.owner = o.owner AND r <= 20), '') AS dependencies,
+count(*) FILTER (inside AND type = 'calls') AS internal_calls FROM x o GROUP BY owner""")
+def a5_class_dependencies(s, d):
+    members = binding.nodes(s, d).filter("type in ('method', 'function')").withColumn("owner", F.regexp_replace("id", r"\.[^.]+$", ""))
+    return A.class_dependencies(binding.edges(s, d), members, "owner")
+
+
+@query("SELECT type, count(*) AS total, count(*) FILTER (name LIKE '%3') AS annotated FROM g_nodes GROUP BY type")
+def a9_annotated_by(s, d):
+    n = binding.nodes(s, d).withColumn("summary", F.when(F.endswith("name", F.lit("3")), F.col("name"))).withColumn("role", F.lit(None).cast("string"))
+    return A.annotated_by(n, "type")
+
+
+@query("SELECT sum(seq)::BIGINT AS runtime_calls FROM g_edges WHERE source = 'runtime'")
+def a10_runtime_calls(s, d):
+    return A.runtime_calls(binding.edges(s, d).withColumn("runtime_calls", F.when(F.col("source") == "runtime", F.col("seq"))))
+
+
+@query("SELECT user_id, min_by(event_type, (ts, event_type)) AS file_path FROM events WHERE event_type <> 'view' GROUP BY user_id")
+def a11_first_paths(s, d):
+    log = table(s, d, "events").withColumn("file_path", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")))
+    return A.first_paths(log, "user_id", "ts")
+
+
+@query("""WITH x AS (SELECT DISTINCT to_node, from_node, CASE type WHEN 'calls' THEN 'callers' WHEN 'imports' THEN 'importers' WHEN 'inherits' THEN 'inheritors' ELSE 'other' END AS usage FROM g_edges)
+SELECT to_node, usage, count(*) AS n, count(*) FILTER (lower(n.file_path) LIKE '%test%' OR n.name LIKE 'test~_%' ESCAPE '~') AS tests,
+CASE WHEN count(*) <= 30 THEN string_agg(from_node, ',' ORDER BY from_node) ELSE '' END AS items FROM x LEFT JOIN g_nodes n ON n.id = from_node GROUP BY ALL""")
+def a24_usage_lists(s, d):
+    return A.usages(binding.edges(s, d), binding.nodes(s, d))

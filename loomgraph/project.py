@@ -305,7 +305,10 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "health": lambda p: A.health(p.nodes, p.edges),
     "dependencies": _dependencies,
     "dead_code": _dead,
-    "find_usages": lambda p, node_id: A.usage_groups(p.edges.filter(F.col("to_node") == node_id)),
+    "find_usages": lambda p, node_id: A.usages(p.edges.filter(F.col("to_node") == node_id), p.nodes),
+    "nodes_by_type": lambda p: A.count_by(p.nodes, "type"),
+    "edges_by_confidence": lambda p: A.count_by(p.edges, "confidence"),
+    "unresolved": lambda p, limit=20: A.unresolved_sample(p.edges, limit),
     "circular_imports": lambda p: G.cycles(p.flat.filter("type = 'imports'")),
     # quality
     "vibecheck": _vibecheck,
@@ -324,6 +327,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "project_metrics": lambda p: A.project_metrics(_class_metrics(p), "methods"),
     "largest_classes": lambda p, limit=10: _class_metrics(p).orderBy(F.desc("methods"), "owner").limit(limit),
     "compare_classes": lambda p, owners: _class_metrics(p).filter(F.col("owner").isin(owners)),
+    "class_dependencies": lambda p: A.class_dependencies(p.edges, _class_members(p), "owner"),
     "components": lambda p: A.cohesion(p.edges, p.nodes.withColumn("component", F.regexp_replace("file_path", r"/?[^/]*$", "")), "component"),
     # annotations
     "annotate": lambda p, node_id: R.annotate(P.get_node(p.nodes, node_id).withColumn("role", F.lit(None).cast("string")).withColumn("side_effects", F.lit(None).cast("array<string>"))),
