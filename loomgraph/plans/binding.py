@@ -43,14 +43,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contains: down the hierarchy; calls: customer to supplier by large orders; imports: a nation's two strongest partners; uses: supplier to part."""
+    """contains: down the hierarchy; calls: customer to supplier by orders; imports: a nation's two strongest partners; uses: supplier to part."""
     t = lambda n: table(spark, sf_dir, n)
     nation = t("nation")
     place = F.broadcast(nation.select("n_nationkey", nation_id().alias("nation"), _id("R", F.col("n_regionkey")).alias("region")))
     customer = t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("nation").alias("c_nation"), _id(F.col("nation"), ".C", F.col("c_custkey")).alias("c_id"))
     supplier = t("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("nation").alias("s_nation"), F.col("n_nationkey").alias("s_nk"), _id(F.col("nation"), ".S", F.col("s_suppkey")).alias("s_id"))
     part = t("part").select("p_partkey", _id("P.", F.col("p_brand"), ".P", F.col("p_partkey")).alias("p_id"))
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
     sales = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
     source = F.when(F.col("l_linestatus") == "O", "static").otherwise("runtime").alias("source")
@@ -58,10 +58,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fixed(df: DataFrame, a: str, b: str, kind: str) -> DataFrame:
         return df.select(F.col(a).alias("from_node"), F.col(b).alias("to_node"), F.lit(kind).alias("type"), F.lit("resolved").alias("confidence"), F.lit("static").alias("source"), F.lit(0).cast("long").alias("seq"))
 
-    calls = sales.filter("l_quantity >= 49").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    calls = sales.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     flag = F.when(F.col("l_returnflag") == "R", "resolved").when(F.col("l_returnflag") == "A", "inferred").otherwise("external")
     calls = calls.select(F.col("c_id").alias("from_node"), F.col("s_id").alias("to_node"), F.lit("calls").alias("type"), flag.alias("confidence"), source, seq)
-    uses = lines.filter("l_returnflag = 'R' and l_quantity >= 50").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    uses = lines.filter("l_returnflag = 'R'").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     status = F.when(F.col("l_linestatus") == "F", "unresolved").otherwise("resolved")
     uses = uses.select(F.col("s_id").alias("from_node"), F.col("p_id").alias("to_node"), F.lit("uses").alias("type"), status.alias("confidence"), source, seq)
     money = sales.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).filter("c_nation != s_nation")
@@ -94,12 +94,12 @@ g_edges AS (
   UNION ALL SELECT s_nation, s_id, 'contains', 'resolved', 'static', 0 FROM g_supp
   UNION ALL SELECT c_id, s_id, 'calls', CASE l_returnflag WHEN 'R' THEN 'resolved' WHEN 'A' THEN 'inferred' ELSE 'external' END,
                    CASE l_linestatus WHEN 'O' THEN 'static' ELSE 'runtime' END, l_orderkey * 8 + l_linenumber
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN g_cust ON o_custkey = c_custkey JOIN g_supp ON l_suppkey = s_suppkey WHERE l_quantity >= 49
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN g_cust ON o_custkey = c_custkey JOIN g_supp ON l_suppkey = s_suppkey
   UNION ALL SELECT c_nation, s_nation, 'imports', 'resolved', 'static', 0
     FROM (SELECT *, row_number() OVER (PARTITION BY c_nation ORDER BY revenue DESC, s_nk) AS r FROM g_money) WHERE r <= 2
   UNION ALL SELECT s_id, 'P.' || p_brand || '.P' || p_partkey, 'uses', CASE l_linestatus WHEN 'F' THEN 'unresolved' ELSE 'resolved' END,
                    CASE l_linestatus WHEN 'O' THEN 'static' ELSE 'runtime' END, l_orderkey * 8 + l_linenumber
-    FROM lineitem JOIN g_supp ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 50),
+    FROM lineitem JOIN g_supp ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
 g_flat AS (SELECT from_node, to_node, type, confidence, source, seq FROM
   (SELECT *, row_number() OVER (PARTITION BY from_node, to_node ORDER BY seq DESC, type DESC, confidence DESC, source DESC) AS r FROM g_edges) WHERE r = 1)
 """

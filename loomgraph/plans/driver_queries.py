@@ -184,10 +184,10 @@ def j6_prefix(s, d):
     return J.descendants(n, n).groupBy("ancestor").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50) ON l_partkey = p_partkey")
+@query("SELECT n_nationkey, p_partkey FROM nation CROSS JOIN part ANTI JOIN (SELECT s_nationkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) ON l_partkey = p_partkey AND s_nationkey = n_nationkey WHERE n_nationkey = p_size % 25")
 def j7_anti(s, d):
-    sold = table(s, d, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
-    return J.without(table(s, d, "part"), sold, ["p_partkey"]).select("p_partkey")
+    sold = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("s_nationkey").alias("n_nationkey"))
+    return J.without(table(s, d, "part").withColumn("n_nationkey", (F.col("p_size") % 25).cast("int")), sold, ["p_partkey", "n_nationkey"]).select("n_nationkey", "p_partkey")
 
 
 @query("SELECT c_custkey FROM customer SEMI JOIN events ON user_id = c_custkey")
@@ -407,16 +407,16 @@ def t2_page(s, d):
     return P.page(P.get_nodes(binding.nodes(s, d)), 50, 25).select("id")
 
 
-@query("""SELECT ts, kind, key FROM (SELECT o_orderdate AS ts, 'order' AS kind, o_orderkey AS key FROM orders UNION ALL SELECT l_shipdate, 'ship', l_orderkey FROM lineitem WHERE l_quantity >= 50) ORDER BY ts DESC, kind, key LIMIT 100""")
+@query("""SELECT ts, kind, key FROM (SELECT o_orderdate AS ts, 'order' AS kind, o_orderkey AS key FROM orders UNION ALL SELECT l_shipdate, 'ship', l_orderkey FROM lineitem) ORDER BY ts DESC, kind, key LIMIT 100""")
 def t4_timeline(s, d):
     o = table(s, d, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("key"))
-    ship = table(s, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("key"))
+    ship = table(s, d, "lineitem").select(F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("key"))
     return U.timeline([("order", o), ("ship", ship)], "ts", 100).select("ts", "kind", "key")
 
 
-@query("SELECT DISTINCT * FROM (SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)")
+@query("SELECT DISTINCT * FROM (SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A')")
 def u2_regressions(s, d):
-    f = lambda flag: table(s, d, "lineitem").filter(f"l_returnflag = '{flag}' and l_quantity > 45").select(F.col("l_suppkey").alias("k"))
+    f = lambda flag: table(s, d, "lineitem").filter(f"l_returnflag = '{flag}'").select(F.col("l_suppkey").alias("k"))
     return U.regressions(f("R"), f("A"))
 
 

@@ -148,9 +148,9 @@ def x9_normalise(s, d):
     return table(s, d, "pages").select("page_id", X.normalise_route(path).alias("path"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, CASE n_nationkey % 3 WHEN 0 THEN 't_' || n_nationkey WHEN 1 THEN lower(n_name) || 's' ELSE lower(n_name) END AS \"table\" FROM nation WHERE n_name NOT LIKE '% %'")
+@query("SELECT n_nationkey::VARCHAR AS id, CASE n_nationkey % 3 WHEN 0 THEN 't_' || n_nationkey WHEN 1 THEN lower(replace(n_name, ' ', '_')) || 's' ELSE lower(replace(n_name, ' ', '_')) END AS \"table\" FROM nation")
 def x10_model_tables(s, d):
-    n = nations(s, d).filter("n_name not like '% %'")
+    n = nations(s, d).withColumn("n_name", F.replace("n_name", F.lit(" "), F.lit("_")))
     body = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("class A(Base):\n    __tablename__ = 't_"), "k", F.lit("'"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("class "), "n_name", F.lit("(models.Model): ...")))
     n = n.select(F.col("k").alias("id"), F.lit("class").alias("type"), F.col("n_name").alias("name"), F.coalesce(body, F.concat(F.lit("class "), "n_name", F.lit("(Base): ..."))).alias("source_code"))
     return extract.model_tables(n).select("id", "table")
