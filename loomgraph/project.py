@@ -6,7 +6,7 @@ import builtins
 import sys
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +27,7 @@ from .schema import CHANGES, NOTES, RULES
 from .sources import config_files, files, python_code, script_code
 
 
+VERSION = "2"  # of the parsers and mappers: a project that another one made is read anew
 COMPOSE_FILES = r"(^|/)(docker-)?compose[^/]*\.ya?ml$"
 BUILD_FILES = r"(^|/)(Dockerfile[^/]*|[^/]*\.[Dd]ockerfile)$"
 RULE_COLUMNS = ("id", "type", "description", "from_pattern", "to_pattern", "pattern", "threshold")
@@ -51,6 +52,7 @@ class Project:
     rules: list[dict] = field(default_factory=list)  # id, type, description, and what the type needs
     routes: DataFrame | None = None
     bindings: DataFrame | None = None
+    version: str = VERSION
 
     @property
     def flat(self) -> DataFrame:
@@ -147,31 +149,45 @@ def sync(old: Project, root: str, whole: bool = False) -> tuple[Project, DataFra
     every change is logged. ``whole``: everything is read anew, the mappers included.
     """
     spark = old.nodes.sparkSession
-    listing = files.scan(spark, root, None, text=False)
-    changed = materialise(U.pending(listing, old.sources), "pending")
-    if changed.isEmpty() and not whole:
-        return old, old.nodes.select("id", F.lit("unchanged").alias("status"))
-    kept = [c for c in ("summary", "role", "side_effects", "annotation_hash") if c in old.nodes.columns]
     if whole:
         new = build(spark, root)
-        sources, fresh = new.sources, new.nodes
-    else:
-        paths = changed.select("path")
-        read = materialise(files.scan(spark, root, None, only=changed.filter("status != 'gone'").select("path")), "changed")
-        rows = materialise(_parsed(read), "parsed")
-        sources = materialise(old.sources.join(paths, "path", "left_anti").unionByName(read), "files")
-        touched = old.nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-        fresh = materialise(touched.drop(*kept).unionByName(_nodes(rows), allowMissingColumns=True), "nodes")
-    for c in kept:
-        fresh = fresh.withColumn(c, F.lit(None).cast(old.nodes.schema[c].dataType))
-    merged = materialise(U.sync_nodes(old.nodes, fresh, kept), "synced")
-    if whole:
+        kept = _kept(old)
+        merged = materialise(U.sync_nodes(old.nodes, _without_annotations(new.nodes, old, kept), kept), "synced")
         edges = materialise(U.replace_static(old.edges, new.edges), "edges")
-    else:
-        found = J.normalise_ends(python_code.edges(rows), fresh)
-        edges = materialise(U.sync_edges(old.edges, found, merged.select("id", "status")), "edges")
-    routes, loaded = (new.routes, new.bindings) if whole else (old.routes, old.bindings)
-    done = Project(merged.filter("status != 'deleted'").drop("status"), edges, _logged(old, merged), old.notes, sources, old.rules, routes, loaded)
+        done = replace(new, nodes=merged.filter("status != 'deleted'").drop("status"), edges=edges, changes=_logged(old, merged), notes=old.notes, rules=old.rules)
+        return done, merged.select("id", "status")
+    changed = materialise(U.pending(files.scan(spark, root, None, text=False), old.sources), "pending")
+    if changed.isEmpty():
+        return old, old.nodes.select("id", F.lit("unchanged").alias("status"))
+    read = materialise(files.scan(spark, root, None, only=changed.filter("status != 'gone'").select("path")), "changed")
+    return _merge(old, read, changed.select("path"), materialise(_parsed(read), "parsed"))
+
+
+def ensure(p: Project, root: str) -> Project:
+    """The project as the tree is now: read anew if another version of the parsers made it, else synced where files changed."""
+    return sync(p, root, whole=p.version != VERSION)[0]
+
+
+def _kept(p: Project) -> list[str]:
+    return [c for c in ("summary", "role", "side_effects", "annotation_hash") if c in p.nodes.columns]
+
+
+def _without_annotations(nodes: DataFrame, old: Project, kept: list[str]) -> DataFrame:
+    for c in kept:
+        nodes = nodes.withColumn(c, F.lit(None).cast(old.nodes.schema[c].dataType))
+    return nodes
+
+
+def _merge(old: Project, read: DataFrame, paths: DataFrame, rows: DataFrame) -> tuple[Project, DataFrame]:
+    """The project with some files (paths) replaced by what was read and parsed of them; a path that wasn't read is gone."""
+    kept = _kept(old)
+    sources = materialise(old.sources.join(paths, "path", "left_anti").unionByName(read), "files")
+    rest = old.nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
+    fresh = materialise(rest.drop(*kept).unionByName(_nodes(rows), allowMissingColumns=True), "nodes")
+    merged = materialise(U.sync_nodes(old.nodes, _without_annotations(fresh, old, kept), kept), "synced")
+    found = J.normalise_ends(python_code.edges(rows), fresh)
+    edges = materialise(U.sync_edges(old.edges, found, merged.select("id", "status")), "edges")
+    done = replace(old, nodes=merged.filter("status != 'deleted'").drop("status"), edges=edges, changes=_logged(old, merged), sources=sources)
     return done, merged.select("id", "status")
 
 
@@ -251,6 +267,26 @@ def _delete(p: Project, node_id: str) -> DataFrame:
     return near
 
 
+def _update(p: Project, node_id: str, source: str) -> DataFrame:
+    """Puts a new source into a node's file, parses the file anew and takes nodes, edges and the log along: (id, status) of the
+    file's nodes that changed. A guard, or a file that no longer parses, leaves all as it was: one row says why."""
+    spark = p.nodes.sparkSession
+    say = lambda status: spark.createDataFrame([(node_id, status)], "id string, status string")
+    own = P.get_node(p.nodes, node_id).select("file_path", "start_line", "end_line", M.update_guards(F.col("type"), F.col("source_code"), F.lit(source)).alias("refused")).first()
+    if own is None or own["refused"]:
+        return say("not_found" if own is None else own["refused"])
+    lines = F.split("text", "\n")
+    spliced = F.concat(F.slice(lines, F.lit(1), F.lit(own["start_line"] - 1)), F.array(F.lit(source.rstrip("\n"))), F.slice(lines, F.lit(own["end_line"] + 1), F.size(lines)))
+    read = materialise(p.sources.filter(F.col("path") == own["file_path"]).withColumn("text", F.array_join(spliced, "\n")), "changed")
+    rows = materialise(_parsed(read), "parsed")
+    if not rows.filter("kind = 'error'").isEmpty():
+        return say("rolled_back")
+    done, status = _merge(p, read, read.select("path"), rows)
+    for f in fields(Project):
+        setattr(p, f.name, getattr(done, f.name))
+    return status.filter("status != 'unchanged'")
+
+
 def _grep(p: Project, pattern: str, glob: str | None = None, limit: int = 50) -> DataFrame:
     """(path, line, content, id): matching lines with the smallest node around each, if there is one."""
     hits = P.grep(p.sources, pattern, glob, limit)
@@ -292,7 +328,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "grep": _grep,
     # changes
     "patch_node": lambda p, node_id, part, replacement: M.patch(P.get_node(p.nodes, node_id), part, replacement),
-    "update_node": lambda p, node_id, source: P.get_node(p.nodes, node_id).select("id", F.col("source_code").alias("old_source"), F.lit(source).alias("new_source"), M.update_guards(F.col("type"), F.col("source_code"), F.lit(source)).alias("refused")),
+    "update_node": _update,
     "delete_node": _delete,
     "add_node": lambda p, rows: p.nodes.unionByName(rows, allowMissingColumns=True),
     "rename": lambda p, node_id, old, new: M.rename(p.nodes, p.edges, node_id, old, new),

@@ -355,6 +355,21 @@ def test_sync_parses_changed_files_only(spark, tmp_path, monkeypatch):
     assert {r.id for r in again.nodes.collect()} == {"a", "a.f", "a.k"}
 
 
+def test_update_node(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f():\n    return g()\n\ndef g():\n    return 1\n")
+    root = f"file://{tmp_path}"
+    p = project.build(spark, root)
+    assert pairs(project.call(p, "update_node", node_id="a.f", source="def f(:\n"), "id", "status") == {("a.f", "rolled_back")}
+    assert pairs(project.call(p, "update_node", node_id="a.x", source="x"), "id", "status") == {("a.x", "not_found")}
+    assert p.changes.count() == 0
+    found = pairs(project.call(p, "update_node", node_id="a.f", source="def f():\n    return h()\n\ndef h():\n    return 2\n"), "id", "status")
+    assert found == {("a", "modified"), ("a.f", "modified"), ("a.h", "added")}
+    assert {(r.from_node, r.to_node) for r in p.edges.filter("type = 'calls'").collect()} == {("a.f", "a.h")}
+    assert {r.id: r.start_line for r in p.nodes.filter("type = 'function'").collect()} == {"a.f": 1, "a.h": 4, "a.g": 7} and p.changes.count() == 3
+    p.version = "0"
+    assert {r.id for r in project.ensure(p, root).nodes.collect()} == {"a", "a.f", "a.g"}
+
+
 def test_packages_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("package.json", '{"name": "top"}'), ("web/app/package.json", '{"name": "app"}'), ("web/app/node_modules/x/index.js", "x")], "path string, text string")
     assert [(r.path, r.depth, r.name, r.has_modules) for r in files.packages(rows).collect()] == [("package.json", 0, "top", False), ("web/app/package.json", 2, "app", True)]
