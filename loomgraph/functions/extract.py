@@ -242,17 +242,26 @@ def session_writes(df: DataFrame, models: DataFrame, key: str = "id", text: str
     return resolved.unionByName(loose).select(key, F.lit("write").alias("op"), "table").distinct()
 
 
+def script_settings(files: DataFrame) -> DataFrame:
+    """(path, text) of the settings that hold path aliases: tsconfig.json, or jsconfig.json in folders without one."""
+    name = F.element_at(F.split("path", "/"), -1)
+    own = files.filter(name.isin("tsconfig.json", "jsconfig.json")).select("path", "text", F.regexp_replace("path", "[^/]*$", "").alias("_folder"))
+    first = own.groupBy("_folder").agg(F.max_by(F.struct("path", "text"), F.element_at(F.split("path", "/"), -1)).alias("s"))  # t is after j
+    return first.select("s.path", "s.text")
+
+
 def aliases(configs: DataFrame, text: str = "text") -> DataFrame:
-    """(prefix, target) of the path aliases in TypeScript settings (``"@/*": ["src/*"]``)."""
+    """(prefix, targets) of the path aliases in TypeScript settings (``"@/*": ["src/*", "lib/*"]``), targets in their order."""
     paths = F.from_json(F.get_json_object(text, "$.compilerOptions.paths"), "map<string,array<string>>")
     base = F.coalesce(F.get_json_object(text, "$.compilerOptions.baseUrl"), F.lit("."))
-    rows = configs.select(base.alias("base"), F.explode(paths).alias("alias", "targets")).select("base", "alias", F.get("targets", F.lit(0)).alias("target"))
-    folder = F.regexp_replace(F.concat("base", F.lit("/"), "target"), r"^(\./)+|/?\*$", "")
-    return rows.select(F.regexp_replace("alias", r"\*$", "").alias("prefix"), folder.alias("target"))
+    rows = configs.select(base.alias("base"), F.explode(paths).alias("alias", "targets"))
+    folders = F.transform("targets", lambda t: F.regexp_replace(F.concat("base", F.lit("/"), t), r"^(\./)+|/?\*$", ""))
+    return rows.select(F.regexp_replace("alias", r"\*$", "").alias("prefix"), folders.alias("targets"))
 
 
 def resolve_alias(imports: DataFrame, known: DataFrame, spec: str = "spec") -> DataFrame:
-    """Imports with ``path``: the file path that the longest alias of theirs means; the spec itself without one.
+    """Imports with ``paths``, the file paths that the longest alias of theirs may mean, and ``path``, the first of them; the spec
+    itself without one.
 
     An alias is a spec's prefix up to a slash, so that prefixes of a spec are keys and the join is one of equality.
     """
@@ -260,9 +269,26 @@ def resolve_alias(imports: DataFrame, known: DataFrame, spec: str = "spec") -> D
     parts = F.split("_spec", "/")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
     hits = rows.select("_spec").distinct().select("_spec", F.explode(heads).alias("prefix"))
-    best = hits.join(known, "prefix").groupBy("_spec").agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("b"))
-    path = F.when(F.col("b").isNotNull(), F.concat(F.col("b.target"), F.lit("/"), F.expr("substring(_spec, length(b.prefix) + 1)"))).otherwise(F.col("_spec"))
-    return rows.join(best, "_spec", "left").withColumn("path", path).drop("_spec", "b")
+    best = hits.join(known, "prefix").groupBy("_spec").agg(F.max_by(F.struct("prefix", "targets"), F.length("prefix")).alias("b"))
+    rest = F.expr("substring(_spec, length(b.prefix) + 1)")
+    paths = F.when(F.col("b").isNotNull(), F.transform("b.targets", lambda t: F.concat(t, F.lit("/"), rest))).otherwise(F.array("_spec"))
+    return rows.join(best, "_spec", "left").withColumn("paths", paths).withColumn("path", F.get("paths", F.lit(0))).drop("_spec", "b")
+
+
+# What may follow an import's path in the file's name, in the order in which it is tried; what is never code.
+PROBED = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+STYLES = (".css", ".scss", ".sass", ".less")
+
+
+def probe(resolved: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, file) of resolved imports (key, paths): the first file there is, over the paths in their order and the endings in
+    theirs; null if there is none, or for style sheets."""
+    code = F.filter("paths", lambda p: ~F.regexp_extract(p, r"(\.[a-z]+)$", 1).isin(*STYLES))
+    names = F.flatten(F.transform(code, lambda p: F.transform(F.array(*(F.lit(e) for e in PROBED)), lambda e: F.concat(p, e))))
+    tried = resolved.select(key, F.posexplode(names).alias("at", "file"))
+    there = tried.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    found = there.groupBy(key).agg(F.min_by("file", "at").alias("file"))
+    return resolved.select(key).distinct().join(found, key, "left")
 
 
 def env_definitions(services: DataFrame, builds: DataFrame, variables: DataFrame) -> DataFrame:

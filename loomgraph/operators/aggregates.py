@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parent_of
 from ..plans.tables import materialise
 from .graph import is_test
+from .joins import public_members
 
 
 def percent(part: Column, whole: Column, empty: float = 100.0) -> Column:
@@ -159,6 +160,12 @@ def cohesion(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     return out.withColumn("cohesion", F.round(F.col("internal") / (F.col("internal") + F.col("external")), 2))
 
 
+def component_members(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
+    """(group, id, public): the nodes of each group, and whether edges from another group lead to them."""
+    seen = public_members(edges, nodes, group).withColumn("_public", F.lit(True))
+    return nodes.select(F.col(group), "id").join(seen, [group, "id"], "left").select(group, "id", F.coalesce("_public", F.lit(False)).alias("public"))
+
+
 def annotation_stats(nodes: DataFrame, annotated: Column, stale: Column) -> DataFrame:
     out = nodes.agg(F.count("*").alias("total"), F.coalesce(F.sum(annotated.cast("long")), F.lit(0)).alias("annotated"), F.coalesce(F.sum(stale.cast("long")), F.lit(0)).alias("stale"))
     return out.withColumn("coverage_pct", percent(F.col("annotated"), F.col("total"), 0.0))

@@ -414,3 +414,19 @@ SELECT to_node, usage, count(*) AS n, count(*) FILTER (lower(n.file_path) LIKE '
 CASE WHEN count(*) <= 30 THEN string_agg(from_node, ',' ORDER BY from_node) ELSE '' END AS items FROM x LEFT JOIN g_nodes n ON n.id = from_node GROUP BY ALL""")
 def a24_usage_lists(s, d):
     return A.usages(binding.edges(s, d), binding.nodes(s, d))
+
+
+@query("SELECT file_path, g_nodes.id, count(f.id) > 0 AS public FROM g_nodes LEFT JOIN (SELECT n.id AS id, m.file_path AS origin, n.file_path AS home FROM g_edges e JOIN g_nodes n ON e.to_node = n.id JOIN g_nodes m ON e.from_node = m.id WHERE n.file_path <> m.file_path) f ON f.id = g_nodes.id GROUP BY ALL")
+def a8_members(s, d):
+    return A.component_members(binding.edges(s, d), binding.nodes(s, d), "file_path")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'src/a' || doc_id || '.ts' WHEN 1 THEN 'lib/a' || doc_id || '/index.js' END AS file FROM documents")
+def x6_probe(s, d):
+    settings = s.createDataFrame([("jsconfig.json", "{}"), ("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["src/*", "lib/*"]}}}')], "path string, text string")
+    k, docs = F.col("doc_id"), table(s, d, "documents")
+    spec = F.concat(F.lit("@/a"), k, F.when(k % 4 == 3, ".css").otherwise(""))
+    there = F.when(k % 4 == 0, F.array(F.concat(F.lit("src/a"), k, F.lit(".ts")), F.concat(F.lit("lib/a"), k, F.lit(".ts")))).when(k % 4 == 1, F.array(F.concat(F.lit("lib/a"), k, F.lit("/index.js")))).when(k % 4 == 3, F.array(F.concat(F.lit("src/a"), k, F.lit(".css"))))
+    files_ = docs.select(F.explode(there).alias("path"))
+    resolved = extract.resolve_alias(docs.select("doc_id", spec.alias("spec")), extract.aliases(extract.script_settings(settings)))
+    return extract.probe(resolved, files_, "doc_id")
