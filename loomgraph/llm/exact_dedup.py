@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import counted, discard, fresh_name, materialise, row_key, salted_join, utf8
@@ -196,6 +197,45 @@ def exact_groups(
     )
 
 
+@dataclass(frozen=True)
+class Index:
+    """A snapshot's grouped digests and their filters, by ``shards``."""
+
+    snapshot: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Digests and filters of an immutable snapshot, written under ``path`` in a store that all executors share."""
+    _grouped(digest(docs, id_col, text_col)).write.parquet(f"{path}/digests")
+    snapshot = docs.sparkSession.read.parquet(f"{path}/digests")
+    shards = max(1, -(-snapshot.count() // SHARD_KEYS))
+    filters(snapshot, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+    return open_index(docs.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """What ``write_index`` wrote; an empty snapshot has one shard."""
+    index = spark.read.parquet(f"{path}/filters")
+    shards = index.agg(F.max("shards")).first()[0] or 1
+    return Index(spark.read.parquet(f"{path}/digests"), index.drop("shards"), shards)
+
+
+def against(batch: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, known, keep_id, group_size, sha) for every row of an incoming batch: known if the snapshot has its text, keep_id
+    and group_size over both. Only digests that a filter lets through meet the snapshot. A shard of the batch is one task's, so
+    that a batch should not be very much larger than the snapshot."""
+    table = materialise(digest(batch, id_col, text_col), "digests")
+    screened = materialise(screen(_grouped(table), index.filters, index.shards), "screened")
+    old = index.snapshot.select("sha", F.col("keep_id").alias("_keep"), F.col("size").alias("_size"))
+    there = screened.filter("maybe").join(old, "sha", "left")
+    known = there.select("sha", F.col("_size").isNotNull().alias("known"), F.greatest("keep_id", "_keep").alias("keep_id"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("group_size"))
+    new = screened.filter("not maybe").select("sha", F.lit(False).alias("known"), "keep_id", F.col("size").alias("group_size"))
+    groups = materialise(known.unionByName(new), "groups")
+    return salted_join(table, groups, "sha").select("doc_id", "row", "known", "keep_id", "group_size", "sha")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text (A-Z lower-cased), with the columns they came with.
 

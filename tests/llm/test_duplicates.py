@@ -52,6 +52,25 @@ def test_exact_hot_group_and_other_batches(spark):
         check_exact(found, rows)
 
 
+def test_stored_index_takes_many_batches(spark, tmp_path):
+    known = [(i, f"text {i}") for i in range(500)] + [(600, "TEXT 7"), (None, "no id")]
+    schema = "doc_id long, text string"
+    exact_dedup.write_index(spark.createDataFrame(known, schema), f"file://{tmp_path}/index")
+    index = exact_dedup.open_index(spark, f"file://{tmp_path}/index")
+    for shift in (0, 400, 900):
+        batch = [(1000 + i, f"Text {i + shift}") for i in range(200)] + [(2000, "text 0"), (2001, None), (2002, ""), (None, "no id")]
+        found = {(r.doc_id, bytes(r.sha)): r for r in exact_dedup.against(spark.createDataFrame(batch, schema), index).collect()}
+        assert len(found) == len(batch)
+        for i, t in batch:
+            r = found[i, hashlib.sha256(lower(t)).digest()]
+            own = [x for x in known if lower(x[1]) == lower(t)]
+            every = [x[0] for x in own + [y for y in batch if lower(y[1]) == lower(t)]]
+            assert r.known == bool(own) and r.group_size == len(every) and r.keep_id == max((x for x in every if x is not None), default=None)
+    exact_dedup.write_index(empty(spark), f"file://{tmp_path}/none")
+    alone = exact_dedup.against(odd(spark), exact_dedup.open_index(spark, f"file://{tmp_path}/none")).collect()
+    assert len(alone) == ODD and not any(r.known for r in alone)
+
+
 def test_keep_one_text(spark):
     kept = exact_dedup.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns
