@@ -40,7 +40,7 @@ RATE = 0.7  # of a step
 CALM = 30.0  # squared gradient that each cell is taken to have seen: rare features move little
 DECAY = 1e-2  # share of its weight that a cell loses by each token that has it
 MINI = 1 << 16  # tokens of an update
-RANGES = 16  # the table's ranges, by which tasks' updates are averaged
+RANGES = 64  # the table's ranges, by which tasks' updates are averaged
 SPREAD = 32  # words that aren't frequent are dealt over classes by so many hash values of their last two bytes
 BATCH = 2 << 20
 BLOCK = 4096
