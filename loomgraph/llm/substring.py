@@ -101,7 +101,7 @@ def _rows(raw: bytes) -> np.ndarray:
 
 def _pack(parts: list[bytes]) -> bytes:
     head = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
