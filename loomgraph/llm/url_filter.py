@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffle_width
 
 ORDER = 4  # characters of context, at most
 START = "\x02"
@@ -156,6 +156,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = materialise(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", model_text(F.col("host"), F.col("path"))), "urls")
     texts = rows.groupBy("text").agg(F.max("fit").alias("fit"), F.count("*").alias("n")).filter("text != ''")
+    # few bytes become many rows: dealt out again before each text is cut into its n-grams
+    texts = materialise(texts.repartition(shuffle_width(pages.sparkSession)), "texts")
     labelled = materialise(texts.filter("fit is not null").select("text", (F.col("fit.verdict") == "allow").alias("allowed"), "n"), "labelled")
     seen, context = model(labelled)
     scores = materialise(scored(texts.select("text"), seen, context), "scores")
