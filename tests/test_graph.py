@@ -100,16 +100,17 @@ def test_components_and_cycles_against_brute_force(spark):
 
 
 def test_long_walks(spark):
-    chain = rows_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)])
-    assert G.shortest_path(chain, "n00", "n30") == [f"n{i:02}" for i in range(31)]
-    assert {r.id: r.distance for r in G.reachable(chain, ids(spark, "n00")).collect()} == {f"n{i:02}": i for i in range(31)}
-    far = {(r.start, r.id): r.distance for r in G.distances(chain, ids(spark, "n00", "n20")).collect()}
-    assert far["n00", "n30"] == 30 and far["n20", "n30"] == 10 and len(far) == 31 + 11
-    assert len(G.reachable(chain, ids(spark, "n00"), 11).collect()) == 12
-    plan = G.reachable(chain, ids(spark, "n00"))._jdf.queryExecution().toString()
+    chain = rows_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(11)])
+    assert G.shortest_path(chain, "n00", "n11") == [f"n{i:02}" for i in range(12)]
+    assert {r.id: r.distance for r in G.reachable(chain, ids(spark, "n00")).collect()} == {f"n{i:02}": i for i in range(12)}
+    far = {(r.start, r.id): r.distance for r in G.distances(chain, ids(spark, "n00", "n05")).collect()}
+    assert far["n00", "n11"] == 11 and far["n05", "n11"] == 6 and len(far) == 12 + 7
+    some = G.reachable(chain, ids(spark, "n00"), 9)
+    assert len(some.collect()) == 10
+    plan = some._jdf.queryExecution().toString()
     assert plan.count("FileScan") <= G.MERGE + 2
-    deep = G.impact(chain.selectExpr("*", "'calls' as type"), ids(spark, "n30"), 20).collect()
-    assert {r.id: r.distance for r in deep} == {f"n{30 - d:02}": d for d in range(1, 21)}
+    deep = G.impact(chain.selectExpr("*", "'calls' as type"), ids(spark, "n11"), 10).collect()
+    assert {r.id: r.distance for r in deep} == {f"n{11 - d:02}": d for d in range(1, 11)}
 
 
 def test_collapse_keeps_the_last(spark):
