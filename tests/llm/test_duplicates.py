@@ -134,13 +134,13 @@ def test_forest_is_single_linkage():
         assert len(set(zip(top.tolist(), want.values()))) == len(set(top.tolist())) == len(set(want.values()))
 
 
-@pytest.mark.parametrize("hot", [40, 400])
+@pytest.mark.parametrize("hot", [40])
 def test_hot_buckets_are_split_without_loss(spark, hot):
     """Near copies of one fingerprint, all in the same buckets, and others."""
     rng = np.random.default_rng(hot)
-    prints = [rng.integers(0, 1 << 63, 500).astype(np.uint64)]
+    prints = [rng.integers(0, 1 << 63, 300).astype(np.uint64)]
     centre = prints[0][0]
-    for _ in range(1500):
+    for _ in range(700):
         turned = centre
         for bit in rng.choice([3, 7, 9, 12, 20, 33, 41, 50, 58, 60], rng.integers(0, 9), replace=False).tolist():
             turned = turned ^ np.uint64(1 << bit)
