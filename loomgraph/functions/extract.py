@@ -139,10 +139,10 @@ def settings_fields(df: DataFrame, key: str = "id", text: str = "source_code") -
     return own.select(F.col(key), F.explode(F.array_distinct(F.concat(F.transform(fields, lambda f: F.concat(F.upper(prefix), f)), named))).alias("name"))
 
 
-def _bridge(text: Column) -> Column:
-    """Array of (bridge, raw) of a source."""
+def _bridge(text: Column, calls: Column) -> Column:
+    """Array of (bridge, raw) of a source, whose ``calls`` are a column of their own, so that they are scanned once."""
     tagged = lambda tag, values: F.transform(values, lambda x: F.struct(F.lit(tag).alias("bridge"), x.alias("raw")))
-    calls, modules = scan.calls(text), scan.modules(text)
+    modules = scan.modules(text, calls)
     strings = lambda test: F.transform(F.filter(calls, lambda c: test(c) & (scan.first_string(c["args"]) != "")), lambda c: scan.first_string(c["args"]))
     parts = lambda m: F.split(F.regexp_replace(m, "/index$", ""), "/")
     addon = lambda m: F.endswith(m, F.lit(".node")) | (F.startswith(m, F.lit(".")) & F.contains(m, F.lit("/")) & F.element_at(parts(m), -1).isin(*ADDON_FOLDERS))
@@ -163,11 +163,14 @@ def bindings(df: DataFrame, key: str = "id", text: str = "source_code") -> DataF
     """(key, bridge, module, raw, functions) of native libraries that a source loads; programs only where the module that starts
     them is imported. functions: sorted names that ``.func`` and ``.define`` bind in the source of a koffi library, else none."""
     bound = F.concat(
-        F.transform(F.filter(scan.calls(F.col(text)), lambda c: (c["name"] == "func") & (c["receiver"] != "")), lambda c: scan.second_string(c["args"])),
-        F.transform(F.filter(scan.calls(F.col(text)), lambda c: (c["name"] == "define") & (c["receiver"] != "")), lambda c: scan.first_string(c["args"])),
+        F.transform(F.filter("_calls", lambda c: (c["name"] == "func") & (c["receiver"] != "")), lambda c: scan.second_string(c["args"])),
+        F.transform(F.filter("_calls", lambda c: (c["name"] == "define") & (c["receiver"] != "")), lambda c: scan.first_string(c["args"])),
     )
     bound = F.array_sort(F.array_distinct(F.filter(bound, lambda x: x != "")))
-    rows = df.select(F.col(key), bound.alias("_bound"), F.explode(F.array_distinct(_bridge(F.col(text)))).alias("b")).select(key, "b.bridge", "b.raw", "_bound")
+    rows = df.select(F.col(key), F.col(text).alias("_text"), scan.calls(F.col(text)).alias("_calls"))
+    rows = rows.select(key, bound.alias("_bound"), F.array_distinct(_bridge(F.col("_text"), F.col("_calls"))).alias("_found"))
+    # outer: for an inner explode Spark infers a filter on its array and pushes it below, where all would be scanned again for each use
+    rows = rows.select(key, "_bound", F.explode_outer("_found").alias("b")).filter("b is not null").select(key, "b.bridge", "b.raw", "_bound")
     parts = F.split(F.regexp_replace(F.split("raw", r"\s")[0], r"\.(node|wasm|so|dll|dylib)(\.\d+)*$", ""), "/")
     last = F.element_at(parts, -1)
     stem = F.when((last == "index") & (F.size(parts) > 1), F.get(parts, F.size(parts) - 2)).otherwise(last)

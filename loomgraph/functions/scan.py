@@ -113,10 +113,10 @@ def bases_of(header: Column) -> Column:
     return F.transform(F.split(header, ","), F.trim)
 
 
-def modules(text: Column) -> Column:
-    """Module names after ``from``, and in ``require(...)`` and ``import(...)``."""
+def modules(text: Column, found: Column | None = None) -> Column:
+    """Module names after ``from``, and in ``require(...)`` and ``import(...)``. found: the text's ``calls``, if they are a column already."""
     plain = code(text)
-    loaded = F.filter(calls(text), lambda c: (c["receiver"] == "") & c["name"].isin("require", "import"))
+    loaded = F.filter(calls(text) if found is None else found, lambda c: (c["receiver"] == "") & c["name"].isin("require", "import"))
     return F.concat(F.regexp_extract_all(plain, F.lit(rf"\bfrom\s++{_Q}({_NOT_Q}++){_Q}"), F.lit(1)), F.transform(loaded, lambda c: first_string(c["args"])))
 
 

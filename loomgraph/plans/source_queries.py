@@ -170,7 +170,8 @@ def x15_bindings(s, d):
         F.lit('ctypes.CDLL("./libx'), k, F.lit('.so.1"); require("../y'), k, F.lit('/index.node"); spawn("no")\n// koffi.load("no")\nconst z = koffi.load("libz'), k,
         F.lit("\"); z.func('int', 'add', []); z.define('sub"), "p_size", F.lit("', x); WebAssembly.compile(bytes)"),
     )
-    found = extract.bindings(table(s, d, "part").select(k.cast("string").alias("id"), text.alias("source_code")))
+    part = table(s, d, "part").select("p_partkey", "p_size").repartition(int(s.conf.get("spark.sql.shuffle.partitions")))  # a few MB, so few splits, become far longer texts
+    found = extract.bindings(part.select(k.cast("string").alias("id"), text.alias("source_code")))
     return found.select("id", "bridge", "module", F.array_join("functions", ",").alias("functions"))
 
 

@@ -200,6 +200,16 @@ import { spawn } from "node:child_process"; spawn("ls -l"); cp.execFile('git', [
     assert pairs(extract.bindings(one(spark, 'import ctypes\nm = ctypes.cdll.LoadLibrary("libm.so.6")\nffi.dlopen("libz.so")\nspawn("no")')), "bridge", "module") == {("ctypes", "m"), ("cffi", "z")}
 
 
+def test_bindings_scan_a_source_once(spark, capsys):
+    text = 'require("bindings")("a"); require("bindings")("b"); ctypes.CDLL("libm.so.6"); const z = koffi.load("libz"); z.func("int", "add", [])'
+    found = extract.bindings(one(spark, text))
+    assert pairs(found, "bridge", "module") == {("bindings", "a"), ("bindings", "b"), ("ctypes", "m"), ("koffi", "z")}
+    frame = spark.range(100).selectExpr("cast(id as string) AS id", "concat('ctypes.CDLL(\"lib', id, '.so\")') AS source_code")
+    extract.bindings(frame).explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("translate(") == 1
+
+
 def test_sql_statements(spark):
     for sql, want in {
         "SELECT a FROM t JOIN s.u ON x": {("read", "t"), ("read", "u")}, "with a as (select 1 from b), c as (delete from d) select * from a, c": {("read", "b"), ("write", "d")},
