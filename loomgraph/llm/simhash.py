@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -80,23 +81,33 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "d
 
 def correlations(prints: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Share of set bits, |correlation| of the 64 bits and number of rows, over all of ``prints`` (column fp)."""
+    found, n = word_correlations(prints.select(F.array("fp").alias("print")), 1)
+    return *found[0], n
+
+
+def word_correlations(prints: DataFrame, words: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Share of set bits and |correlation| of the 64 bits of each word, and number of rows, over all of ``prints`` (column print)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((64, 64), np.int64), 0
+        total, n = np.zeros((words, 64, 64), np.int64), 0
         for part in batches:
-            bits = np.unpackbits(part.column("fp").to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += np.rint(bits.T @ bits).astype(np.int64)
-            n += len(bits)
-        place = np.append(np.arange(4096), -1)
+            own = part.column("print").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            for k in range(words):
+                bits = np.unpackbits(np.ascontiguousarray(own[:, k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                total[k] += np.rint(bits.T @ bits).astype(np.int64)
+            n += len(own)
+        place = np.append(np.arange(total.size), -1)
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.append(total.ravel(), n))], ["place", "n"])
 
-    rows = prints.select("fp").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    rows = prints.select("print").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = {r["place"]: r["n"] for r in rows}
-    n = max(found.get(-1, 0), 1)
-    both = np.array([found.get(i, 0) for i in range(4096)], float).reshape(64, 64) / n
-    p = both.diagonal().copy()
-    spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p))) + 1e-9
-    return p, np.abs(both - np.outer(p, p)) / spread, found.get(-1, 0)
+    n, out = max(found.get(-1, 0), 1), []
+    for k in range(words):
+        both = np.array([found.get(4096 * k + i, 0) for i in range(4096)], float).reshape(64, 64) / n
+        p = both.diagonal().copy()
+        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p))) + 1e-9
+        out.append((p, np.abs(both - np.outer(p, p)) / spread))
+    return out, found.get(-1, 0)
 
 
 def group_bits(correlated: np.ndarray, parts: int) -> list[list[int]]:
@@ -139,16 +150,19 @@ class Probe:
     threshold: int
 
 
+def probe_costs(p: np.ndarray, correlated: np.ndarray, group: list[int], n: int, row: float = ROW_COST, pair: float = PAIR_COST) -> dict[int, float]:
+    """Estimated cost of each threshold for a partition, over n fingerprints; -1: it is left out."""
+    chance = within(p[group], correlated[np.ix_(group, group)], 4)
+    return {t: (bucket_rows(len(group), t) * n * row + chance[t] * n * n / 2 * pair) if t >= 0 else 0.0 for t in (-1, 0, 1, 2, 4)}
+
+
 def allocate(p: np.ndarray, correlated: np.ndarray, n: int, radius: int, bits: list[int] | None = None) -> list[Probe]:
     """Partitions (of ``bits``, or all) and thresholds of the least estimated cost that find every pair within ``radius``."""
     bits = list(range(len(p))) if bits is None else bits
     best: tuple[float, list[Probe]] = (float("inf"), [])
     for parts in range(1, min(radius + 1, 8, len(bits)) + 1):
         groups = [[bits[k] for k in g] for g in group_bits(correlated[np.ix_(bits, bits)], parts)]
-        costs = []
-        for g in groups:
-            chance = within(p[g], correlated[np.ix_(g, g)], 4)
-            costs.append({t: (bucket_rows(len(g), t) * n * ROW_COST + chance[t] * n * n / 2 * PAIR_COST) if t >= 0 else 0.0 for t in (-1, 0, 1, 2, 4)})
+        costs = [probe_costs(p, correlated, g, n) for g in groups]
         table = {0: (0.0, ())}  # thresholds' sum so far, capped at what is needed
         for c in costs:
             fresh: dict[int, tuple[float, tuple[int, ...]]] = {}
@@ -177,10 +191,11 @@ def flips(probe: Probe) -> tuple[int, list[int], list[int]]:
     return mask, drop, turn
 
 
-def bucket_keys(prints: np.ndarray, probes: list[Probe]) -> np.ndarray:
-    """One line of bucket keys for each fingerprint; equal places in lists of equal probes share buckets, others practically don't."""
+def bucket_keys(prints: np.ndarray, probes: list[Probe], start: int = 0) -> np.ndarray:
+    """One line of bucket keys for each fingerprint; equal places in lists of equal probes share buckets, others practically don't.
+    start: number of the first place."""
     columns = []
-    for i, probe in enumerate(probes):
+    for i, probe in enumerate(probes, start):
         mask, drop, turn = flips(probe)
         for j, d in enumerate(drop):
             kept = prints & np.uint64(mask & ~d)
@@ -409,27 +424,95 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str
 
 @dataclass(frozen=True)
 class Wide:
-    """Partitions for a similarity: ``parts`` of ``width`` bits, of which two fingerprints that similar share one at least with chance ``recall``."""
+    """For a similarity: the probes of each word of a long fingerprint. Of its first ``words`` words, radius: what a candidate differs
+    in at most; cover: what one that is led by another does."""
 
-    width: int
-    parts: int
+    probes: tuple[tuple[Probe, ...], ...]
     radius: int
     cover: int
     words: int
 
-
-def wide_plan(n: int, similarity: float, recall: float = 0.99, words: int = 4) -> Wide:
-    """A Jaccard similarity s of shingle sets is a cosine of 2s/(1+s); bits differ with chance arccos(cosine)/pi.
-
-    The width grows with log2 of the number of fingerprints, so that buckets stay small; the number of partitions follows
-    from the recall. Of ``words`` * 64 bits, radius: three standard deviations above what the similarity makes likely, to be a
-    candidate; cover: what 0.9 makes likely, to be led by another.
-    """
-    differ = lambda s: float(np.arccos(2 * s / (1 + s)) / np.pi)
-    width = max(16, int(np.ceil(np.log2(max(n, 2)))) - 2)
-    parts = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ(similarity)) ** width)))
+    @property
+    def certain(self) -> int:
+        """Bits of the whole fingerprint up to which every pair shares a bucket."""
+        return sum(p.threshold + 1 for own in self.probes for p in own) - 1
+
+    def keys(self, prints: np.ndarray) -> np.ndarray:
+        """One line of bucket keys for each line of words."""
+        starts = np.cumsum([0, *(len(own) for own in self.probes)]).tolist()
+        return np.concatenate([bucket_keys(prints[:, k], list(own), starts[k]) for k, own in enumerate(self.probes)], 1)
+
+
+RECALL = 0.99  # chance to meet of two texts of just the similarity
+#: Microseconds of a candidate pair in buckets that give forests (measured: 0.7 to 2.2) and of a word of a fingerprint (measured: 47), and
+#: of a bucket row with its words, chosen above its time since rows fill the disk.
+FOREST_COST, WORD_COST, WIDE_ROW_COST = 1.3, 47.0, 10.0
+PARTS = (2, 3, 4, 5)  # partitions of a word
+GAIN = 0.01  # unit in which the dynamic programme counts logarithms of the chance to be missed
+
+
+def differ(similarity: float) -> float:
+    """Chance that a bit differs: a Jaccard similarity s of shingle sets is a cosine of 2s/(1+s); bits differ with chance arccos(cosine)/pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def met(width: int, threshold: int, q: float) -> float:
+    """Chance that two fingerprints whose bits differ with chance ``q`` meet in a partition; correlated bits make it greater."""
+    return sum(comb(width, d) * q**d * (1 - q) ** (width - d) for d in range(threshold + 1))
+
+
+def thresholds(groups: list[list[int]], costs: list[dict[int, float]], q: float, recall: float) -> tuple[float, list[int]]:
+    """The least cost, and the thresholds of the partitions at that cost, at which two fingerprints whose bits differ with chance
+    ``q`` meet with chance ``recall`` at least, by dynamic programming over partitions; infinite if there is no such choice."""
+    need = int(np.ceil(-np.log(1 - recall) / GAIN))
+    gained = {(size, t): int(-np.log(1 - met(size, t, q)) / GAIN) if t >= 0 else 0 for size in {len(g) for g in groups} for t in (-1, 0, 1, 2, 4)}
+    table: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # gain so far, capped at what is needed
+    for g, c in zip(groups, costs):
+        fresh: dict[int, tuple[float, tuple]] = {}
+        for got, (cost, chosen) in table.items():
+            for t, more in c.items():
+                to = min(got + gained[len(g), t], need)
+                if to not in fresh or cost + more < fresh[to][0]:
+                    fresh[to] = (cost + more, (chosen, t))
+        table = fresh
+    cost, chosen = table.get(need, (float("inf"), ()))
+    out: list[int] = []
+    while chosen:
+        chosen, t = chosen
+        out.append(t)
+    return cost, out[::-1]
+
+
+def fingerprint_words(n: int, similarity: float, recall: float) -> int:
+    """How many words a fingerprint should have for n texts, if its bits were independent: more words cost time, fewer ask for greater thresholds."""
+    p, none, costs = np.full(64, 0.5), np.zeros((64, 64)), {}
+    for words in (8, 12, 16, 24, 32, 40, 48, 64):
+        for parts in PARTS:
+            own = [g.tolist() for g in np.array_split(np.arange(64), parts)]
+            one = [probe_costs(p, none, g, n, WIDE_ROW_COST, FOREST_COST) for g in own]
+            cost = thresholds(own * words, one * words, differ(similarity), recall)[0] + words * n * WORD_COST
+            costs[words] = min(cost, costs.get(words, cost))
+    return min(costs, key=lambda w: (costs[w], w))
+
+
+def allocate_chance(found: list[tuple[np.ndarray, np.ndarray]], n: int, similarity: float, recall: float) -> tuple[tuple[Probe, ...], ...]:
+    """For each word its partitions, correlated bits together, and their thresholds: of all choices that let two texts of that
+    similarity meet with chance ``recall`` at least, the one of the least estimated cost."""
+    best: tuple[float, list[tuple[int, list[int]]], list[int]] = (float("inf"), [], [])
+    for parts in PARTS:
+        groups = [(k, g) for k, (_, correlated) in enumerate(found) for g in group_bits(correlated, parts)]
+        cost, chosen = thresholds([g for _, g in groups], [probe_costs(*found[k], g, n, WIDE_ROW_COST, FOREST_COST) for k, g in groups], differ(similarity), recall)
+        if cost < best[0]:
+            best = (cost, groups, chosen)
+    return tuple(tuple(Probe(tuple(g), t) for (k, g), t in zip(*best[1:]) if k == word and t >= 0) for word in range(len(found)))
+
+
+def wide_plan(found: list[tuple[np.ndarray, np.ndarray]], n: int, similarity: float, recall: float = RECALL, words: int = 4) -> Wide:
+    """Of ``words`` * 64 bits, radius: three standard deviations above what the similarity makes likely, to be a candidate; cover: what
+    0.9 makes likely (for 0.8), to be led by another."""
     bits, q = 64 * words, differ(similarity)
-    return Wide(width, parts, int(bits * q + 3 * np.sqrt(bits * q * (1 - q))), int(bits * differ((1 + similarity) / 2)), words)
+    probes = allocate_chance(found, max(n, 1), similarity, recall)
+    return Wide(probes, int(bits * q + 3 * np.sqrt(bits * q * (1 - q))), int(bits * differ((1 + similarity) / 2)), words)
 
 
 def spanning_forest(prints: np.ndarray, radius: int) -> np.ndarray:
@@ -571,31 +654,28 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, row, node, root): documents with one root are linked by pairs of that Jaccard similarity of word shingles, or more.
 
-    A similarity of 0.8 differs in some 39 of 256 bits: too many for thresholds that enumerate balls. Here all partitions have
-    threshold 0 and there are as many of them as the recall asks for, so the fingerprint is longer than the part that
-    measures; pairs that it finds near enough are then decided by their shingles, each document's nearest first, the others
-    where they would still connect something. So every link is a true one; a pair may be missed (see README for figures). Rows
-    alike in id and text are one document. Texts without words, null ones too, and rows without a doc_id are left alone: each
-    its own root.
+    A similarity of 0.8 differs in some 15 % of the bits: too many for thresholds that are certain to meet. So the fingerprint is
+    longer, and its thresholds, unequal, come from a dynamic programme on estimated candidate counts that asks for
+    the chance to meet; pairs within ``Wide.certain`` bits meet for certain. Pairs near enough are then decided by their shingles,
+    each document's nearest first, the others where they would still connect something. So every link is a true one; a pair may
+    be missed (see README for figures). Rows alike in id and text are one document. Texts without words, null ones too, and rows
+    without a doc_id are left alone: each its own root.
     """
-    total = docs.count()
-    plan = wide_plan(total, similarity)
-    words = max(-(-plan.parts * plan.width // 64), plan.words)
     rows = docs.filter(F.col(id_col).cast("long").isNotNull())
+    words = fingerprint_words(max(docs.count(), 1), similarity, RECALL)
     prints = fingerprints(rows, shingle, words, id_col, text_col, empty=False).dropDuplicates(["doc_id", "row"])
     prints = materialise(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
+    plan = wide_plan(*word_correlations(prints, words), similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(plan.width, dtype=np.uint64)).astype(np.uint64)
         for part in batches:
-            for at in range(0, part.num_rows, 4096):
-                own = part.slice(at, 4096)
+            for at in range(0, part.num_rows, 1024):
+                own = part.slice(at, 1024)
                 found = own.column("print").flatten().to_numpy().view(np.uint64).reshape(-1, words)
-                bits = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(len(found), -1), axis=1, bitorder="little")
-                cells = bits[:, : plan.parts * plan.width].reshape(len(found), plan.parts, plan.width).astype(np.uint64) @ weights
-                keys = (cells | (np.arange(plan.parts, dtype=np.uint64) << np.uint64(plan.width))[None, :]).view(np.int64)
-                deciding = [pa.array(np.repeat(found[:, k].view(np.int64), plan.parts)) for k in range(plan.words)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own.column("node").to_numpy(), plan.parts)), *deciding], ["key", "node", *(f"p{k}" for k in range(plan.words))])
+                keys = plan.keys(found)
+                n = keys.shape[1]
+                deciding = [pa.array(np.repeat(found[:, k].view(np.int64), n)) for k in range(plan.words)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own.column("node").to_numpy(), n)), *deciding], ["key", "node", *(f"p{k}" for k in range(plan.words))])
 
     buckets = prints.select("node", "print").mapInArrow(run, "key long, node long, " + ", ".join(f"p{k} long" for k in range(plan.words)))
     pairs = materialise(candidates(buckets, plan, hot), "candidates")

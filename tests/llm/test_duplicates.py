@@ -307,3 +307,40 @@ def test_clashing_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c", *names[2:]), (2, "A B C", *names[2:]), (3, "other", *names[2:])], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
     for kept, ids in ((exact_dedup.keep_one(docs), {2, 3}), (simhash.keep_one(docs), {1, 3})):
         assert kept.columns == names and {r.doc_id for r in kept.collect()} == ids and {r["_row"] for r in kept.collect()} == {"_row"}
+
+
+def test_long_fingerprints_by_generalised_pigeonhole():
+    """Partitions hold correlated bits, thresholds are unequal and the cheapest that reach the recall, and what is near meets for certain."""
+    rng = np.random.default_rng(5)
+    bits = rng.random((3000, 2, 64)) < 0.5
+    bits[:, 0, 1:20:2] = bits[:, 0, :1]  # ten bits of the first word follow its first one
+    bits[:, 1, 40:] = rng.random((3000, 24)) < 0.03  # and some of the second hardly vary
+    found = [(b.mean(0), np.abs(np.corrcoef(b.T.astype(float)))) for b in (bits[:, 0], bits[:, 1])]
+    n, q = 20_000, simhash.differ(0.9)
+    plan = simhash.wide_plan(found, n, 0.9, recall=0.9)
+    probes = [(k, p) for k, own in enumerate(plan.probes) for p in own]
+    for k in range(2):
+        used = [b for j, p in probes if j == k for b in p.bits]
+        assert len(used) == len(set(used))
+    own = {0, *range(1, 20, 2)}
+    assert sum(bool(own & set(p.bits)) for k, p in probes if k == 0) <= 2
+    assert len({p.threshold for _, p in probes}) > 1
+    missed = lambda ts: np.prod([1 - simhash.met(size, t, q) for size, t in ts if t >= 0])
+    assert missed([(len(p.bits), p.threshold) for _, p in probes]) <= 0.1
+    cost = sum(simhash.probe_costs(*found[k], list(p.bits), n, simhash.WIDE_ROW_COST, simhash.FOREST_COST)[p.threshold] for k, p in probes)
+    for parts in simhash.PARTS:  # no equal thresholds are cheaper
+        groups = [(k, g) for k in range(2) for g in simhash.group_bits(found[k][1], parts)]
+        for t in (0, 1, 2, 4):
+            if missed([(len(g), t) for _, g in groups]) <= 0.09:
+                assert cost <= sum(simhash.probe_costs(*found[k], g, n, simhash.WIDE_ROW_COST, simhash.FOREST_COST)[t] for k, g in groups)
+    a = rng.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
+    b = a.copy()
+    for i in range(400):
+        for at in rng.choice(128, plan.certain, replace=False).tolist():
+            b[i, at // 64] ^= np.uint64(1 << at % 64)
+    assert all(set(x) & set(y) for x, y in zip(plan.keys(a).tolist(), plan.keys(b).tolist()))
+
+
+def test_more_texts_get_narrower_buckets():
+    words = [simhash.fingerprint_words(n, 0.8, 0.99) for n in (1, 10_000, 10_000_000)]
+    assert words == sorted(words) and words[0] < words[-1]
